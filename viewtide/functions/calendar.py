@@ -1,5 +1,5 @@
-"""Site-calendar expressions. All of them fold to literals when the input is a literal,
-so period limits reach the parquet scan as pushed filters."""
+"""Site-calendar expressions as SQL text. All of them fold to literals when the input is a
+literal, so period limits reach the parquet scan as pushed filters."""
 
 from __future__ import annotations
 
@@ -9,40 +9,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def instant(as_of) -> Column:
-    """A timestamp column from a column, a datetime, or text in the session time zone."""
-    if isinstance(as_of, Column):
-        return as_of
-    if isinstance(as_of, datetime):
-        as_of = as_of.isoformat(sep=" ")
-    return F.lit(as_of).cast("timestamp")
+def at(as_of: str | datetime) -> str:
+    """A timestamp literal; text without a zone is read in the session time zone."""
+    text = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else as_of
+    return f"CAST('{text}' AS TIMESTAMP)"
 
 
-def minutes(n: int) -> Column:
-    return F.expr(f"INTERVAL {int(n)} MINUTE")
+def instant(as_of: str | datetime) -> Column:
+    return F.expr(at(as_of))
 
 
-def period(ts: Column, unit: str, offset: int = 1) -> Column:
+def period(ts: str, unit: str, offset: int = 1) -> str:
     """First date of the day / week (Monday) / month that ``ts`` counts towards."""
-    return F.to_date(F.date_trunc(unit, ts - minutes(offset)))
+    return f"to_date(date_trunc('{unit}', {ts} - INTERVAL {int(offset)} MINUTE))"
 
 
-def period_start(as_of, unit: str, offset: int = 1, back: int = 0) -> Column:
+def period_start(as_of, unit: str, offset: int = 1, back: int = 0) -> str:
     """Instant of the rollover that opened the period of ``as_of``, or of an earlier one."""
-    first = period(instant(as_of), unit, offset)
-    if back:
-        first = {
-            "day": lambda d: F.date_sub(d, back),
-            "week": lambda d: F.date_sub(d, 7 * back),
-            "month": lambda d: F.add_months(d, -back),
-        }[unit](first)
-    return first.cast("timestamp") + minutes(offset)
+    first = period(at(as_of), unit, offset)
+    earlier = {
+        "day": f"date_sub({first}, {back})",
+        "week": f"date_sub({first}, {7 * back})",
+        "month": f"add_months({first}, {-back})",
+    }[unit]
+    return f"(CAST({earlier} AS TIMESTAMP) + INTERVAL {int(offset)} MINUTE)"
 
 
-def hours_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3.6e9)
-
-
-def weekday(ts: Column) -> Column:
-    """0 = Sunday."""
-    return F.dayofweek(ts) - 1
+def hours_between(later: str, earlier: str) -> str:
+    return f"((unix_micros({later}) - unix_micros({earlier})) / 3.6e9D)"

@@ -1,124 +1,97 @@
-"""The trending score's components, one column expression each."""
+"""The trending score's components as SQL expressions.
 
-from __future__ import annotations
+Inputs are the columns ``day week month total`` (views), ``age`` (hours), ``actions``,
+``momentum``, ``category_heat``, ``shape_factor`` and the state ``prev_ewma prev_score``.
+Later expressions use earlier ones by name.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Boost by age in hours, first match wins.
 FRESHNESS = ((1, 1.8), (3, 1.4), (6, 1.2), (12, 1.1), (24, 1.05))
-DECAY_RATE = 0.693
-DECAY_HALF_LIFE = 36.0
-DECAY_GRACE = 2.0
-EWMA_HALF_LIFE = 6.0
-SOFT_CAP = 10000.0
-SOFT_SCALE = 5000.0
-
-
-def d(x: float) -> Column:
-    return F.lit(float(x))
-
-
-def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(d(low), F.least(d(high), x))
-
-
-def weekly(week: Column) -> Column:
-    return week / d(7)
-
-
-def monthly(month: Column) -> Column:
-    return month / d(30)
-
-
-def day_used(day: Column, week: Column, month: Column, age: Column) -> Column:
-    """Day views, or an estimate from longer periods while the day is still empty."""
-    progress = clip(age / d(24), 0.05, 1.0)
-    estimate = F.round(weekly(week) * progress)
-    floor = F.when(month > 0, F.round(d(0.3) * monthly(month) * progress)).otherwise(d(0))
-    return F.when(day != 0, day).otherwise(F.greatest(F.lit(1), F.greatest(estimate, floor).cast("bigint")))
-
-
-def velocity(day: Column, week: Column, month: Column, age: Column) -> Column:
-    """Log-scaled views per hour, raised when a period outruns the next longer one."""
-    wk, mo = weekly(week), monthly(month)
-    surge = F.when((wk > 0) & (day > wk), (day / F.nullif(wk, d(0)) - 1) * d(0.3)).otherwise(d(0))
-    climb = F.when((mo > 0) & (wk > mo), (wk / F.nullif(mo, d(0)) - 1) * d(0.2)).otherwise(d(0))
-    rate = day / F.least(age, d(24))
-    return F.log(d(1) + rate) * d(10) * (d(1) + surge + climb)
-
-
-def time_decay(age: Column) -> Column:
-    return F.when(age <= DECAY_GRACE, d(1)).otherwise(
-        F.exp(d(-DECAY_RATE) * (age - d(DECAY_GRACE)) / d(DECAY_HALF_LIFE)))
-
-
-def engagement(actions: Column, day: Column) -> Column:
-    return d(1) + F.least(actions / F.greatest(F.lit(5), day) * d(10), d(1))
-
-
-def freshness(age: Column) -> Column:
-    out = d(1)
-    for limit, boost in reversed(FRESHNESS):
-        out = F.when(age <= limit, d(boost)).otherwise(out)
-    return out
-
-
-def expected_views(week: Column, age: Column, shape_factor: Column, category_heat: Column) -> Column:
-    progress = F.least(d(24), F.greatest(d(1), age)) / d(24)
-    return F.greatest(d(0), weekly(week)) * progress * shape_factor * (d(1) + d(0.1) * category_heat)
-
+# Decay rate ln 2 (rounded), half-life and grace in hours.
+DECAY_RATE, DECAY_HALF_LIFE, DECAY_GRACE = 0.693, 36.0, 2.0
+# Share of a new rate in the smoothed rate, for a half-life of 6 runs.
+EWMA_ALPHA = 1.0 - 0.5 ** (1.0 / 6.0)
+# Ceiling and scale of the soft cap.
+SOFT_CAP, SOFT_SCALE = 10000.0, 5000.0
 
-def uplift_raw(day: Column, expected: Column) -> Column:
-    """Variance-stabilised distance of the day's views from what was expected."""
-    return F.sqrt(F.greatest(d(0), day.cast("double")) + d(0.375)) - F.sqrt(F.greatest(d(0), expected) + d(0.375))
 
+def num(x: float) -> str:
+    return f"{float(x)!r}D"
 
-def uplift(raw: Column) -> Column:
-    return d(1) + clip(raw * d(0.15), -0.2, 0.5)
 
+def clip(x: str, low: float, high: float) -> str:
+    return f"greatest({num(low)}, least({num(high)}, {x}))"
 
-def hourly_rate(day: Column, age: Column) -> Column:
-    return day / F.greatest(d(1), F.least(age, d(24)))
 
+WEEKLY, MONTHLY = "(week / 7D)", "(month / 30D)"
+_PROGRESS = clip("age / 24D", 0.05, 1.0)
 
-def ewma_value(rate: Column, previous: Column) -> Column:
-    """Smoothed rate; the first run starts from the rate itself."""
-    alpha = 1.0 - 0.5 ** (1.0 / EWMA_HALF_LIFE)
-    return d(alpha) * rate + d(1 - alpha) * F.coalesce(previous, rate)
+# Day views, or an estimate from longer periods while the day is still empty.
+DAY_USED = f"""CASE WHEN day <> 0 THEN day ELSE greatest(1L, CAST(greatest(
+    round({WEEKLY} * {_PROGRESS}),
+    CASE WHEN month > 0 THEN round(0.3D * {MONTHLY} * {_PROGRESS}) ELSE 0D END) AS BIGINT)) END"""
 
+# Log-scaled views per hour, raised when a period outruns the next longer one.
+VELOCITY = f"""ln(1D + day_used / least(age, 24D)) * 10D * (1D
+    + CASE WHEN week > 0 AND day_used > {WEEKLY} THEN (day_used / nullif({WEEKLY}, 0D) - 1D) * 0.3D ELSE 0D END
+    + CASE WHEN month > 0 AND {WEEKLY} > {MONTHLY} THEN ({WEEKLY} / nullif({MONTHLY}, 0D) - 1D) * 0.2D ELSE 0D END)"""
 
-def acceleration(value: Column, previous: Column, rate: Column) -> Column:
-    return clip(value - F.coalesce(previous, rate), -0.5, 0.5)
+TIME_DECAY = f"""CASE WHEN age <= {num(DECAY_GRACE)} THEN 1D
+    ELSE exp({num(-DECAY_RATE)} * (age - {num(DECAY_GRACE)}) / {num(DECAY_HALF_LIFE)}) END"""
 
+ENGAGEMENT = "1D + least(actions / greatest(5L, day_used) * 10D, 1D)"
 
-def ewma_multiplier(value: Column, acc: Column) -> Column:
-    return d(1) + clip(F.log(d(1) + value) * d(0.15) + acc * d(0.1), -0.2, 0.3)
+FRESHNESS_SQL = "CASE " + " ".join(f"WHEN age <= {a} THEN {num(b)}" for a, b in FRESHNESS) + " ELSE 1D END"
 
+EXPECTED = f"""greatest(0D, {WEEKLY}) * (least(24D, greatest(1D, age)) / 24D) * shape_factor
+    * (1D + 0.1D * category_heat)"""
 
-def anti_gaming(day: Column, month: Column, total: Column) -> Column:
-    day = F.greatest(F.lit(0), day)
+# Variance-stabilised distance of the day's views from what was expected.
+UPLIFT_RAW = "sqrt(greatest(0D, CAST(day AS DOUBLE)) + 0.375D) - sqrt(greatest(0D, expected) + 0.375D)"
+UPLIFT = f"1D + {clip('uplift_raw * 0.15D', -0.2, 0.5)}"
 
-    def share(n: Column, days: float) -> Column:
-        return day / F.greatest(d(1), F.greatest(F.lit(1), n) / d(days))
+RATE = "day / greatest(1D, least(age, 24D))"
+# The first run starts from the rate itself.
+EWMA_VAL = f"{num(EWMA_ALPHA)} * rate + {num(1 - EWMA_ALPHA)} * coalesce(prev_ewma, rate)"
+ACC = clip("ewma_val - coalesce(prev_ewma, rate)", -0.5, 0.5)
+EWMA = f"1D + {clip('ln(1D + ewma_val) * 0.15D + acc * 0.1D', -0.2, 0.3)}"
 
-    return F.when(share(month, 30) > 20, d(0.9)).otherwise(d(1)) * \
-        F.when(share(total, 90) > 50, d(0.85)).otherwise(d(1))
+ANTI = """CASE WHEN day / greatest(1D, greatest(1L, month) / 30D) > 20 THEN 0.9D ELSE 1D END
+    * CASE WHEN day / greatest(1D, greatest(1L, total) / 90D) > 50 THEN 0.85D ELSE 1D END"""
 
+CAPPED = f"""least({num(SOFT_CAP)} * (1D - exp(-raw_score / {num(SOFT_SCALE)})),
+    coalesce(prev_score * 1.8D + 10D, double('infinity')))"""
 
-def soft_cap(score: Column) -> Column:
-    return d(SOFT_CAP) * (d(1) - F.exp(-score / d(SOFT_SCALE)))
+FATIGUE = "greatest(0.8D, 1D - greatest(0, streak - 6) * 0.03D)"
 
+COMPONENTS = {
+    "day_used": DAY_USED,
+    "velocity": VELOCITY,
+    "time_decay": TIME_DECAY,
+    "engagement": ENGAGEMENT,
+    "freshness": FRESHNESS_SQL,
+    "expected": EXPECTED,
+    "uplift_raw": UPLIFT_RAW,
+    "uplift": UPLIFT,
+    "rate": RATE,
+    "ewma_val": EWMA_VAL,
+    "acc": ACC,
+    "ewma": EWMA,
+    "anti": ANTI,
+}
 
-def growth_cap(score: Column, previous: Column) -> Column:
-    return F.when(previous.isNull(), score).otherwise(F.least(score, previous * d(1.8) + d(10)))
 
+def raw_score(weight) -> str:
+    """Product of the components; ``weight(name)`` is a component's exponent."""
+    def powered(name: str) -> str:
+        return name if weight(name) == 1.0 else f"pow({name}, {num(weight(name))})"
 
-def fatigue(streak: Column) -> Column:
-    return F.greatest(d(0.8), d(1) - F.greatest(F.lit(0), streak - 6) * d(0.03))
+    return " * ".join(["velocity", "time_decay", *map(powered, (
+        "engagement", "freshness", "momentum", "uplift", "ewma")), "anti"])
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def jaccard(a: str, b: str) -> str:
     """Overlap of two id arrays; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1))
+    return f"size(array_intersect({a}, {b})) / greatest(size(array_union({a}, {b})), 1)"

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.config import ARCHIVE_OF, COUNTER_KEYS, LIVE_RANGES, RANGES, CountingConfig
-from viewtide.functions.calendar import instant, period, period_start
+from viewtide.functions.calendar import at, instant, period, period_start
 from viewtide.operators.ordered import running_positions
 
 
-def _limits(rng: str, as_of: Column, offset: int) -> tuple[Column | None, Column | None]:
+def _limits(rng: str, as_of, offset: int) -> tuple[str | None, str | None]:
     """(first instant, first instant after) of a range; None means open."""
     if rng == "total":
         return None, None
@@ -32,38 +32,31 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
     A live counter without views is NULL (no stored key). An archive is 0 for a published
     post that was already out at its rollover, else NULL; that needs ``posts``.
     """
-    now = instant(as_of)
     wanted = [r for r in ranges if cfg.enabled(r)]
-    lims = {r: _limits(r, now, cfg.rollover_minutes) for r in wanted}
-    log = views.filter(F.col("ts") <= now)
-    if "total" not in wanted and lims:
-        log = log.filter(F.col("ts") >= F.least(*[lo for lo, _ in lims.values()])
-                         if len(lims) > 1 else F.col("ts") >= next(iter(lims.values()))[0])
+    lims = {r: _limits(r, as_of, cfg.rollover_minutes) for r in wanted}
+    log = views.filter(f"ts <= {at(as_of)}")
+    if "total" not in wanted:
+        first = [lo for lo, _ in lims.values()]
+        log = log.filter(f"ts >= {first[0] if len(first) == 1 else f'least({", ".join(first)})'}")
 
-    def counter(rng: str) -> Column:
+    def counter(rng: str) -> str:
         lo, hi = lims[rng]
-        inside = F.lit(True)
-        if lo is not None:
-            inside = inside & (F.col("ts") >= lo)
-        if hi is not None:
-            inside = inside & (F.col("ts") < hi)
-        return F.nullif(F.count_if(inside), F.lit(0)).alias(rng)
-
-    counts = log.groupBy("post_id").agg(*[counter(r) for r in wanted])
+        inside = " AND ".join([f"ts >= {lo}"] * bool(lo) + [f"ts < {hi}"] * bool(hi)) or "true"
+        return f"nullif(count_if({inside}), 0L) AS {rng}"
+
+    counts = log.groupBy("post_id").agg(*[F.expr(counter(r)) for r in wanted])
     if posts is None:
         return counts
-    dim = posts.select("post_id", F.col("status").alias("__s"), F.col("post_type").alias("__t"),
-                       F.col("published_at").alias("__p"))
-    joined = dim.join(counts, "post_id", "left")
-    reset = (F.col("__s") == "publish") & F.col("__t").isin(*cfg.public_types)
+    types = ", ".join(f"'{t}'" for t in cfg.public_types)
+    dim = posts.selectExpr(
+        "post_id", f"CASE WHEN status = 'publish' AND post_type IN ({types}) THEN published_at END AS __out")
 
-    def shown(rng: str) -> Column:
+    def shown(rng: str) -> str:
         if rng not in ARCHIVE_OF:
-            return F.col(rng)
-        was_out = reset & (F.col("__p") <= lims[rng][1])
-        return F.when(was_out, F.coalesce(F.col(rng), F.lit(0))).alias(rng)
+            return rng
+        return f"CASE WHEN __out <= {lims[rng][1]} THEN coalesce({rng}, 0L) END AS {rng}"
 
-    return joined.select("post_id", *[shown(r) for r in wanted])
+    return dim.join(counts, "post_id", "left").selectExpr("post_id", *[shown(r) for r in wanted])
 
 
 def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
@@ -83,8 +76,8 @@ def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = Cou
 
 def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), seconds: int = 60) -> DataFrame:
     """Each view with its post's counters right after it was counted."""
-    marked = views.select("event_id", "post_id", "ts", *[
-        period(F.col("ts"), r, cfg.rollover_minutes).alias(f"__{r}") for r in ("day", "week", "month")])
+    marked = views.selectExpr("event_id", "post_id", "ts", *[
+        f"{period('ts', r, cfg.rollover_minutes)} AS __{r}" for r in ("day", "week", "month")])
     frames = {r: [] if r == "total" else [f"__{r}"] for r in LIVE_RANGES if cfg.enabled(r)}
     return running_positions(marked, ["post_id"], "ts", "event_id", frames, seconds) \
         .select("event_id", "post_id", "ts", *frames)

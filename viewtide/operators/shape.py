@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.config import ShapeConfig
-from viewtide.functions.calendar import instant, period, weekday
+from viewtide.functions.calendar import at, period
+from viewtide.functions.formulas import clip, num
 
 
 def hour_bins(views: DataFrame, cfg: ShapeConfig = ShapeConfig(), site_cols=()) -> DataFrame:
@@ -16,43 +15,53 @@ def hour_bins(views: DataFrame, cfg: ShapeConfig = ShapeConfig(), site_cols=())
 
     One aggregation with 24 conditional counts: each task ships one row per day.
     """
-    log = views.select(*site_cols, F.to_date("ts").alias("site_day"), F.hour("ts").alias("__h"),
-                       (F.hour("ts") * 60 + F.minute("ts")).alias("__m"))
-    if not cfg.collect:
-        log = log.limit(0)
-    log = log.filter(F.col("__m") >= cfg.skip_minutes)
-    bins = [F.count_if(F.col("__h") == h) for h in range(24)]
-    return log.groupBy(*site_cols, "site_day").agg(F.array(*bins).alias("hour_bins"), F.count("*").alias("total"))
+    log = views.filter(F.expr(f"hour(ts) * 60 + minute(ts) >= {cfg.skip_minutes}") & F.lit(cfg.collect))
+    log = log.selectExpr(*site_cols, "to_date(ts) AS site_day", "hour(ts) AS __h")
+    bins = ", ".join(f"count_if(__h = {h})" for h in range(24))
+    return log.groupBy(*site_cols, "site_day").agg(F.expr(f"array({bins})").alias("hour_bins"),
+                                                   F.count("*").alias("total"))
 
 
 def merge_bins(a: DataFrame, b: DataFrame, site_cols=()) -> DataFrame:
     """Add two sets of bins day by day (late or parallel collectors)."""
-    keys = [*site_cols, "site_day"]
-    sums = [F.sum(F.col("hour_bins")[h]).alias(f"h{h}") for h in range(24)]
-    return a.unionByName(b).groupBy(*keys).agg(*sums, F.sum("total").alias("total")).select(
-        *keys, F.array(*[f"h{h}" for h in range(24)]).alias("hour_bins"), "total")
+    sums = ", ".join(f"sum(hour_bins[{h}])" for h in range(24))
+    return a.unionByName(b).groupBy(*site_cols, "site_day").agg(
+        F.expr(f"array({sums})").alias("hour_bins"), F.sum("total").alias("total"))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """Use a value several times in ``body`` while computing it once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use an array expression several times while computing it once."""
-    return F.transform(F.array(value), body)[0]
+def _mean(arr: str) -> str:
+    return f"(aggregate({arr}, 0D, (x, y) -> x + y) / size({arr}))"
 
 
-def mean_one(arr: Column) -> Column:
+def mean_one(arr: str) -> str:
     """Scale to mean 1; unchanged when empty or when the mean is not positive."""
-    def scaled(a: Column) -> Column:
-        mean = F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-        return _let(mean, lambda m: F.when(m > 0, F.transform(a, lambda x: x / m)).otherwise(a))
+    scaled = _let("m", _mean("a"), "CASE WHEN m > 0 THEN transform(a, v -> v / m) ELSE a END")
+    return _let("a", arr, f"CASE WHEN size(a) > 0 THEN {scaled} ELSE a END")
 
-    return F.when(F.size(arr) > 0, _let(arr, scaled)).otherwise(arr)
 
+def _neutral(n: int) -> str:
+    return f"array_repeat(1D, {n})"
 
-def _clip(x: Column, cfg: ShapeConfig) -> Column:
-    return F.greatest(F.lit(cfg.low), F.least(F.lit(cfg.high), x))
 
+def _hour_step(cfg: ShapeConfig) -> str:
+    prior = num(1.0 / 24.0)
+    share = f"((n + {num(cfg.kappa_hour)} * {prior}) / (d.total + {int(cfg.kappa_hour)}))"
+    target = clip(f"{share} / {prior}", cfg.low, cfg.high)
+    blend = f"{num(1 - cfg.alpha_hour)} * p + {num(cfg.alpha_hour)} * {target}"
+    return mean_one(f"zip_with(s, d.hour_bins, (p, n) -> {blend})")
 
-def _neutral(n: int) -> Column:
-    return F.array_repeat(F.lit(1.0), n)
+
+def _wday_step(cfg: ShapeConfig) -> str:
+    steady = f"((d.total + {num(cfg.kappa_wday)}) / {num(1.0 + cfg.kappa_wday)})"
+    target = clip(f"{steady} / (CASE WHEN avg <= 0 THEN 1D ELSE avg END)", cfg.low, cfg.high)
+    blend = f"{num(1 - cfg.alpha_wday)} * p + {num(cfg.alpha_wday)} * {target}"
+    moved = f"transform(s, (p, i) -> CASE WHEN i = dayofweek(d.site_day) - 1 THEN {blend} ELSE p END)"
+    return mean_one(_let("avg", _mean("s"), moved))
 
 
 def learn_shape(bins: DataFrame, cfg: ShapeConfig = ShapeConfig(), as_of=None, start: DataFrame | None = None,
@@ -65,54 +74,34 @@ def learn_shape(bins: DataFrame, cfg: ShapeConfig = ShapeConfig(), as_of=None, s
     """
     days = bins.filter(F.col("total") >= cfg.min_daily)
     if as_of is not None:
-        days = days.filter(F.col("site_day") < period(instant(as_of), "day", cfg.skip_minutes))
+        days = days.filter(f"site_day < {period(at(as_of), 'day', cfg.skip_minutes)}")
     packed = days.groupBy(*site_cols).agg(
-        F.array_sort(F.collect_list(F.struct("site_day", "hour_bins", "total"))).alias("days"))
-    hour0, wday0 = _neutral(24), _neutral(7)
-    if start is not None and site_cols:
-        old = start.select(*site_cols, F.col("hour").alias("__h0"), F.col("wday").alias("__w0"))
-        packed = packed.join(old, list(site_cols), "full")
-        hour0, wday0 = F.coalesce("__h0", hour0), F.coalesce("__w0", wday0)
-    elif start is not None:
+        F.expr("array_sort(collect_list(struct(site_day, hour_bins, total)))").alias("days"))
+    if start is None:
+        packed = packed.selectExpr("*", f"{_neutral(24)} AS h0", f"{_neutral(7)} AS w0")
+    elif site_cols:
+        old = start.select(*site_cols, F.col("hour").alias("__h"), F.col("wday").alias("__w"))
+        packed = packed.join(old, list(site_cols), "full").selectExpr(
+            "*", f"coalesce(__h, {_neutral(24)}) AS h0", f"coalesce(__w, {_neutral(7)}) AS w0")
+    else:
         one = start.limit(1)
-        hour0 = F.coalesce(one.select("hour").scalar(), hour0)
-        wday0 = F.coalesce(one.select("wday").scalar(), wday0)
-    prior = F.lit(1.0 / 24.0)
-
-    def hour_step(shape: Column, day: Column) -> Column:
-        def blended(prev: Column, n: Column) -> Column:
-            share = (n + F.lit(float(cfg.kappa_hour)) * prior) / (day["total"] + F.lit(cfg.kappa_hour))
-            return F.lit(1 - cfg.alpha_hour) * prev + F.lit(cfg.alpha_hour) * _clip(share / prior, cfg)
-
-        return mean_one(F.zip_with(shape, day["hour_bins"], blended))
-
-    def wday_step(shape: Column, day: Column) -> Column:
-        mean = F.aggregate(shape, F.lit(0.0), lambda x, y: x + y) / F.lit(7.0)
-        mean = F.when(mean <= 0, F.lit(1.0)).otherwise(mean)
-        steady = (day["total"] + F.lit(float(cfg.kappa_wday))) / F.lit(1.0 + cfg.kappa_wday)
-        mult = _clip(steady / mean, cfg)
-        today = weekday(day["site_day"])
-
-        def one(prev: Column, i: Column) -> Column:
-            return F.when(i == today, F.lit(1 - cfg.alpha_wday) * prev + F.lit(cfg.alpha_wday) * mult).otherwise(prev)
-
-        return mean_one(F.transform(shape, one))
-
-    return packed.select(
+        packed = packed.select("*", F.coalesce(one.select("hour").scalar(), F.expr(_neutral(24))).alias("h0"),
+                               F.coalesce(one.select("wday").scalar(), F.expr(_neutral(7))).alias("w0"))
+    return packed.selectExpr(
         *site_cols,
-        F.coalesce(F.aggregate("days", hour0, hour_step), hour0).alias("hour"),
-        F.coalesce(F.aggregate("days", wday0, wday_step), wday0).alias("wday"),
-        F.coalesce(F.size("days"), F.lit(0)).alias("days_learned"),
+        f"coalesce(aggregate(days, h0, (s, d) -> {_hour_step(cfg)}), h0) AS hour",
+        f"coalesce(aggregate(days, w0, (s, d) -> {_wday_step(cfg)}), w0) AS wday",
+        "coalesce(size(days), 0) AS days_learned",
     )
 
 
 def factors(shape: DataFrame, as_of, site_cols=()) -> DataFrame:
     """The shape's hour and weekday multipliers at an instant; neutral when malformed."""
-    now = instant(as_of)
+    now = at(as_of)
 
-    def at(name: str, n: int, index: Column) -> Column:
-        valid = F.when(F.size(name) == n, F.col(name)).otherwise(_neutral(n))
-        return F.element_at(mean_one(valid), index + 1)
+    def pick(name: str, n: int, index: str) -> str:
+        valid = f"CASE WHEN size({name}) = {n} THEN {name} ELSE {_neutral(n)} END"
+        return f"element_at({mean_one(valid)}, {index})"
 
-    return shape.select(*site_cols, at("hour", 24, F.hour(now)).alias("hour_factor"),
-                        at("wday", 7, weekday(now)).alias("wday_factor"))
+    return shape.selectExpr(*site_cols, f"{pick('hour', 24, f'hour({now}) + 1')} AS hour_factor",
+                            f"{pick('wday', 7, f'dayofweek({now})')} AS wday_factor")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from viewtide.config import LIVE_RANGES, TrendingConfig
 from viewtide.functions import formulas as fx
-from viewtide.functions.calendar import hours_between, instant
+from viewtide.functions.calendar import at, hours_between
 from viewtide.sources.tables import live_state
 
 TAXONOMIES = ("category", "post_tag")
+LISTS = ("day", "week", "month", "total")  # by priority
 
 
 def segment(cols) -> Column:
@@ -25,22 +25,23 @@ def bounded(df: DataFrame, rows: int, segment_cols) -> DataFrame:
     return F.broadcast(df) if not segment_cols and rows <= 100_000 else df
 
 
+def known_terms(post_terms: DataFrame) -> DataFrame:
+    return post_terms.filter(F.col("taxonomy").isin(*TAXONOMIES)).select("post_id", "taxonomy", "term_id")
+
+
 def hot_topics(counters: DataFrame, posts: DataFrame, post_terms: DataFrame, as_of,
                cfg: TrendingConfig = TrendingConfig(), segment_cols=()) -> DataFrame:
     """Heat 0..1 of categories and tags among the most viewed fresh posts."""
-    since = instant(as_of) - F.expr(f"INTERVAL {cfg.hot_hours} HOUR")
-    fresh = posts.filter((F.col("status") == "publish") & (F.col("published_at") >= since)) \
+    fresh = posts.filter(f"status = 'publish' AND published_at >= {at(as_of)} - INTERVAL {cfg.hot_hours} HOUR") \
         .select("post_id", segment(segment_cols).alias("segment"))
-    seen = counters.filter(F.col("day") > 0).select("post_id", "day")
-    best = W.partitionBy("segment").orderBy(F.desc("day"), F.desc("post_id"))
-    top = fresh.join(seen, "post_id").withColumn("__rn", F.row_number().over(best)) \
-        .filter(F.col("__rn") <= cfg.hot_posts).drop("__rn")
-    terms = post_terms.filter(F.col("taxonomy").isin(*TAXONOMIES)).select("post_id", "taxonomy", "term_id")
-    views = terms.join(bounded(top, cfg.hot_posts, segment_cols), "post_id") \
+    seen = counters.filter("day > 0").select("post_id", "day")
+    top = fresh.join(seen, "post_id").selectExpr(
+        "*", "row_number() OVER (PARTITION BY segment ORDER BY day DESC, post_id DESC) AS __rn") \
+        .filter(f"__rn <= {cfg.hot_posts}").drop("__rn")
+    views = known_terms(post_terms).join(bounded(top, cfg.hot_posts, segment_cols), "post_id") \
         .dropDuplicates(["post_id", "taxonomy", "term_id"]) \
         .groupBy("segment", "taxonomy", "term_id").agg(F.sum("day").alias("views"))
-    peak = F.max("views").over(W.partitionBy("segment", "taxonomy"))
-    return views.withColumn("heat", F.col("views") / peak)
+    return views.selectExpr("*", "views / max(views) OVER (PARTITION BY segment, taxonomy) AS heat")
 
 
 def candidates(counters: DataFrame, posts: DataFrame, cfg: TrendingConfig = TrendingConfig(),
@@ -52,66 +53,49 @@ def candidates(counters: DataFrame, posts: DataFrame, cfg: TrendingConfig = Tren
     anything is shuffled; all later steps see at most four lists per segment. The counters
     and post columns the score needs ride along, so they are not joined again.
     """
+    carried = ["author_id", "published_at", *LIVE_RANGES]
     dim = posts.filter((F.col("status") == "publish") & F.col("post_type").isin(list(cfg.types()))) \
         .select("post_id", segment(segment_cols).alias("segment"), "author_id", "published_at")
     base = counters.select("post_id", *LIVE_RANGES).join(dim, "post_id")
-    lists = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("list"), F.col(r).alias("value")) for i, r in enumerate(("day", "week", "month", "total"))]))
-    carried = ["author_id", "published_at", *LIVE_RANGES]
-    long = base.select("segment", "post_id", *carried, lists.alias("l")).select("*", "l.list", "l.value").drop("l") \
-        .filter(F.col("value").isNotNull())
-    best = W.partitionBy("segment", "list").orderBy(F.desc("value"), F.desc("post_id"))
-    cut = long.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= cfg.limit)
-    ranks = {r: f"{r}_rank" for r in ("day", "week", "month", "total")}
-    one = cut.groupBy("segment", "post_id").agg(
-        *[F.max(F.when(F.col("list") == i, F.col("__rank") - 1)).alias(ranks[r]) for i, r in enumerate(ranks)],
+    long = base.selectExpr(
+        "segment", "post_id", *carried,
+        f"stack({len(LISTS)}, {', '.join(f'{i}, {r}' for i, r in enumerate(LISTS))}) AS (list, value)",
+    ).filter("value IS NOT NULL")
+    kept = long.selectExpr(
+        "*", "row_number() OVER (PARTITION BY segment, list ORDER BY value DESC, post_id DESC) AS __rank",
+    ).filter(f"__rank <= {cfg.limit}")
+    one = kept.groupBy("segment", "post_id").agg(
+        *[F.expr(f"max(CASE WHEN list = {i} THEN __rank - 1 END) AS {r}_rank") for i, r in enumerate(LISTS)],
         *[F.max(c).alias(c) for c in carried],
     )
-    per = W.partitionBy("segment")
-    first_list = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(ranks.values())])
-    score = F.lit(0.0)
-    for r, c in ranks.items():
-        part = F.lit(float(cfg.list_weights[r])) * (F.lit(1.0) - F.col(c) / F.lit(float(max(1, cfg.limit))))
-        score = score + F.coalesce(part, F.lit(0.0))
-    score = score + F.when(F.col("day_rank").isNotNull(), F.lit(cfg.day_bonus)).otherwise(F.lit(0.0))
-    kept = max(cfg.limit, cfg.min_count)
-    fused = (
-        one.withColumn("fusion_score", score)
-        .withColumn("by_day", F.count("day_rank").over(per) >= cfg.min_count)
-        .withColumn("first_list", first_list)
-        .withColumn("first_rank", F.coalesce(*ranks.values()))
-        .withColumn("list_pos", F.row_number().over(per.orderBy("first_list", "first_rank")))
-        .filter(F.when(F.col("by_day"), F.col("day_rank").isNotNull()).otherwise(F.col("list_pos") <= kept))
-    )
+    ranks = [f"{r}_rank" for r in LISTS]
+    parts = [f"coalesce({fx.num(cfg.list_weights[r])} * (1D - {r}_rank / {fx.num(max(1, cfg.limit))}), 0D)" for r in LISTS]
+    bonus = f"CASE WHEN day_rank IS NOT NULL THEN {fx.num(cfg.day_bonus)} ELSE 0D END"
+    first_list = "CASE " + " ".join(f"WHEN {c} IS NOT NULL THEN {i}" for i, c in enumerate(ranks)) + " END"
+    fused = one.selectExpr(
+        "*", f"{' + '.join(parts)} + {bonus} AS fusion_score",
+        f"count(day_rank) OVER (PARTITION BY segment) >= {cfg.min_count} AS by_day",
+        f"row_number() OVER (PARTITION BY segment ORDER BY {first_list}, coalesce({', '.join(ranks)})) AS list_pos",
+    ).filter(f"CASE WHEN by_day THEN day_rank IS NOT NULL ELSE list_pos <= {max(cfg.limit, cfg.min_count)} END")
     # Posts past ``limit`` only pad a list shorter than ``min_count``: they stay last.
-    padded = F.col("list_pos") > cfg.limit
-    order = per.orderBy(
-        F.when(padded, F.col("list_pos")).otherwise(F.lit(0)),
-        F.when(F.col("by_day"), F.col("day_rank").cast("double")).otherwise(-F.col("fusion_score")),
-        F.col("day_rank").asc_nulls_last(), F.col("week_rank").asc_nulls_last(), F.desc("post_id"))
-    return fused.withColumn("cand_rank", F.row_number().over(order)).drop("first_list", "first_rank", "list_pos")
+    return fused.selectExpr("*", f"""row_number() OVER (PARTITION BY segment ORDER BY
+        CASE WHEN list_pos > {cfg.limit} THEN list_pos ELSE 0 END,
+        CASE WHEN by_day THEN CAST(day_rank AS DOUBLE) ELSE -fusion_score END,
+        day_rank ASC NULLS LAST, week_rank ASC NULLS LAST, post_id DESC) AS cand_rank""").drop("list_pos")
 
 
 def term_features(cands: DataFrame, post_terms: DataFrame, heat: DataFrame, cfg: TrendingConfig,
                   segment_cols=()) -> DataFrame:
     """Per candidate: its term ids, topic momentum, and hottest category."""
-    rows = max(cfg.limit, cfg.min_count)
-    ids = bounded(cands.select("segment", "post_id"), rows, segment_cols)
-    terms = post_terms.filter(F.col("taxonomy").isin(*TAXONOMIES)) \
-        .select("post_id", "taxonomy", "term_id").join(ids, "post_id") \
-        .dropDuplicates(["segment", "post_id", "taxonomy", "term_id"])
+    ids = bounded(cands.select("segment", "post_id"), max(cfg.limit, cfg.min_count), segment_cols)
+    terms = known_terms(post_terms).join(ids, "post_id").dropDuplicates(["segment", "post_id", "taxonomy", "term_id"])
     known = terms.join(heat.select("segment", "taxonomy", "term_id", "heat"), ["segment", "taxonomy", "term_id"], "left")
-    is_category = F.col("taxonomy") == "category"
-    boost = F.coalesce(F.col("heat"), F.lit(0.0)) * F.when(is_category, F.lit(0.1)).otherwise(F.lit(0.05))
-
-    def ids_of(cond: Column) -> Column:
-        return F.sort_array(F.collect_set(F.when(cond, F.col("term_id"))))
-
+    boost = "1D + coalesce(heat, 0D) * CASE taxonomy WHEN 'category' THEN 0.1D ELSE 0.05D END"
     return known.groupBy("segment", "post_id").agg(
-        ids_of(is_category).alias("categories"),
-        ids_of(~is_category).alias("tags"),
-        F.least(F.product(F.lit(1.0) + boost), F.lit(1.5)).alias("momentum"),
-        F.coalesce(F.max(F.when(is_category, F.col("heat"))), F.lit(0.0)).alias("category_heat"),
+        F.expr("sort_array(collect_set(CASE taxonomy WHEN 'category' THEN term_id END)) AS categories"),
+        F.expr("sort_array(collect_set(CASE taxonomy WHEN 'post_tag' THEN term_id END)) AS tags"),
+        F.least(F.product(F.expr(boost)), F.lit(1.5)).alias("momentum"),
+        F.expr("coalesce(max(CASE taxonomy WHEN 'category' THEN heat END), 0D) AS category_heat"),
     )
 
 
@@ -120,107 +104,69 @@ def features(cands: DataFrame, post_terms: DataFrame, engagement: DataFrame | No
              state: DataFrame | None = None, segment_cols=()) -> DataFrame:
     """Candidates with everything a score is made of. ``shape`` holds ``hour_factor`` and
     ``wday_factor`` (per ``segment`` when there are segments)."""
-    now = instant(as_of)
-    rows = max(cfg.limit, cfg.min_count)
-    out = cands.filter(F.unix_seconds("published_at") > 0)
-    out = out.select(*[c for c in out.columns if c not in LIVE_RANGES],
-                     *[F.coalesce(F.col(r), F.lit(0)).alias(r) for r in LIVE_RANGES])
-    out = out.withColumn("age", F.greatest(F.lit(0.5), hours_between(now, F.col("published_at"))))
-    out = out.join(term_features(cands, post_terms, heat, cfg, segment_cols), ["segment", "post_id"], "left")
-    none = F.array().cast("array<bigint>")
-    out = out.withColumns({
-        "categories": F.coalesce("categories", none),
-        "tags": F.coalesce("tags", none),
-        "momentum": F.coalesce("momentum", F.lit(1.0)),
-        "category_heat": F.coalesce("category_heat", F.lit(0.0)),
-    })
+    out = cands.filter("unix_seconds(published_at) > 0") \
+        .join(term_features(cands, post_terms, heat, cfg, segment_cols), ["segment", "post_id"], "left")
+    actions, factor, previous = "0L", F.lit(1.0), ["CAST(NULL AS DOUBLE) AS prev_ewma",
+                                                  "CAST(NULL AS DOUBLE) AS prev_score", "CAST(NULL AS INT) AS prev_streak"]
     if engagement is not None:
-        ids = bounded(cands.select("post_id"), rows, segment_cols)
-        actions = engagement.join(ids, "post_id", "left_semi").select(
-            "post_id", sum((F.coalesce(F.col(c), F.lit(0)) for c in ("comments", "likes", "shares")), F.lit(0)).alias("actions"))
-        out = out.join(actions, "post_id", "left")
-    else:
-        out = out.withColumn("actions", F.lit(0).cast("bigint"))
-    out = out.withColumn("actions", F.coalesce("actions", F.lit(0)))
-    if shape is None:
-        out = out.withColumn("shape_factor", F.lit(1.0))
-    else:
-        f = shape.withColumn("shape_factor", F.col("hour_factor") * F.col("wday_factor"))
+        ids = bounded(cands.select("post_id"), max(cfg.limit, cfg.min_count), segment_cols)
+        actions = "coalesce(__actions, 0L)"
+        summed = "coalesce(comments, 0L) + coalesce(likes, 0L) + coalesce(shares, 0L) AS __actions"
+        out = out.join(engagement.join(ids, "post_id", "left_semi").selectExpr("post_id", summed), "post_id", "left")
+    if shape is not None:
+        both = shape.withColumn("__shape", F.expr("hour_factor * wday_factor"))
         if "segment" in shape.columns:
-            out = out.join(f.select("segment", "shape_factor"), "segment", "left")
+            out = out.join(both.select("segment", "__shape"), "segment", "left")
+            factor = F.expr("coalesce(__shape, 1D)")
         else:
-            out = out.withColumn("shape_factor", f.select("shape_factor").limit(1).scalar())
-        out = out.withColumn("shape_factor", F.coalesce("shape_factor", F.lit(1.0)))
-    if state is None:
-        blank = {"prev_ewma": "double", "prev_score": "double", "prev_streak": "int"}
-        return out.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
-    alive = live_state(state, as_of, cfg.ewma_ttl_hours, cfg.score_ttl_hours, cfg.streak_ttl_hours).select(
-        "segment", "post_id", F.col("ewma").alias("prev_ewma"), F.col("last_score").alias("prev_score"),
-        F.col("streak").alias("prev_streak"))
-    return out.join(alive, ["segment", "post_id"], "left")
+            factor = F.coalesce(both.select("__shape").limit(1).scalar(), factor)
+    if state is not None:
+        alive = live_state(state, as_of, cfg.ewma_ttl_hours, cfg.score_ttl_hours, cfg.streak_ttl_hours).selectExpr(
+            "segment", "post_id", "ewma AS prev_ewma", "last_score AS prev_score", "streak AS prev_streak")
+        out = out.join(alive, ["segment", "post_id"], "left")
+        previous = ["prev_ewma", "prev_score", "prev_streak"]
+    return out.select(*map(F.expr, [
+        "segment", "post_id", "author_id", "published_at", "cand_rank", "fusion_score", "by_day",
+        *[f"{r}_rank" for r in LISTS],
+        *[f"coalesce({r}, 0L) AS {r}" for r in LIVE_RANGES],
+        f"greatest(0.5D, {hours_between(at(as_of), 'published_at')}) AS age",
+        "coalesce(categories, CAST(array() AS array<bigint>)) AS categories",
+        "coalesce(tags, CAST(array() AS array<bigint>)) AS tags",
+        "coalesce(momentum, 1D) AS momentum", "coalesce(category_heat, 0D) AS category_heat",
+        f"{actions} AS actions", *previous,
+    ]), factor.alias("shape_factor"))
 
 
 def score(feats: DataFrame, cfg: TrendingConfig = TrendingConfig()) -> DataFrame:
-    """Every component and the capped score, before ranking. All in built-in expressions."""
-    c = F.col
-    out = feats.withColumn("day_used", fx.day_used(c("day"), c("week"), c("month"), c("age")))
-    out = out.withColumns({
-        "velocity": fx.velocity(c("day_used"), c("week"), c("month"), c("age")),
-        "time_decay": fx.time_decay(c("age")),
-        "engagement": fx.engagement(c("actions"), c("day_used")),
-        "freshness": fx.freshness(c("age")),
-        "expected": fx.expected_views(c("week"), c("age"), c("shape_factor"), c("category_heat")),
-        "rate": fx.hourly_rate(c("day"), c("age")),
-        "anti": fx.anti_gaming(c("day"), c("month"), c("total")),
-    })
-    out = out.withColumns({
-        "uplift_raw": fx.uplift_raw(c("day"), c("expected")),
-        "ewma_val": fx.ewma_value(c("rate"), c("prev_ewma")),
-    })
-    out = out.withColumns({
-        "uplift": fx.uplift(c("uplift_raw")),
-        "acc": fx.acceleration(c("ewma_val"), c("prev_ewma"), c("rate")),
-    })
-    out = out.withColumn("ewma", fx.ewma_multiplier(c("ewma_val"), c("acc")))
-
-    def powered(name: str) -> Column:
-        w = cfg.weight(name)
-        return c(name) if w == 1.0 else F.pow(c(name), F.lit(w))
-
-    raw = (c("velocity") * c("time_decay") * powered("engagement") * powered("freshness") * powered("momentum")
-           * powered("uplift") * powered("ewma") * c("anti"))
-    return out.withColumn("raw_score", raw) \
-        .withColumn("capped", fx.growth_cap(fx.soft_cap(c("raw_score")), c("prev_score")))
+    """Every component and the capped score, before ranking. One projection; each
+    expression uses the names of the ones before it."""
+    return feats.selectExpr(
+        "*", *[f"{sql} AS {name}" for name, sql in fx.COMPONENTS.items()],
+        f"{fx.raw_score(cfg.weight)} AS raw_score", f"{fx.CAPPED} AS capped")
 
 
 def rank_twice(scored: DataFrame, cfg: TrendingConfig = TrendingConfig()) -> DataFrame:
     """Rank on the rounded score, apply exposure fatigue, rank again. Equal scores keep
     their earlier order."""
-    c = F.col
-    per = W.partitionBy("segment")
-    out = scored.withColumn("base_score", F.round("capped", 4))
-    out = out.withColumn("pre_rank", F.row_number().over(per.orderBy(F.desc("base_score"), "cand_rank")))
-    in_top = c("pre_rank") <= cfg.top_size
-    out = out.withColumn("streak", F.when(in_top, F.coalesce("prev_streak", F.lit(0)) + 1).otherwise(F.lit(0)))
-    out = out.withColumn("fatigue", fx.fatigue(c("streak")))
-    out = out.withColumn("score", c("base_score") * F.pow(c("fatigue"), F.lit(cfg.weight("fatigue"))))
-    return out.withColumn("score_rank", F.row_number().over(per.orderBy(F.desc("score"), "pre_rank")))
+    first = scored.withColumn("base_score", F.round("capped", 4)).selectExpr(
+        "*", "row_number() OVER (PARTITION BY segment ORDER BY base_score DESC, cand_rank) AS pre_rank")
+    tired = first.selectExpr(
+        "*", f"CASE WHEN pre_rank <= {cfg.top_size} THEN coalesce(prev_streak, 0) + 1 ELSE 0 END AS streak",
+        f"{fx.FATIGUE} AS fatigue", f"base_score * pow(fatigue, {fx.num(cfg.weight('fatigue'))}) AS score")
+    return tired.selectExpr("*", "row_number() OVER (PARTITION BY segment ORDER BY score DESC, pre_rank) AS score_rank")
 
 
 def next_state(run: DataFrame, state: DataFrame | None, as_of, cfg: TrendingConfig = TrendingConfig()) -> DataFrame:
     """State after a run: scored posts are renewed, others keep what is still alive."""
-    now = instant(as_of)
-    in_top = F.col("streak") > 0
-    new = run.select(
-        "segment", "post_id",
-        F.col("ewma_val").alias("ewma"), now.alias("ewma_at"),
-        F.col("capped").alias("last_score"), now.alias("score_at"),
-        F.when(in_top, F.col("streak")).alias("streak"), F.when(in_top, now).alias("streak_at"))
+    now = at(as_of)
+    new = run.selectExpr(
+        "segment", "post_id", "ewma_val AS ewma", f"{now} AS ewma_at", "capped AS last_score", f"{now} AS score_at",
+        "CASE WHEN streak > 0 THEN streak END AS streak", f"CASE WHEN streak > 0 THEN {now} END AS streak_at")
     if state is None:
         return new
     old = live_state(state, as_of, cfg.ewma_ttl_hours, cfg.score_ttl_hours, cfg.streak_ttl_hours)
     kept = old.join(new.select("segment", "post_id"), ["segment", "post_id"], "left_anti") \
-        .filter(F.coalesce("ewma_at", "score_at", "streak_at").isNotNull())
+        .filter("coalesce(ewma_at, score_at, streak_at) IS NOT NULL")
     return kept.unionByName(new)
 
 
@@ -230,11 +176,11 @@ def streaks(history: DataFrame, cfg: TrendingConfig = TrendingConfig()) -> DataF
     A streak breaks when a run leaves the post out of the top, or when its last top run is
     older than the state's lifetime.
     """
-    per = W.partitionBy("segment", "post_id").orderBy("run_at")
-    hours = hours_between(F.col("run_at"), F.lag("run_at").over(per))
-    broke = ~F.col("in_top") | F.coalesce(hours > cfg.streak_ttl_hours, F.lit(False))
-    marked = history.withColumn("__island", F.sum(F.when(broke, 1).otherwise(0)).over(per))
-    run = W.partitionBy("segment", "post_id", "__island").orderBy("run_at")
-    streak = F.sum(F.when(F.col("in_top"), 1).otherwise(0)).over(run).cast("int")
-    return marked.withColumn("streak", streak).drop("__island") \
-        .withColumn("fatigue", fx.fatigue(F.col("streak")))
+    per = "PARTITION BY segment, post_id ORDER BY run_at"
+    gap = hours_between("run_at", f"lag(run_at) OVER ({per})")
+    marked = history.selectExpr("*", f"NOT in_top OR coalesce({gap} > {fx.num(cfg.streak_ttl_hours)}, false) AS __broke")
+    island = marked.selectExpr("*", f"sum(CASE WHEN __broke THEN 1 ELSE 0 END) OVER ({per}) AS __island")
+    run = "PARTITION BY segment, post_id, __island ORDER BY run_at"
+    counted = island.selectExpr(
+        "*", f"CAST(sum(CASE WHEN in_top THEN 1 ELSE 0 END) OVER ({run}) AS INT) AS streak")
+    return counted.selectExpr("*", f"{fx.FATIGUE} AS fatigue").drop("__broke", "__island")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide import schema
-from viewtide.functions.calendar import instant
+from viewtide.functions.calendar import at
 
 
 def read_table(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet") -> DataFrame:
@@ -92,16 +92,13 @@ def neutral_shape(spark: SparkSession) -> DataFrame:
 
 def live_state(state: DataFrame, as_of, ewma_h: float, score_h: float, streak_h: float) -> DataFrame:
     """State columns that are still inside their time to live at ``as_of``, else NULL."""
-    now = instant(as_of)
-
-    def alive(at: str, hours: float) -> Column:
-        age = F.unix_micros(now) - F.unix_micros(F.col(at))
-        return age.between(0, int(hours * 3_600_000_000))
-
-    return state.select(
-        "segment",
-        "post_id",
-        *[F.when(alive("ewma_at", ewma_h), F.col(c)).alias(c) for c in ("ewma", "ewma_at")],
-        *[F.when(alive("score_at", score_h), F.col(c)).alias(c) for c in ("last_score", "score_at")],
-        *[F.when(alive("streak_at", streak_h), F.col(c)).alias(c) for c in ("streak", "streak_at")],
+    def alive(at_col: str, hours: float, value: str) -> str:
+        age = f"unix_micros({at(as_of)}) - unix_micros({at_col})"
+        return f"CASE WHEN {age} BETWEEN 0 AND {int(hours * 3_600_000_000)} THEN {value} END AS {value}"
+
+    return state.selectExpr(
+        "segment", "post_id",
+        *[alive("ewma_at", ewma_h, v) for v in ("ewma", "ewma_at")],
+        *[alive("score_at", score_h, v) for v in ("last_score", "score_at")],
+        *[alive("streak_at", streak_h, v) for v in ("streak", "streak_at")],
     )

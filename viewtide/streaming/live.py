@@ -45,7 +45,7 @@ def live_counters(views: DataFrame, unit: str, late: str = LATE, cfg: CountingCo
 def live_months(views: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
     """Views per post and calendar month. A month key is no event-time window, so its
     state is not dropped by the watermark; it holds one row per post and month."""
-    month = period(F.col("ts"), "month", cfg.rollover_minutes)
+    month = F.expr(period("ts", "month", cfg.rollover_minutes))
     counted = views.groupBy(month.alias("period"), "post_id").agg(F.count("*").alias("views"))
     return counted.select(F.lit("month").alias("range"), "period", "post_id", "views")
 
