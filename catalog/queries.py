@@ -529,7 +529,7 @@ QUERIES = {
     "day_fallback": dawn_fallback,
     "uplift": _parts("expected", "uplift_raw", "uplift"),
     "ewma": _parts("ewma_val", "acc", "ewma", make=_second),
-    "anti_gaming": _parts("anti"),
+    "anti_gaming": _parts("penalty"),
     "trend_score": _parts("raw_score", "capped", make=_second),
     "fatigue": fatigue,
     "fatigue_history": fatigue_history,

@@ -58,7 +58,7 @@ EWMA_VAL = f"{num(EWMA_ALPHA)} * rate + {num(1 - EWMA_ALPHA)} * coalesce(prev_ew
 ACC = clip("ewma_val - coalesce(prev_ewma, rate)", -0.5, 0.5)
 EWMA = f"1D + {clip('ln(1D + ewma_val) * 0.15D + acc * 0.1D', -0.2, 0.3)}"
 
-ANTI = """CASE WHEN day / greatest(1D, greatest(1L, month) / 30D) > 20 THEN 0.9D ELSE 1D END
+PENALTY = """CASE WHEN day / greatest(1D, greatest(1L, month) / 30D) > 20 THEN 0.9D ELSE 1D END
     * CASE WHEN day / greatest(1D, greatest(1L, total) / 90D) > 50 THEN 0.85D ELSE 1D END"""
 
 CAPPED = f"""least({num(SOFT_CAP)} * (1D - exp(-raw_score / {num(SOFT_SCALE)})),
@@ -79,7 +79,7 @@ COMPONENTS = {
     "ewma_val": EWMA_VAL,
     "acc": ACC,
     "ewma": EWMA,
-    "anti": ANTI,
+    "penalty": PENALTY,
 }
 
 
@@ -89,7 +89,7 @@ def raw_score(weight) -> str:
         return name if weight(name) == 1.0 else f"pow({name}, {num(weight(name))})"
 
     return " * ".join(["velocity", "time_decay", *map(powered, (
-        "engagement", "freshness", "momentum", "uplift", "ewma")), "anti"])
+        "engagement", "freshness", "momentum", "uplift", "ewma")), "penalty"])
 
 
 def jaccard(a: str, b: str) -> str:
