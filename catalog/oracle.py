@@ -359,9 +359,9 @@ EXPLORE = """picks AS (
 spliced AS (
   SELECT post_id, CASE WHEN pos <= 7 THEN pos ELSE pos + 2 END AS pos FROM by_mmr
   UNION ALL SELECT post_id, 7 + k FROM picks),
-first_seen AS (SELECT post_id, min(pos) AS at FROM spliced GROUP BY post_id),
+first_seen AS (SELECT post_id, min(pos) AS p0 FROM spliced GROUP BY post_id),
 explored AS (
-  SELECT * FROM (SELECT post_id, row_number() OVER (ORDER BY at) AS pos FROM first_seen) WHERE pos <= 20)"""
+  SELECT * FROM (SELECT post_id, row_number() OVER (ORDER BY p0) AS pos FROM first_seen) WHERE pos <= 20)"""
 
 
 def diversity(source: str) -> str:
@@ -542,11 +542,11 @@ SELECT CAST(f.position AS INTEGER) AS position, f.post_id, {fixed('p.score', 3)}
 FROM final f JOIN pool p USING (post_id)"""),
     "trend_state": q(
         *TWO_RUNS,
-        f"""kept AS (SELECT post_id, ewma_val, TIMESTAMP '{BEFORE}' AS at, capped, CASE WHEN streak > 0 THEN streak END AS streak
+        f"""kept AS (SELECT post_id, ewma_val, TIMESTAMP '{BEFORE}' AS renewed, capped, CASE WHEN streak > 0 THEN streak END AS streak
                      FROM score0 WHERE post_id NOT IN (SELECT post_id FROM score))""",
-        f"new AS (SELECT post_id, ewma_val, TIMESTAMP '{NOW}' AS at, capped, CASE WHEN streak > 0 THEN streak END AS streak FROM score)",
+        f"new AS (SELECT post_id, ewma_val, TIMESTAMP '{NOW}' AS renewed, capped, CASE WHEN streak > 0 THEN streak END AS streak FROM score)",
         recursive=True, body=f"""
-SELECT post_id, {fixed('ewma_val')} AS ewma, at AS ewma_at, {fixed('capped')} AS last_score, CAST(streak AS INTEGER) AS streak
+SELECT post_id, {fixed('ewma_val')} AS ewma, renewed AS ewma_at, {fixed('capped')} AS last_score, CAST(streak AS INTEGER) AS streak
 FROM (SELECT * FROM kept UNION ALL SELECT * FROM new)"""),
     "trending_debug": q(*TWO_RUNS, recursive=True, body=f"""
 SELECT post_id, score_rank, {fixed('age', 2)} AS age_hours, {", ".join(f"{fixed(c, n)} AS {c}" for c, n in DEBUG_DIGITS.items())},
