@@ -105,7 +105,8 @@ def counters_wide(spark, d):
 
 
 def running(spark, d):
-    return c.running_counts(a.event_views(spark, d)).select("event_id", "post_id", "total", "day", "week", "month")
+    views = a.event_views(spark, d).select("event_id", "post_id", "ts")
+    return c.running_counts(views).select("event_id", "post_id", "total", "day", "week", "month")
 
 
 def applied(spark, d):

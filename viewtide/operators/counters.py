@@ -74,13 +74,15 @@ def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = Cou
     return joined.select(*[added(c) for c in counters.columns])
 
 
-def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), seconds: int = 60) -> DataFrame:
-    """Each view with its post's counters right after it was counted."""
-    marked = views.selectExpr("event_id", "post_id", "ts", *[
+def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), tiebreak: str = "event_id",
+                   counted: str = "true", seconds: int = 60) -> DataFrame:
+    """Each row with its post's counters right after it was counted (NULL when ``counted``
+    is false for it)."""
+    marked = views.selectExpr("*", *[
         f"{period('ts', r, cfg.rollover_minutes)} AS __{r}" for r in ("day", "week", "month")])
     frames = {r: [] if r == "total" else [f"__{r}"] for r in LIVE_RANGES if cfg.enabled(r)}
-    return running_positions(marked, ["post_id"], "ts", "event_id", frames, seconds) \
-        .select("event_id", "post_id", "ts", *frames)
+    rows = running_positions(marked, ["post_id"], "ts", tiebreak, frames, counted, seconds)
+    return rows.selectExpr(*views.columns, *[f"CASE WHEN {counted} THEN {r} END AS {r}" for r in frames])
 
 
 def _due(as_of, reset_week, reset_month, cfg: CountingConfig) -> dict[str, Column]:

@@ -29,36 +29,38 @@ def with_slice(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("bigint"))
 
 
-def running_positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
-                      frames: dict[str, list[str]], seconds: int = 60) -> DataFrame:
-    """Position of each row in time order within the key, once per frame.
+def running_positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, frames: dict[str, list[str]],
+                      counted: str = "true", seconds: int = 60) -> DataFrame:
+    """Running count of ``counted`` rows in time order within the key, once per frame.
 
     A frame is a list of extra grouping columns that only move forward in time (a day, a
-    week). Rows are numbered inside (key, slice) and shifted by the number of rows in the
-    key's earlier slices, so a hot key is spread over as many tasks as it has slices; only
-    slice sizes meet at the key. The shift joins on the columns the numbering already
-    shuffled by, so the log itself moves once.
+    week). Rows are counted inside (key, slice) and shifted by the counts of the key's
+    earlier slices, so a hot key is spread over as many tasks as it has slices; only slice
+    counts meet at the key. The shift joins on the columns the counting already shuffled
+    by, so the log itself moves once.
     """
-    sliced = with_slice(df, ts, seconds)
+    one = F.expr(f"CASE WHEN {counted} THEN 1 ELSE 0 END")
+    sliced = with_slice(df, ts, seconds).withColumn("__one", one)
     marks = list(dict.fromkeys(c for cols in frames.values() for c in cols))
     part = [*keys, "__slice", *marks]
-    sizes = sliced.groupBy(*part).agg(F.count("*").alias("__n"))
+    sizes = sliced.groupBy(*part).agg(F.sum("__one").alias("__n"))
 
     def before(cols):
         w = W.partitionBy(*keys, *cols).orderBy("__slice", *marks).rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum("__n").over(w), F.lit(0))
 
     offsets = sizes.select(*part, *[before(cols).alias(f"__before_{name}") for name, cols in frames.items()])
-    inside = F.row_number().over(W.partitionBy(*part).orderBy(ts, tiebreak))
+    inside = F.sum("__one").over(
+        W.partitionBy(*part).orderBy(ts, tiebreak).rowsBetween(W.unboundedPreceding, W.currentRow))
     shifted = sliced.withColumn("__in", inside).join(offsets, part)
     for name in frames:
         shifted = shifted.withColumn(name, F.col(f"__before_{name}") + F.col("__in"))
-    return shifted.drop("__slice", "__in", *[f"__before_{name}" for name in frames])
+    return shifted.drop("__slice", "__one", "__in", *[f"__before_{name}" for name in frames])
 
 
 def positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str = "n",
               seconds: int = 60) -> DataFrame:
-    return running_positions(df, keys, ts, tiebreak, {name: []}, seconds)
+    return running_positions(df, keys, ts, tiebreak, {name: []}, seconds=seconds)
 
 
 # --- ordered folds ------------------------------------------------------------------------

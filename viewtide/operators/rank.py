@@ -162,8 +162,10 @@ def ranking_tabs(counters: DataFrame, posts: DataFrame, tabs="total,day,week,mon
     long = rows.select("post_id", *known).unpivot("post_id", known, "tab", "views").filter("views IS NOT NULL")
     best = W.partitionBy("tab").orderBy(F.desc("views"), F.desc("post_id"))
     top = long.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= (number or 5))
-    shown = posts.select(F.col("post_id"), "title", "link")
-    return top.join(shown, "post_id").select("tab", "rank", F.col("post_id").alias("id"), "title", "link", "views")
+    if len(known) * (number or 5) <= 100_000:
+        top = F.broadcast(top)  # that many rows at most
+    shown = posts.select("post_id", "title", "link")
+    return shown.join(top, "post_id").select("tab", "rank", F.col("post_id").alias("id"), "title", "link", "views")
 
 
 def post_count(counters: DataFrame, posts: DataFrame, field: str = "total", fmt: str = "formatted",

@@ -10,6 +10,7 @@ from viewtide.functions.text import grouped_count, short_count
 from viewtide.operators.counters import running_counts
 from viewtide.operators.ipdedup import dedup_recent_ip
 from viewtide.operators.qualify import eligibility, request_views, veto
+from viewtide.session import cut
 
 
 def gate_requests(requests: DataFrame, posts: DataFrame, cfg: CountingConfig = CountingConfig(),
@@ -36,10 +37,10 @@ def count_requests(requests: DataFrame, posts: DataFrame, cfg: CountingConfig =
                    should_count: Column | None = None, **fold_options) -> DataFrame:
     """Per requested id: the reason it was refused, or its counters after counting it."""
     rows = gate_requests(requests, posts, cfg, should_count, **fold_options)
-    accepted = rows.filter(F.col("reason").isNull()).select(F.col("seq").alias("event_id"), "post_id", "ts")
+    if cfg.strict_ip:
+        rows = cut(rows)  # read twice below; the address check should run once
+    out = running_counts(rows, cfg, tiebreak="seq", counted="reason IS NULL")
     live = [r for r in LIVE_RANGES if cfg.enabled(r)]
-    counted = running_counts(accepted, cfg).select(F.col("event_id").alias("seq"), *live)
-    out = rows.join(counted, "seq", "left")
     return out.select(
         "request_id", "slot", "post_id", "reason", *live,
         grouped_count(F.col("total")).alias("total_formatted"), short_count(F.col("total")).alias("total_short"))

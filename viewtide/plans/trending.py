@@ -11,6 +11,7 @@ from viewtide.functions.calendar import instant
 from viewtide.operators import trend
 from viewtide.operators.rank import describe
 from viewtide.operators.rerank import rerank
+from viewtide.session import cut
 from viewtide.sources.tables import read_version, write_trending, write_version
 
 # Columns of a run, and the digits its display values are rounded to.
@@ -23,10 +24,13 @@ DISPLAY_DIGITS = {
 def score_run(counters: DataFrame, posts: DataFrame, post_terms: DataFrame, engagement: DataFrame | None, as_of,
               cfg: TrendingConfig = TrendingConfig(), shape: DataFrame | None = None,
               state: DataFrame | None = None, segment_cols=()) -> DataFrame:
-    """Candidates, scored and ranked before and after fatigue."""
+    """Candidates, scored and ranked before and after fatigue.
+
+    The candidates (at most ``limit`` rows per segment) are checkpointed: three joins read
+    them. ``counters`` should be a stored table, since candidates and hot topics both scan it.
+    """
     cands = trend.candidates(counters, posts, cfg, segment_cols)
-    if not cfg.enabled:
-        cands = cands.limit(0)
+    cands = cut(cands if cfg.enabled else cands.limit(0))
     heat = trend.hot_topics(counters, posts, post_terms, as_of, cfg, segment_cols)
     feats = trend.features(cands, post_terms, engagement, heat, as_of, cfg, shape, state, segment_cols)
     return trend.rank_twice(trend.score(feats, cfg), cfg)
