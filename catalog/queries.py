@@ -45,7 +45,7 @@ def _part_counters(spark, d, as_of=a.PARTS_AS_OF, **kw) -> DataFrame:
 
 def client_address(spark, d):
     r = a.requests(spark, d)
-    ip = client_ip(F.col("headers"))
+    ip = client_ip("headers")
     return r.select("event_id", ip.alias("ip"), ip_hash(ip).alias("ip_hash"))
 
 

@@ -27,31 +27,31 @@ def _ipv6() -> str:
 
 
 IPV6 = _ipv6()
-IP_PATTERN = f"^(({IPV4})|{IPV6})$"
 
 
-def clean_header(value: Column) -> Column:
+def clean_header(value: str) -> str:
     """Plain text of a header: no tags, no percent-encoded bytes, single spaces."""
-    plain = F.regexp_replace(value, r"<[^>]*>", "")
-    plain = F.regexp_replace(plain, r"%[0-9A-Fa-f]{2}", "")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    plain = f"regexp_replace(regexp_replace({value}, '<[^>]*>', ''), '%[0-9A-Fa-f]{{2}}', '')"
+    cleaned = f"trim(regexp_replace({plain}, '[ \\t\\r\\n]+', ' '))"
+    return f"CASE WHEN {value} RLIKE '[<% \\t\\r\\n]' THEN {cleaned} ELSE {value} END"
 
 
-def first_address(value: Column) -> Column:
-    return F.trim(F.substring_index(clean_header(value), ",", 1))
+def first_address(value: str) -> str:
+    return f"trim(substring_index({clean_header(value)}, ',', 1))"
 
 
-def is_ip(value: Column) -> Column:
-    return value.rlike(IP_PATTERN)
+def is_ip(value: str) -> str:
+    """The long IPv6 pattern only runs on text with a colon."""
+    v4, v6 = (p.replace("\\", "\\\\") for p in (f"^({IPV4})$", f"^({IPV6})$"))
+    return f"CASE WHEN contains({value}, ':') THEN {value} RLIKE '{v6}' ELSE {value} RLIKE '{v4}' END"
 
 
-def client_ip(headers: Column, keys=IP_HEADERS, default: str = "127.0.0.1") -> Column:
-    """First header, by priority, whose first entry is a valid address."""
-    found = []
-    for key in keys:
-        address = first_address(headers[key])
-        found.append(F.when(is_ip(address), address))
-    return F.coalesce(*found, F.lit(default))
+def client_ip(headers: str = "headers", keys=IP_HEADERS, default: str = "127.0.0.1") -> Column:
+    """First header, by priority, whose first entry is a valid address. Absent headers are
+    dropped before any text work."""
+    present = f"filter(array({', '.join(f'{headers}[{k!r}]' for k in keys)}), h -> h IS NOT NULL)"
+    valid = f"filter(transform({present}, h -> {first_address('h')}), a -> {is_ip('a')})"
+    return F.expr(f"coalesce(get({valid}, 0), '{default}')")
 
 
 def ip_hash(ip: Column) -> Column:

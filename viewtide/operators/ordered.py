@@ -136,7 +136,7 @@ def _walk(fold, batches, emit):
                 if current is not None:
                     emit.done(current, fold.snapshot(state))
                 current, state = (key, chunk), fold.start(items, at)
-            results.append(None if seed else fold.step(state, value, t))
+            results.append(None if seed or value is None else fold.step(state, value, t))
         yield from emit.batch(batch, results)
     if current is not None:
         emit.done(current, fold.snapshot(state))
@@ -240,6 +240,7 @@ def _chunked(rows: DataFrame, chunk_rows: int, max_chunks: int) -> tuple[DataFra
 def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fold, out: str,
                  chunk_rows: int = 1_000_000, max_chunks: int = 2000) -> DataFrame:
     """Run ``fold`` along each key's rows in (time, tiebreak) order; add its result as ``out``.
+    Rows whose ``value`` is NULL pass through untouched, with a NULL result.
 
     A key with more than ``chunk_rows`` rows is cut into chunks that run in parallel. Each
     chunk is first run from an empty state; then every chunk whose predecessor ended in a

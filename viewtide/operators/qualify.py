@@ -61,19 +61,21 @@ def batch_flush(views: DataFrame, batch: int, cfg: CountingConfig = CountingConf
              F.col("slot").cast("bigint").alias("slot"))
 
 
-def positive_id(raw: Column) -> Column:
-    """Leading integer of a value without its sign; 0 when there is none or it is too large."""
-    number = F.regexp_extract(raw.cast("string"), r"^\s*[+-]?(\d+)", 1).try_cast("bigint")
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+def positive_id(raw: str, numeric: bool) -> str:
+    """An id without its sign; text counts up to its leading integer, else 0."""
+    n = raw if numeric else f"try_cast(regexp_extract({raw}, '^[ \\\\t]*[+-]?([0-9]+)', 1) AS BIGINT)"
+    return f"coalesce(CASE WHEN {n} > -9223372036854775808L THEN abs({n}) END, 0L)"
 
 
 def request_views(requests: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
     """One row per requested id: capped first, then made absolute; garbage becomes 0."""
-    capped = F.slice("post_ids", 1, max(1, cfg.batch))
-    ids = F.transform(capped, positive_id)
+    numeric = requests.schema["post_ids"].dataType.elementType.typeName() != "string"
+    ids = F.expr(f"transform(slice(post_ids, 1, {max(1, cfg.batch)}), x -> {positive_id('x', numeric)})")
     rest = [c for c in requests.columns if c not in ("post_ids", "headers")]
-    rows = requests.select(*rest, client_ip(F.col("headers")).alias("ip"), F.posexplode(ids).alias("slot", "post_id"))
-    return rows.withColumn("ip_hash", ip_hash(F.col("ip")))
+    # The address is worked out once per request, before its ids are spread over rows.
+    rows = requests.select(*rest, client_ip("headers").alias("ip"), ids.alias("__ids"))
+    rows = rows.withColumn("ip_hash", ip_hash(F.col("ip")))
+    return rows.select(*rest, "ip", "ip_hash", F.posexplode("__ids").alias("slot", "post_id"))
 
 
 def eligibility(views: DataFrame, posts: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:

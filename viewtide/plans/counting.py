@@ -25,11 +25,12 @@ def gate_requests(requests: DataFrame, posts: DataFrame, cfg: CountingConfig = C
     seq = F.col("event_id") * F.lit(max(1, cfg.batch)) + F.col("slot")
     rows = eligibility(rows.withColumn("seq", seq.cast("bigint")), posts, cfg)
     if cfg.strict_ip:
-        passing = rows.filter(F.col("reason").isNull()).withColumnsRenamed({"event_id": "request_no", "seq": "event_id"})
-        tagged = dedup_recent_ip(passing, cfg, **fold_options) \
-            .withColumnsRenamed({"event_id": "seq", "request_no": "event_id"}) \
-            .withColumn("reason", F.when(F.col("ip_duplicate"), "ip_duplicate")).drop("ip_duplicate")
-        rows = rows.filter(F.col("reason").isNotNull()).unionByName(tagged)
+        # Rows refused so far carry no address, so the check passes over them.
+        asked = rows.withColumnsRenamed({"event_id": "request_no", "seq": "event_id", "ip_hash": "all_hash"}) \
+            .withColumn("ip_hash", F.expr("CASE WHEN reason IS NULL THEN all_hash END"))
+        rows = dedup_recent_ip(asked, cfg, **fold_options).drop("ip_hash") \
+            .withColumnsRenamed({"event_id": "seq", "request_no": "event_id", "all_hash": "ip_hash"}) \
+            .withColumn("reason", F.expr("CASE WHEN ip_duplicate THEN 'ip_duplicate' ELSE reason END")).drop("ip_duplicate")
     return veto(rows, should_count) if should_count is not None else rows
 
 
