@@ -11,6 +11,7 @@ import sys
 from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -67,10 +68,7 @@ def positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str
 
 @dataclass(frozen=True)
 class RecentFold:
-    """First-in first-out list of recent visitors with a lifetime renewed by inserts.
-
-    ``step`` is True when the visitor is still listed.
-    """
+    """First-in first-out list of recent visitors with a lifetime renewed by inserts."""
 
     slots: int = 75
     ttl_us: int = 14 * 86_400_000_000
@@ -80,19 +78,28 @@ class RecentFold:
         kept = deque(items or ())
         return [kept, set(kept), at]
 
-    def step(self, state, value, t):
+    def run(self, state, values, times):
+        """True for each value that is still listed when it comes."""
         kept, listed, at = state
-        if at is not None and t - at > self.ttl_us:
-            kept.clear()
-            listed.clear()
-        if value in listed:
-            return True
-        kept.append(value)
-        listed.add(value)
-        if len(kept) > self.slots:
-            listed.discard(kept.popleft())
-        state[2] = t
-        return False
+        slots, ttl, out = self.slots, self.ttl_us, []
+        for value, t in zip(values, times):
+            if value is None:
+                out.append(None)
+                continue
+            if at is not None and t - at > ttl:
+                kept.clear()
+                listed.clear()
+            if value in listed:
+                out.append(True)
+                continue
+            kept.append(value)
+            listed.add(value)
+            if len(kept) > slots:
+                listed.discard(kept.popleft())
+            at = t
+            out.append(False)
+        state[2] = at
+        return out
 
     def snapshot(self, state):
         return list(state[0]), state[2]
@@ -108,14 +115,18 @@ class FlushFold:
     def start(self, items, at):
         return [list(items or ()), at]
 
-    def step(self, state, value, t):
-        queue = state[0]
-        if value not in queue:
-            queue.append(value)
-        if len(queue) >= self.batch:
-            state[0] = []
-            return queue
-        return None
+    def run(self, state, values, times):
+        """The whole queue at each send, None in between."""
+        queue, out = state[0], []
+        for value in values:
+            if value is not None and value not in queue:
+                queue.append(value)
+            sends = len(queue) >= self.batch
+            out.append(queue if sends else None)
+            if sends:
+                queue = []
+        state[0] = queue
+        return out
 
     def snapshot(self, state):
         return list(state[0]), state[1]
@@ -129,15 +140,26 @@ def _walk(fold, batches, emit):
     Arrow batch and one fold state are in memory, whatever the size of a key."""
     current, state = None, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("__key", "__chunk", "__value", "__t", "__items", "__at", "__seed")]
-        results = []
-        for key, chunk, value, t, items, at, seed in zip(*cols):
-            if (key, chunk) != current:
+        if not batch.num_rows:
+            continue
+        keys, chunks, values, times = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("__key", "__chunk", "__value", "__t"))
+        seeds = batch.column("__seed").to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1).tolist(), len(keys)]
+        values, times, results = values.tolist(), times.tolist(), []
+        for lo, hi in zip(starts, starts[1:]):
+            run = (keys[lo], chunks[lo])
+            if run != current:
                 if current is not None:
                     emit.done(current, fold.snapshot(state))
-                current, state = (key, chunk), fold.start(items, at)
-            results.append(None if seed or value is None else fold.step(state, value, t))
-        yield from emit.batch(batch, results)
+                current = run
+                seeded = bool(seeds[lo])
+                state = fold.start(*(batch.column(c)[lo].as_py() if seeded else None for c in ("__items", "__at")))
+                if seeded:
+                    results.append(None)
+                    lo += 1
+            results += fold.run(state, values[lo:hi], times[lo:hi])
+        yield from emit.batch(batch, seeds, results)
     if current is not None:
         emit.done(current, fold.snapshot(state))
     yield from emit.rest()
@@ -152,9 +174,9 @@ class _Tags:
     def done(self, current, snapshot):
         pass
 
-    def batch(self, batch, results):
+    def batch(self, batch, seeds, results):
         tagged = batch.select(self.columns).append_column(self.out, pa.array(results, self.type))
-        yield tagged.filter(pa.array([not s for s in batch.column("__seed").to_pylist()], pa.bool_()))
+        yield tagged.filter(pa.array(~seeds)) if seeds.any() else tagged
 
     def rest(self):
         return ()
@@ -169,7 +191,7 @@ class _Ends:
     def done(self, current, snapshot):
         self.ended.append((*current, *snapshot))
 
-    def batch(self, batch, results):
+    def batch(self, batch, seeds, results):
         return self.rest()
 
     def rest(self):
@@ -189,7 +211,8 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 def _with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Add one leading row per chunk that carries the state the chunk starts from."""
-    return rows.unionByName(seeds.withColumn("__seed", F.lit(True)), allowMissingColumns=True)
+    lead = seeds.withColumns({"__seed": F.lit(True), "__t": F.lit(0).cast("bigint")})
+    return rows.unionByName(lead, allowMissingColumns=True)
 
 
 def _end_states(rows: DataFrame, fold, key_type: str) -> DataFrame:

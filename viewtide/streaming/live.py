@@ -82,7 +82,7 @@ def dedup_ip_stream(views: DataFrame, cfg: CountingConfig = CountingConfig()) ->
         items, at = state.get if state.exists else ((), None)
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"], kind="stable")
         held = fold.start(items, at)
-        rows["ip_duplicate"] = [fold.step(held, h, int(t)) for h, t in zip(rows["ip_hash"], rows["t"])]
+        rows["ip_duplicate"] = fold.run(held, rows["ip_hash"].tolist(), rows["t"].tolist())
         state.update(fold.snapshot(held))
         yield rows[["event_id", "post_id", "t", "ip_hash", "ip_duplicate"]]
 
