@@ -107,9 +107,17 @@ def test_positions_and_running_counts(spark):
             seen[(name, k)] = seen.get((name, k), 0) + 1
         want[e] = tuple(seen[(name, keys[name])] for name in ("total", "day", "week", "month"))
     df = views_df(spark, rows)
-    for seconds in (60, 7200):
-        got = {r.event_id: (r.total, r.day, r.week, r.month) for r in running_counts(df, seconds=seconds).collect()}
-        assert got == want
+    # Whole keys, then one hot key in slices of a minute, of two hours, and of nine days.
+    for options in ({}, *({"hot_rows": 70, "seconds": s} for s in (60, 7200, 9 * 86400))):
+        got = {r.event_id: (r.total, r.day, r.week, r.month) for r in running_counts(df, **options).collect()}
+        assert got == want, options
+    some = running_counts(df, counted="event_id % 3 = 0", hot_rows=70)
+    counted = {r.event_id: r.total for r in some.collect()}
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    totals = {}
+    for e, p, _, _ in order:
+        totals[p] = totals.get(p, 0) + (e % 3 == 0)
+        assert counted[e] == (totals[p] if e % 3 == 0 else None)
     numbered = {r.event_id: r.n for r in positions(df, ["post_id"], "ts", "event_id").collect()}
     assert numbered == {e: w[0] for e, w in want.items()}
 
@@ -133,8 +141,7 @@ def test_batch_flush(spark, storage):
 
     want = flush_model(rows, 3)
     assert run() == want
-    if storage == "session":
-        assert run(chunk_rows=20) == want
+    assert run(**({"chunk_rows": 20} if storage == "session" else {"hot_rows": 20})) == want
 
 
 def test_batch_flush_leftovers(spark):

@@ -75,13 +75,13 @@ def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = Cou
 
 
 def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), tiebreak: str = "event_id",
-                   counted: str = "true", seconds: int = 60) -> DataFrame:
+                   counted: str = "true", **options) -> DataFrame:
     """Each row with its post's counters right after it was counted (NULL when ``counted``
     is false for it)."""
     marked = views.selectExpr("*", *[
         f"{period('ts', r, cfg.rollover_minutes)} AS __{r}" for r in ("day", "week", "month")])
-    frames = {r: [] if r == "total" else [f"__{r}"] for r in LIVE_RANGES if cfg.enabled(r)}
-    rows = running_positions(marked, ["post_id"], "ts", tiebreak, frames, counted, seconds)
+    frames = {r: None if r == "total" else f"__{r}" for r in LIVE_RANGES if cfg.enabled(r)}
+    rows = running_positions(marked, ["post_id"], "ts", tiebreak, frames, counted, **options)
     return rows.selectExpr(*views.columns, *[f"CASE WHEN {counted} THEN {r} END AS {r}" for r in frames])
 
 

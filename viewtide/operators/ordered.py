@@ -26,42 +26,63 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- running positions -------------------------------------------------------------------
 
-def with_slice(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    return df.withColumn("__slice", F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("bigint"))
+SMALL = 1_000_000  # rows of a hot-key table that may be broadcast
 
 
-def running_positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, frames: dict[str, list[str]],
-                      counted: str = "true", seconds: int = 60) -> DataFrame:
-    """Running count of ``counted`` rows in time order within the key, once per frame.
-
-    A frame is a list of extra grouping columns that only move forward in time (a day, a
-    week). Rows are counted inside (key, slice) and shifted by the counts of the key's
-    earlier slices, so a hot key is spread over as many tasks as it has slices; only slice
-    counts meet at the key. The shift joins on the columns the counting already shuffled
-    by, so the log itself moves once.
-    """
-    one = F.expr(f"CASE WHEN {counted} THEN 1 ELSE 0 END")
-    sliced = with_slice(df, ts, seconds).withColumn("__one", one)
-    marks = list(dict.fromkeys(c for cols in frames.values() for c in cols))
-    part = [*keys, "__slice", *marks]
-    sizes = sliced.groupBy(*part).agg(F.sum("__one").alias("__n"))
-
-    def before(cols):
-        w = W.partitionBy(*keys, *cols).orderBy("__slice", *marks).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum("__n").over(w), F.lit(0))
+def hot_keys(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame | None, int, int]:
+    """Keys with more than ``limit`` rows (at most |df| / limit of them), how many there
+    are, and the rows of the largest. One pass over the key columns alone."""
+    sizes = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit))
+    worst, n = sizes.agg(F.max("__n"), F.count("*")).first()
+    return (sizes.select(*keys), n, worst) if n else (None, 0, 0)
 
-    offsets = sizes.select(*part, *[before(cols).alias(f"__before_{name}") for name, cols in frames.items()])
-    inside = F.sum("__one").over(
-        W.partitionBy(*part).orderBy(ts, tiebreak).rowsBetween(W.unboundedPreceding, W.currentRow))
-    shifted = sliced.withColumn("__in", inside).join(offsets, part)
-    for name in frames:
-        shifted = shifted.withColumn(name, F.col(f"__before_{name}") + F.col("__in"))
-    return shifted.drop("__slice", "__one", "__in", *[f"__before_{name}" for name in frames])
 
+def running_positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, frames: dict[str, str | None],
+                      counted: str = "true", seconds: int = 60, hot_rows: int = 1_000_000) -> DataFrame:
+    """Running count of ``counted`` rows in time order within the key, once per frame.
 
-def positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str = "n",
-              seconds: int = 60) -> DataFrame:
-    return running_positions(df, keys, ts, tiebreak, {name: []}, seconds=seconds)
+    A frame names a column that only moves forward in time (a day, a week), or None for the
+    whole key. Keys of up to ``hot_rows`` rows are counted whole: one shuffle, one sort. A
+    larger key is cut into time slices that are counted apart and shifted by the counts of
+    its earlier slices, so it is spread over as many tasks as it has slices, and only slice
+    counts meet at the key.
+    """
+    hot, n_hot, _ = hot_keys(df, keys, hot_rows)
+    rows = df.withColumn("__one", F.expr(f"CASE WHEN {counted} THEN 1 ELSE 0 END"))
+    slice_no = f"CAST(floor(unix_micros({ts}) / {seconds * 1_000_000}L) AS BIGINT)"
+    if hot is None:
+        rows = rows.withColumn("__slice", F.lit(0).cast("bigint"))
+    else:
+        flag = hot.withColumn("__hot", F.lit(True))
+        rows = rows.join(F.broadcast(flag) if n_hot <= SMALL else flag, keys, "left") \
+            .withColumn("__slice", F.expr(f"CASE WHEN __hot THEN {slice_no} END")).drop("__hot")
+    marks = [c for c in frames.values() if c]
+    order = W.partitionBy(*keys, "__slice").orderBy(ts, tiebreak)
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumns({"__in": F.sum("__one").over(so_far), **{
+        f"__new_{c}": ~F.col(c).eqNullSafe(F.lag(c).over(order)) for c in marks}})
+    # What was counted in the slice before the current day, week, ... began in it.
+    out = out.withColumns({f"__base_{c}": F.last(F.expr(f"CASE WHEN __new_{c} THEN __in - __one END"), True).over(so_far)
+                           for c in marks})
+    before = {name: F.lit(0) for name in frames}
+    if hot is not None:
+        part = [*keys, "__slice", *marks]
+        sizes = rows.filter("__slice IS NOT NULL").groupBy(*part).agg(F.sum("__one").alias("__n"))
+
+        def earlier(mark):
+            # All of the frame's rows in lower slices; rows of the own slice are in ``__in``.
+            w = W.partitionBy(*keys, *([mark] if mark else [])).orderBy("__slice")
+            return F.coalesce(F.sum("__n").over(w.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+        offsets = sizes.select(*part, *[earlier(m).alias(f"__before_{n}") for n, m in frames.items()])
+        out = out.join(offsets, part, "left")
+        before = {name: F.coalesce(F.col(f"__before_{name}"), F.lit(0)) for name in frames}
+    inside = {name: F.col("__in") - F.col(f"__base_{c}") if c else F.col("__in") for name, c in frames.items()}
+    return out.select(*df.columns, *[(inside[n] + before[n]).alias(n) for n in frames])
+
+
+def positions(df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str = "n", **options) -> DataFrame:
+    return running_positions(df, keys, ts, tiebreak, {name: None}, **options)
 
 
 # --- ordered folds ------------------------------------------------------------------------
@@ -132,6 +153,8 @@ class FlushFold:
         return list(state[0]), state[1]
 
 
+# A state's items travel as one text: null array columns are slow to hand to Python.
+_SEP = "\x1f"
 _ARROW = {"boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
@@ -154,7 +177,8 @@ def _walk(fold, batches, emit):
                     emit.done(current, fold.snapshot(state))
                 current = run
                 seeded = bool(seeds[lo])
-                state = fold.start(*(batch.column(c)[lo].as_py() if seeded else None for c in ("__items", "__at")))
+                items, at = (batch.column(c)[lo].as_py() if seeded else None for c in ("__items", "__at"))
+                state = fold.start(items.split(_SEP) if items else (), at)
                 if seeded:
                     results.append(None)
                     lo += 1
@@ -189,7 +213,8 @@ class _Ends:
         self.key_type, self.ended = key_type, []
 
     def done(self, current, snapshot):
-        self.ended.append((*current, *snapshot))
+        items, at = snapshot
+        self.ended.append((*current, _SEP.join(items), at))
 
     def batch(self, batch, seeds, results):
         return self.rest()
@@ -200,13 +225,13 @@ class _Ends:
             self.ended = []
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, self.key_type), pa.array(chunk, pa.int64()),
-                 pa.array(items, pa.list_(pa.string())), pa.array(at, pa.int64())],
+                 pa.array(items, pa.string()), pa.array(at, pa.int64())],
                 names=["__key", "__chunk", "__items", "__at"])
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("__key", "__chunk").sortWithinPartitions(
-        "__key", "__chunk", F.col("__seed").desc(), "__t", "__tie")
+        "__key", "__chunk", F.col("__seed").desc(), "__t", "__tie").drop("__tie")
 
 
 def _with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -223,7 +248,7 @@ def _end_states(rows: DataFrame, fold, key_type: str) -> DataFrame:
         return _walk(fold, batches, _Ends(arrow_key))
 
     return _in_order(slim).mapInArrow(
-        run, f"__key {key_type}, __chunk bigint, __items array<string>, __at bigint")
+        run, f"__key {key_type}, __chunk bigint, __items string, __at bigint")
 
 
 def _tags(rows: DataFrame, fold, columns: list[str], out: str) -> DataFrame:
@@ -239,18 +264,16 @@ def _chunked(rows: DataFrame, chunk_rows: int, max_chunks: int) -> tuple[DataFra
     """Cut the keys that hold more than ``chunk_rows`` rows into runs of time.
 
     Returns the rows with their chunk and the chunked rows alone, or None when no key is
-    that large. There are at most |log| / chunk_rows such keys. Cuts are quantiles of the
-    key's own times, so bursts are cut finer than quiet spells.
+    that large. Cuts are quantiles of the key's own times, so bursts are cut finer than
+    quiet spells.
     """
-    sizes = rows.groupBy("__key").agg(F.count("*").alias("__n")).filter(F.col("__n") > chunk_rows)
-    sizes = cut(sizes)
-    worst, hot_keys = sizes.agg(F.max("__n"), F.count("*")).first()
-    if not hot_keys:
+    hot, hot_count, worst = hot_keys(rows, ["__key"], chunk_rows)
+    if hot is None:
         return rows, None
     pieces = min(max_chunks, -(-worst // chunk_rows) + 1)
     shares = [i / pieces for i in range(1, pieces)]
-    small = hot_keys * pieces <= 1_000_000
-    hot_list = F.broadcast(sizes) if small else sizes
+    small = hot_count * pieces <= SMALL
+    hot_list = F.broadcast(hot) if small else hot
     cuts = rows.join(hot_list, "__key", "left_semi").groupBy("__key").agg(
         F.percentile_approx("__t", shares).alias("__cuts"))
     cuts = cut(cuts)
@@ -279,10 +302,10 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
         "*",
         F.col(key).cast(key_type).alias("__key"),
         F.lit(0).cast("bigint").alias("__chunk"),
-        F.col(value).cast("string").alias("__value"),
+        F.col(value).cast("string").alias("__value"),  # without the item separator
         F.unix_micros(ts).alias("__t"),
         F.col(tiebreak).alias("__tie"),
-        F.lit(None).cast("array<string>").alias("__items"),
+        F.lit(None).cast("string").alias("__items"),
         F.lit(None).cast("bigint").alias("__at"),
         F.lit(False).alias("__seed"),
     )
@@ -296,7 +319,7 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
         order = W.partitionBy("__key").orderBy("__chunk")
         state = F.lag(F.struct("__items", "__at")).over(order)
         fresh = cut(ends.select("__key", "__chunk", state.alias("__s"))
-                    .filter(F.col("__s").isNotNull() & ((F.size("__s.__items") > 0) | F.col("__s.__at").isNotNull()))
+                    .filter(F.col("__s").isNotNull() & ((F.col("__s.__items") != "") | F.col("__s.__at").isNotNull()))
                     .select("__key", "__chunk", "__s.__items", "__s.__at"))
         if starts is None:
             changed = fresh

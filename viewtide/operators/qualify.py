@@ -41,7 +41,7 @@ def batch_flush(views: DataFrame, batch: int, cfg: CountingConfig = CountingConf
                             F.lit(0).cast("bigint").alias("slot"))
     if cfg.storage == "local":
         # Every post enters a client's queue once, so batches are runs of ``batch`` rows.
-        numbered = positions(views, ["client_id"], "ts", "event_id", name="n")
+        numbered = positions(views, ["client_id"], "ts", "event_id", name="n", **fold_options)
         run = W.partitionBy("client_id", "batch_no")
         return (
             numbered.withColumn("batch_no", F.expr(f"(n - 1) div {batch}"))
