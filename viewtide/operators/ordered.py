@@ -7,22 +7,18 @@ order, without ever needing a whole key in one task.
 
 from __future__ import annotations
 
-import sys
 from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from viewtide.functions.transport import ddl, pack_times, unpack_times
 from viewtide.session import cut
 
-# Task-side code travels with the job, so executors need no installed copy of it.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 # --- running positions -------------------------------------------------------------------
 
@@ -251,13 +247,14 @@ def _end_states(rows: DataFrame, fold, key_type: str) -> DataFrame:
         run, f"__key {key_type}, __chunk bigint, __items string, __at bigint")
 
 
-def _tags(rows: DataFrame, fold, columns: list[str], out: str) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
+def _tags(rows: DataFrame, fold, like: DataFrame, out: str) -> DataFrame:
+    columns = like.columns
 
     def run(batches):
         return _walk(fold, batches, _Tags(columns, out, fold.out_type))
 
-    return _in_order(rows).mapInArrow(run, f"{fields}, `{out}` {fold.out_type}").select(*columns, out)
+    tagged = _in_order(rows).mapInArrow(run, f"{ddl(pack_times(like))}, `{out}` {fold.out_type}")
+    return unpack_times(tagged, like)
 
 
 def _chunked(rows: DataFrame, chunk_rows: int, max_chunks: int) -> tuple[DataFrame, DataFrame | None]:
@@ -297,13 +294,12 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     settles takes one round per chunk and is still exact.
     """
     key_type = "bigint" if dict(df.dtypes)[key] == "bigint" else "string"
-    columns = df.columns
-    rows = df.select(
+    rows = pack_times(df).select(
         "*",
         F.col(key).cast(key_type).alias("__key"),
         F.lit(0).cast("bigint").alias("__chunk"),
         F.col(value).cast("string").alias("__value"),  # without the item separator
-        F.unix_micros(ts).alias("__t"),
+        F.col(ts).alias("__t"),
         F.col(tiebreak).alias("__tie"),
         F.lit(None).cast("string").alias("__items"),
         F.lit(None).cast("bigint").alias("__at"),
@@ -311,7 +307,7 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     )
     rows, hot = _chunked(rows, chunk_rows, max_chunks)
     if hot is None:
-        return _tags(rows, fold, columns, out)
+        return _tags(rows, fold, df, out)
 
     ends = cut(_end_states(hot, fold, key_type))
     starts = None
@@ -336,4 +332,4 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
         again = _with_seeds(hot.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_semi"), todo)
         redone = _end_states(again, fold, key_type)
         ends = cut(ends.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_anti").unionByName(redone))
-    return _tags(_with_seeds(rows, starts), fold, columns, out)
+    return _tags(_with_seeds(rows, starts), fold, df, out)

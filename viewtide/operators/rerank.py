@@ -6,17 +6,13 @@ per segment leave the group limit upstream. Segments run in parallel.
 
 from __future__ import annotations
 
-import sys
-
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.config import TrendingConfig
 from viewtide.functions.calendar import instant
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from viewtide.functions.transport import ddl, pack_times, unpack_times
 
 
 def overlap(a: frozenset, b: frozenset) -> float:
@@ -95,7 +91,7 @@ def rerank(ranked: DataFrame, as_of, cfg: TrendingConfig = TrendingConfig()) ->
         "explore_draw": drawn("draw", cfg.explore_draw, 0, 1_000_001, 1_000_000.0),
         "explore_place": drawn("place", cfg.explore_pos, 5, 6, 1.0).cast("int"),
     })
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    packed = pack_times(rows)
 
     def one_segment(table: pa.Table) -> pa.Table:
         table = table.sort_by("score_rank")
@@ -111,5 +107,6 @@ def rerank(ranked: DataFrame, as_of, cfg: TrendingConfig = TrendingConfig()) ->
             table = table.append_column(name, _positions(order, n))
         return table
 
-    return rows.groupBy("segment").applyInArrow(
-        one_segment, f"{fields}, mmr_position int, explore_position int, position int")
+    placed = packed.groupBy("segment").applyInArrow(
+        one_segment, f"{ddl(packed)}, mmr_position int, explore_position int, position int")
+    return unpack_times(placed, rows)

@@ -6,11 +6,9 @@ exactly-once. Readers keep each key's last value.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,8 +19,6 @@ from viewtide.functions.calendar import period
 from viewtide.operators.ordered import RecentFold
 from viewtide.operators.qualify import eligibility, request_views
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 LATE = "2 hours"
 
 
