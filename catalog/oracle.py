@@ -565,6 +565,8 @@ FROM ranked r LEFT JOIN final f USING (post_id) WHERE r.rank <= 20"""),
 SELECT 'day' AS range, CAST(date_trunc('day', t) AS DATE) AS period, post_id, count(*) AS views FROM x GROUP BY ALL
 UNION ALL SELECT 'week', CAST(date_trunc('week', t) AS DATE), post_id, count(*) FROM x GROUP BY ALL
 UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*) FROM x GROUP BY ALL"""),
+    **{f"stream_{u}s": q(EV, body=f"""SELECT '{u}' AS range, CAST(date_trunc('{u}', ts - INTERVAL 1 MINUTE) AS DATE) AS period,
+       post_id, count(*) AS views FROM ev GROUP BY ALL""") for u in ("week", "month")},
     "stream_totals": q(EV, body="SELECT post_id, count(*) AS views FROM ev GROUP BY 1"),
     "stream_hours": q(EV, body="SELECT date_trunc('hour', ts) AS hour_start, count(*) AS views FROM ev GROUP BY 1"),
     "stream_viewer_dedup": q(EV, body="SELECT DISTINCT session_id, post_id FROM ev"),

@@ -440,12 +440,21 @@ def _finish(spark, df, keys, mode="update"):
 
 
 def stream_counters(spark, d):
-    """Day, week and month counters kept by streams, read back as one table."""
+    """Day counters kept by a stream, and the week and month counters read off them."""
     views = a.event_rows(_event_stream(spark, d)).select("post_id", "ts")
-    keys = ["range", "period", "post_id"]
-    parts = [_finish(spark, live.live_counters(views, u), keys) for u in ("day", "week")]
-    months = _finish(spark, live.live_months(views), keys)
-    return parts[0].unionByName(parts[1]).unionByName(months)
+    days = _finish(spark, live.live_counters(views, "day"), ["range", "period", "post_id"])
+    return days.unionByName(live.from_days(days, "week")).unionByName(live.from_days(days, "month"))
+
+
+def stream_weeks(spark, d):
+    """Week counters kept by their own stream."""
+    views = a.event_rows(_event_stream(spark, d)).select("post_id", "ts")
+    return _finish(spark, live.live_counters(views, "week"), ["range", "period", "post_id"])
+
+
+def stream_months(spark, d):
+    views = a.event_rows(_event_stream(spark, d)).select("post_id", "ts")
+    return _finish(spark, live.live_months(views), ["range", "period", "post_id"])
 
 
 def stream_totals(spark, d):
@@ -545,6 +554,8 @@ QUERIES = {
     "top_trending": top_trending,
     "trending_overlay": trending_overlay,
     "stream_counters": stream_counters,
+    "stream_weeks": stream_weeks,
+    "stream_months": stream_months,
     "stream_totals": stream_totals,
     "stream_hours": stream_hours,
     "stream_viewer_dedup": _stream_dedup("session"),

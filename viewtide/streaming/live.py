@@ -46,6 +46,14 @@ def live_months(views: DataFrame, cfg: CountingConfig = CountingConfig()) -> Dat
     return counted.select(F.lit("month").alias("range"), "period", "post_id", "views")
 
 
+def from_days(days: DataFrame, unit: str) -> DataFrame:
+    """Week or month counters summed from the day counters a stream has written: one
+    stateful stream then serves all three ranges."""
+    first = F.to_date(F.date_trunc(unit, "period"))
+    return days.groupBy(first.alias("period"), "post_id").agg(F.sum("views").alias("views")) \
+        .select(F.lit(unit).alias("range"), "period", "post_id", "views")
+
+
 def live_totals(views: DataFrame) -> DataFrame:
     return views.groupBy("post_id").agg(F.count("*").alias("views"))
 
