@@ -443,8 +443,8 @@ LEFT JOIN counted c ON c.event_id = g.event_id AND c.slot = g.slot"""),
     "counters_all_ranges": q(*P_COUNTS, body="SELECT * FROM cnt"),
     "counters_events": q(*E_COUNTS, body="SELECT * FROM cnt"),
     "counters_long": q(*E_COUNTS, body="""SELECT post_id, k AS meta_key, v AS meta_value FROM (
-        SELECT post_id, unnest(['_init_view_count', '_init_view_day_count', '_init_view_week_count', '_init_view_month_count',
-               '_init_view_day_yesterday', '_init_view_week_last', '_init_view_month_last']) AS k,
+        SELECT post_id, unnest(['view_count', 'view_day_count', 'view_week_count', 'view_month_count',
+               'view_day_yesterday', 'view_week_last', 'view_month_last']) AS k,
                unnest([total, day, week, month, yesterday, last_week, last_month]) AS v FROM cnt) WHERE v IS NOT NULL"""),
     "counters_wide": q(*E_COUNTS, body="SELECT * FROM cnt WHERE coalesce(" + ", ".join(RANGES) + ") IS NOT NULL"),
     "counters_applied": q(EV, POSTS, counts("2024-01-30 00:01:00", "c0", "(SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-30 00:01')"),
