@@ -200,7 +200,7 @@ def _components(classes: DataFrame, rows: DataFrame, sketch: Sketch, ngram: int,
     width = 2 * sketch.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(sketch.bands - 1)),
                        lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
-    members = _members(classes.select("cls", "n", F.explode(keys).alias("bucket")))
+    members = _members(classes.select("cls", "n", F.lit(1).cast("bigint").alias("place"), F.explode(keys).alias("bucket")))
     at_band = members.select("cls").distinct()
     wanted = classes.join(at_band, "cls", "left_semi")
     found = wanted.join(rows, F.col("at.__id").eqNullSafe(F.col("__id")) & (F.col("at.__tkey") == F.col("__tkey")))
@@ -229,7 +229,7 @@ def _components(classes: DataFrame, rows: DataFrame, sketch: Sketch, ngram: int,
 
 
 def _members(keyed: DataFrame) -> DataFrame:
-    """``bucket, cls, n, u, size, first``: the members of each bucket that has several."""
+    """The keyed rows plus ``u, size, first``: the members of each bucket that has several."""
     keyed = keyed.withColumn("u", F.xxhash64("cls"))
     buckets = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("u").alias("first")).filter("size > 1")
     return keep(keyed.join(buckets, "bucket"))
@@ -249,7 +249,7 @@ def _mixed(live: DataFrame) -> DataFrame:
 
 
 def _prefixes(data: DataFrame, ngram: int, percent: tuple[int, int]) -> DataFrame:
-    """``cls, n, bucket``: the shingles one of which a class shares with any other at the
+    """``cls, n, place, bucket``: the shingles one of which a class shares with any other at the
     threshold: its ``n - ceil(n * threshold) + 1`` rarest. Shingles of one class only come
     first in that order and meet nobody, so edited copies keep few or none."""
     need, of = percent
@@ -268,7 +268,8 @@ def _prefixes(data: DataFrame, ngram: int, percent: tuple[int, int]) -> DataFram
     common = every.join(shared, "bucket").withColumn("had", F.count("*").over(W.partitionBy("cls")))
     prefix = F.expr(f"n - cast(ceil(n * {need} / {of}) as bigint) + 1 - (n - had)")
     place = F.row_number().over(W.partitionBy("cls").orderBy("df", "bucket"))
-    return common.withColumn("place", place).filter(F.col("place") <= prefix).select("cls", "n", "bucket")
+    prefixes = common.withColumn("place", place).filter(F.col("place") <= prefix)
+    return prefixes.select("cls", "n", (F.expr("n - had") + F.col("place")).alias("place"), "bucket")
 
 
 class _Compare:
@@ -279,11 +280,16 @@ class _Compare:
         self.sides = [data.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"),
                                   F.col("text").alias(f"t{s}")) for s in "ab"]
         self.verified = _verified(sketch, ngram, percent)
-        self.fits = F.least("n", "other_n") * of >= F.greatest("n", "other_n") * need  # the length bound
+        # The sets' lengths must allow the threshold, and so must what can still be common
+        # from the bucket's shingle on, as it does at the first shingle that two sets share.
+        rest = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+        self.fits = (F.least("n", "other_n") * of >= F.greatest("n", "other_n") * need) & (
+            rest * (of + need) >= (F.col("n") + F.col("other_n")) * need)
 
     def links(self, live: DataFrame, is_rep) -> DataFrame:
         reps = live.filter(is_rep).select("bucket", F.col("u").alias("v"), F.col("cls").alias("other"),
-                                          F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+                                          F.col("n").alias("other_n"), F.col("place").alias("other_place"),
+                                          F.col("root").alias("other_root"))
         pairs = live.join(reps, "bucket").filter((F.col("u") > F.col("v")) & (F.col("root") != F.col("other_root"))
                                                  & self.fits)
         pairs = pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
