@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import (
     decontaminate, dedup, htmltext, language, mixture, quality, repetition, rollup, secretscan, urlfilter)
-from viewtide.llm.scratch import folder
+from viewtide.llm.scratch import folder, keep
 
 #: The rules of op9, as host, path, verdict.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -52,11 +52,14 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     second tokenizer version with rough counts, a fourth revises those to the true ones."""
     docs, path = table(spark, sf_dir, "documents"), folder(spark, "rollup")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    rollup.commit(rollup.deltas(inserted=rollup.counted(docs)), path, "load")
-    gone = docs.join(toxic, "doc_id", "left_semi")
+    # Texts are counted once, before anything is joined.
+    counts = keep(rollup.counted(docs, ("words-1", "pieces-1")).select("doc_id", *rollup.KEYS, "tokens", "chars"), "counts")
+    words = counts.filter("tokenizer = 'words-1'")
+    rollup.commit(rollup.deltas(inserted=words), path, "load")
+    gone = words.join(toxic, "doc_id", "left_semi")
     for _ in range(2):
-        rollup.commit(rollup.deltas(deleted=rollup.counted(gone)), path, "toxic")
-    rough = rollup.counted(docs.join(toxic, "doc_id", "left_anti"), ("pieces-1",)).withColumns(
+        rollup.commit(rollup.deltas(deleted=gone), path, "toxic")
+    rough = counts.filter("tokenizer = 'pieces-1'").join(toxic, "doc_id", "left_anti").withColumns(
         {"old_tokens": F.floor(F.col("chars") / 4), "old_chars": F.col("chars")})
     first = rough.drop("tokens").withColumnRenamed("old_tokens", "tokens")
     rollup.commit(rollup.deltas(inserted=first), path, "rough")
