@@ -170,7 +170,7 @@ def top(value, first=1, last=5, parts=False, where="true") -> str:
     return q(*(P_COUNTS if parts else (*E_COUNTS, TERMS, CATS)), ranked(value, where), body=f"""
 SELECT r.rank, r.post_id AS id, p.title, p.link, r.views, p.post_type,
        CASE p.post_type WHEN 'post' THEN 'Post' ELSE 'Page' END AS type, {category} AS category,
-       coalesce(p.thumbnail, 'assets/img/thumbnail.svg') AS thumbnail, CAST(p.published_at AS DATE) AS date
+       coalesce(p.thumbnail, '/thumbnail') AS thumbnail, CAST(p.published_at AS DATE) AS date
 FROM ranked r JOIN posts p USING (post_id) {join} WHERE r.rank BETWEEN {first} AND {last}""")
 
 
@@ -443,8 +443,7 @@ LEFT JOIN counted c ON c.event_id = g.event_id AND c.slot = g.slot"""),
     "counters_all_ranges": q(*P_COUNTS, body="SELECT * FROM cnt"),
     "counters_events": q(*E_COUNTS, body="SELECT * FROM cnt"),
     "counters_long": q(*E_COUNTS, body="""SELECT post_id, k AS meta_key, v AS meta_value FROM (
-        SELECT post_id, unnest(['view_count', 'view_day_count', 'view_week_count', 'view_month_count',
-               'view_day_yesterday', 'view_week_last', 'view_month_last']) AS k,
+        SELECT post_id, unnest(['total', 'day', 'week', 'month', 'yesterday', 'last_week', 'last_month']) AS k,
                unnest([total, day, week, month, yesterday, last_week, last_month]) AS v FROM cnt) WHERE v IS NOT NULL"""),
     "counters_wide": q(*E_COUNTS, body="SELECT * FROM cnt WHERE coalesce(" + ", ".join(RANGES) + ") IS NOT NULL"),
     "counters_applied": q(EV, POSTS, counts("2024-01-30 00:01:00", "c0", "(SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-30 00:01')"),
@@ -519,11 +518,13 @@ SELECT post_id, day, week, month, day_used, {fixed('velocity')} AS velocity, {fi
     "trend_score": picked(TWO_RUNS, "raw_score", "capped"),
     "fatigue": q(*TWO_RUNS, recursive=True, body=f"SELECT post_id, pre_rank, streak, {fixed('fatigue')} AS fatigue, score_rank FROM score"),
     "fatigue_history": q(
-        EV, """runs AS (SELECT TIMESTAMP '2024-01-30' + to_hours(CAST(i AS INTEGER)) AS run_at FROM range(1, 24) t(i))""",
+        EV, """runs AS (SELECT d, d + to_hours(CAST(i AS INTEGER)) AS run_at
+             FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d FROM ev), range(1, 24) t(i))""",
         """seen AS (SELECT r.run_at, v.post_id, count(*) AS views FROM runs r JOIN ev v
-             ON v.ts >= TIMESTAMP '2024-01-30 00:01' AND v.ts < r.run_at GROUP BY 1, 2)""",
+             ON v.ts >= r.d + INTERVAL 1 MINUTE AND v.ts < r.run_at GROUP BY 1, 2)""",
         "hist AS (SELECT *, row_number() OVER (PARTITION BY run_at ORDER BY views DESC, post_id DESC) <= 20 AS in_top FROM seen)",
-        """isl AS (SELECT *, sum(CASE WHEN in_top THEN 0 ELSE 1 END) OVER (PARTITION BY post_id ORDER BY run_at) AS g FROM hist)""",
+        """gaps AS (SELECT *, date_diff('minute', lag(run_at) OVER (PARTITION BY post_id ORDER BY run_at), run_at) > 480 AS late FROM hist)""",
+        """isl AS (SELECT *, sum(CASE WHEN in_top AND NOT coalesce(late, false) THEN 0 ELSE 1 END) OVER (PARTITION BY post_id ORDER BY run_at) AS g FROM gaps)""",
         "st AS (SELECT *, count(*) FILTER (in_top) OVER (PARTITION BY post_id, g ORDER BY run_at) AS streak FROM isl)",
         body=f"""SELECT post_id, run_at, in_top, streak, {fixed('greatest(0.8::DOUBLE, 1 - greatest(0, streak - 6) * 0.03::DOUBLE)')} AS fatigue FROM st"""),
     "similarity": q(*E_COUNTS, TERMS, "ids AS (SELECT post_id, list(DISTINCT term_id) AS t FROM terms GROUP BY 1)",
@@ -568,6 +569,14 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
     **{f"stream_{u}s": q(EV, body=f"""SELECT '{u}' AS range, CAST(date_trunc('{u}', ts - INTERVAL 1 MINUTE) AS DATE) AS period,
        post_id, count(*) AS views FROM ev GROUP BY ALL""") for u in ("week", "month")},
     "stream_totals": q(EV, body="SELECT post_id, count(*) AS views FROM ev GROUP BY 1"),
+    "stream_bins": q(EV, bins(min_daily=0, before="2025-01-01"), body=hour_rows()),
+    "pruned_counters": q(*E_COUNTS, body="SELECT post_id, day, yesterday FROM cnt"),
+    "stream_ingest_strict": q(
+        EV, POSTS, ADDRESS, requested(2), gated("'post', 'page'"),
+        "passing AS (SELECT g.*, a.ip, g.event_id * 2 + g.slot AS seq FROM gate g JOIN addr a USING (event_id) WHERE reason IS NULL)",
+        recent_list("passing"), recursive=True,
+        body="""SELECT p.event_id, p.slot, p.post_id FROM passing p JOIN fold f USING (post_id, seq)
+                WHERE NOT f.dup AND NOT starts_with(p.ip, '198.')"""),
     "stream_hours": q(EV, body="SELECT date_trunc('hour', ts) AS hour_start, count(*) AS views FROM ev GROUP BY 1"),
     "stream_viewer_dedup": q(EV, body="SELECT DISTINCT session_id, post_id FROM ev"),
     "stream_viewer_dedup_client": q(EV, body="SELECT DISTINCT client_id, post_id FROM ev"),

@@ -27,7 +27,6 @@ from viewtide.streaming import live
 
 # The event log starts with the month; sf0.001 has too few views a day for the default floor.
 SHAPE = ShapeConfig(min_daily=20)
-HOURS = [f"2024-01-30 {h:02d}:00:00" for h in range(1, 24)]
 BEFORE = "2024-01-30 22:00:00"
 NOW = a.EVENTS_AS_OF
 DAWN = "2024-01-30 00:40:00"
@@ -60,11 +59,14 @@ def eligible(spark, d):
     return rows.select("event_id", F.col("slot").cast("bigint").alias("slot"), "post_id", "reason")
 
 
+def _site_rule():
+    return ~F.col("ip").startswith("198.")
+
+
 def counted_requests(spark, d):
     """All gates: cap, status, type, recent address, and a site rule that refuses proxies."""
     cfg = CountingConfig(batch=2, strict_ip=True, post_types=("post", "page"))
-    rows = counting.count_requests(a.requests(spark, d), a.document_posts(spark, d), cfg,
-                                   should_count=~F.col("ip").startswith("198."))
+    rows = counting.count_requests(a.requests(spark, d), a.document_posts(spark, d), cfg, should_count=_site_rule())
     return rows.select("request_id", F.col("slot").cast("bigint").alias("slot"), "post_id", "reason",
                        "total", "day", "week", "month")
 
@@ -329,17 +331,20 @@ def fatigue(spark, d):
 
 
 def fatigue_history(spark, d):
-    """Streaks over a day of hourly runs that rank posts by their day views so far."""
-    v = a.event_views(spark, d).filter((F.col("ts") >= instant("2024-01-30 00:01:00")) & (F.col("ts") <= instant(NOW)))
-    hourly = v.groupBy("post_id", (F.floor(F.unix_seconds("ts") / 3600) + 1).alias("h")).agg(F.count("*").alias("n"))
-    posts = hourly.select("post_id").distinct()
-    grid = posts.withColumn("run_at", F.explode(F.array(*[F.lit(t).cast("timestamp") for t in HOURS])))
-    grid = grid.withColumn("h", F.floor(F.unix_seconds("run_at") / 3600))
-    so_far = W.partitionBy("post_id").orderBy("h")
-    seen = grid.join(hourly, ["post_id", "h"], "left").withColumn("views", F.sum(F.coalesce("n", F.lit(0))).over(so_far))
+    """Streaks over the hourly runs of every day of the log; a run ranks posts by their
+    views of the day so far, from one minute past midnight, at 01:00 to 23:00."""
+    v = a.event_views(spark, d).filter("hour(ts) * 60 + minute(ts) >= 1 AND hour(ts) < 23")
+    hourly = v.groupBy(F.to_date("ts").alias("site_day"), "post_id", (F.hour("ts") + 1).alias("h")).agg(F.count("*").alias("n"))
+    # From a post's first hour of a day on, one row for each later run of that day.
+    own = W.partitionBy("site_day", "post_id").orderBy("h")
+    so_far = hourly.withColumns({"views": F.sum("n").over(own), "until": F.coalesce(F.lead("h").over(own), F.lit(24)) - 1})
+    seen = so_far.withColumn("h", F.explode(F.sequence("h", "until"))).withColumn(
+        "run_at", F.timestamp_seconds(F.unix_seconds(F.col("site_day").cast("timestamp")) + F.col("h") * 3600))
     best = W.partitionBy("run_at").orderBy(F.desc("views"), F.desc("post_id"))
-    history = seen.filter("views > 0").withColumn("in_top", F.row_number().over(best) <= 20) \
-        .select(F.lit("").alias("segment"), "post_id", "run_at", "in_top")
+    # The rank limit is applied in each task before the shuffle: 20 rows per run and task.
+    top = seen.withColumn("r", F.row_number().over(best)).filter("r <= 20").select("run_at", "post_id", F.lit(True).alias("in_top"))
+    history = seen.join(top, ["run_at", "post_id"], "left").select(
+        F.lit("").alias("segment"), "post_id", "run_at", F.coalesce("in_top", F.lit(False)).alias("in_top"))
     out = trend.streaks(history)
     return out.select("post_id", "run_at", "in_top", "streak", fixed(F.col("fatigue")).alias("fatigue"))
 
@@ -350,8 +355,8 @@ def similarity(spark, d):
     posts = a.document_posts(spark, d).select("post_id", "author_id")
     rows = posts.join(counters, "post_id").filter("total IS NOT NULL").join(tables.term_sets(a.document_terms(spark, d)), "post_id")
     rows = rows.withColumn("terms", F.array_union("categories", "tags"))
-    best = F.max_by("terms", F.struct("total", "post_id")).over(W.partitionBy("author_id"))
-    rows = rows.withColumn("lead", best)
+    lead = rows.groupBy("author_id").agg(F.max_by("terms", F.struct("total", "post_id")).alias("lead"))
+    rows = rows.join(lead, "author_id")
     return rows.select("post_id", "author_id", fixed(F.expr(fx.jaccard("terms", "lead"))).alias("similarity"))
 
 
@@ -465,6 +470,21 @@ def stream_hours(spark, d):
     return _finish(spark, live.live_hours(a.event_rows(_event_stream(spark, d)).select("ts")), ["hour_start"])
 
 
+def stream_bins(spark, d):
+    """Hour bins of a stream; equal to those of the log."""
+    hours = _finish(spark, live.live_hours(a.event_rows(_event_stream(spark, d)).select("ts"), cfg=SHAPE), ["hour_start"])
+    return live.bins_of_hours(hours).select("site_day", "total", F.posexplode("hour_bins").alias("hour", "views")) \
+        .withColumn("hour", F.col("hour").cast("bigint"))
+
+
+def pruned_counters(spark, d):
+    """Day and yesterday counters read from a written log, of which only two days are opened."""
+    path = f"{shared_dir(spark)}/viewtide-log-{uuid.uuid4().hex}"
+    tables.write_views(a.event_views(spark, d).select("event_id", "post_id", "ts"), path)
+    log = tables.read_views(spark, path, "2024-01-29 00:01:00")
+    return c.counters_as_of(log, NOW, a.document_posts(spark, d), ranges=("day", "yesterday"))
+
+
 def _stream_dedup(storage):
     def query(spark, d):
         views = a.event_rows(_event_stream(spark, d)).select("client_id", "session_id", "post_id", "ts")
@@ -488,6 +508,13 @@ def stream_ingest(spark, d):
                    None, "append")
 
 
+def stream_ingest_strict(spark, d):
+    """The address check and the site's own rule on a stream: the views that the batch job counts."""
+    cfg = CountingConfig(batch=2, post_types=("post", "page"), strict_ip=True)
+    rows = live.ingest_stream(a.event_requests(_event_stream(spark, d)), a.document_posts(spark, d), cfg, _site_rule())
+    return _finish(spark, rows.select("event_id", F.col("slot").cast("bigint").alias("slot"), "post_id"), None, "append")
+
+
 QUERIES = {
     "client_ip": client_address,
     "request_views": requested_ids,
@@ -562,4 +589,7 @@ QUERIES = {
     "stream_viewer_dedup_client": _stream_dedup("local"),
     "stream_ip_dedup": stream_ip,
     "stream_ingest": stream_ingest,
+    "stream_ingest_strict": stream_ingest_strict,
+    "stream_bins": stream_bins,
+    "pruned_counters": pruned_counters,
 }

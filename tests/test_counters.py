@@ -71,7 +71,7 @@ def test_key_names(spark):
     stored = counters_df(spark, [(1, 9, 2), (2, 0)])
     long = c.to_long(stored, {"day": "my_day"})
     assert {(r.post_id, r.meta_key, r.meta_value) for r in long.collect()} == {
-        (1, "view_count", 9), (1, "my_day", 2), (2, "view_count", 0)}
+        (1, "total", 9), (1, "my_day", 2), (2, "total", 0)}
     assert table(c.to_wide(long, {"day": "my_day"})) == table(stored)
 
 

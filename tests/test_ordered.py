@@ -149,3 +149,18 @@ def test_batch_flush_leftovers(spark):
     out = qualify.batch_flush(client_views(spark, rows), 3, CountingConfig(storage="local"))
     assert out.count() == 6
     assert qualify.batch_flush(client_views(spark, rows), 1).count() == 7
+
+
+def test_null_keys_keep_large_ids_apart(spark):
+    """A NULL key in a batch must not turn its 64-bit neighbours into doubles."""
+    big = 2**60
+    rows = [(1, big, at(minutes=1), "h"), (2, big + 1, at(minutes=2), "h"), (3, None, at(minutes=3), "h"),
+            (4, None, at(minutes=4), "h"), (5, big, at(minutes=5), "h")]
+    out = ipdedup.dedup_recent_ip(views_df(spark, rows).coalesce(1))
+    assert {r.event_id: r.ip_duplicate for r in out.collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_a_row_without_time_is_refused(spark):
+    rows = [(1, 1, at(minutes=1), "h"), (2, 1, None, "h")]
+    with pytest.raises(Exception, match="needs a time"):
+        ipdedup.dedup_recent_ip(views_df(spark, rows)).collect()

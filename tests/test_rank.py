@@ -95,3 +95,10 @@ def test_top_k_is_not_a_full_sort(data):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
     seg = rank.top_posts(counters, posts, fields="minimal", segment_cols=["site"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in seg and "Partial" in seg
+
+
+def test_overlay_marks_listed_rows_only(spark):
+    page = spark.createDataFrame([(1,), (2,)], "post_id bigint")
+    run = spark.createDataFrame([(1, 3, 9.0, 5), (2, None, 8.0, 4)], "post_id bigint, position int, score double, views_day bigint")
+    got = {r.post_id: (r.trending, r.trending_position) for r in rank.overlay_trending(page, run).collect()}
+    assert got == {1: (True, 3), 2: (False, None)}

@@ -87,3 +87,31 @@ def test_ingest_json_feed(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted((r.request_id, r.post_id) for r in rows) == [(f"{k}{i}", i) for k in range(3) for i in (1, 2)]
     assert {r.ip_hash for r in rows} == {"fwcbc5"}
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    for k, rows in enumerate(([(1, 1, at(days=1, hours=9))], [(2, 1, at(days=3, hours=9))],
+                              [(3, 1, at(days=1, hours=9)), (4, 1, at(days=3, hours=9))])):
+        views_df(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    schema = views_df(spark, []).schema
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    import shutil
+    for k in range(3):  # one file a run, so that the watermark moves between them
+        (tmp_path / "all").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{k}").glob("part-*.parquet"):
+            shutil.copy(f, tmp_path / "all" / f"{k}-{f.name}")
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "all"))
+        live.write_stream(live.live_counters(stream, "day", late="1 hour"), out, cp).awaitTermination()
+    got = {str(r.period): r.views for r in live.read_latest(spark, out, ["range", "period", "post_id"]).collect()}
+    assert got == {"2024-01-02": 1, "2024-01-04": 2}
+
+
+def test_views_of_some_days_open_only_their_folders(spark, tmp_path):
+    rows = [(i, 1, at(hours=7 * i)) for i in range(40)]
+    tables.write_views(views_df(spark, rows), str(tmp_path / "log"))
+    some = tables.read_views(spark, str(tmp_path / "log"), "2024-01-05 00:00:30", "2024-01-07 00:01:00")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(site_day" in plan
+    want = [i for i, _, t in rows if at(days=4, seconds=30) <= t < at(days=6, minutes=1)]
+    assert sorted(r.event_id for r in some.collect()) == want
+    assert tables.read_views(spark, str(tmp_path / "log")).count() == 40

@@ -9,18 +9,6 @@ RANGES = ("total", "day", "week", "month", "yesterday", "last_week", "last_month
 LIVE_RANGES = ("total", "day", "week", "month")
 ARCHIVE_OF = {"yesterday": "day", "last_week": "week", "last_month": "month"}
 
-# Default stored key of each range; pass other names to ``counters.to_long`` / ``to_wide``
-# to match an existing key-value store.
-COUNTER_KEYS = {
-    "total": "view_count",
-    "day": "view_day_count",
-    "week": "view_week_count",
-    "month": "view_month_count",
-    "yesterday": "view_day_yesterday",
-    "last_week": "view_week_last",
-    "last_month": "view_month_last",
-}
-
 # Request headers that may carry the client address, by priority.
 IP_HEADERS = (
     "HTTP_CF_CONNECTING_IP",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewtide.config import ARCHIVE_OF, COUNTER_KEYS, LIVE_RANGES, RANGES, CountingConfig
+from viewtide.config import ARCHIVE_OF, LIVE_RANGES, RANGES, CountingConfig
 from viewtide.functions.calendar import at, instant, period, period_start
 from viewtide.operators.ordered import running_positions
 
@@ -134,8 +134,9 @@ def rollover_summary(posts: DataFrame, as_of, cfg: CountingConfig = CountingConf
 
 
 def to_long(counters: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
-    """Counters as (post, stored key, value) rows; an absent key has no row."""
-    names = {**COUNTER_KEYS, **(keys or {})}
+    """Counters as (post, stored key, value) rows; an absent key has no row. Keys are the
+    range names unless ``keys`` gives a store's own."""
+    names = {**{r: r for r in RANGES}, **(keys or {})}
     held = [r for r in RANGES if r in counters.columns]
     wide = counters.select("post_id", *[F.col(r).alias(names[r]) for r in held])
     return wide.unpivot("post_id", [names[r] for r in held], "meta_key", "meta_value") \
@@ -144,6 +145,6 @@ def to_long(counters: DataFrame, keys: dict[str, str] | None = None) -> DataFram
 
 def to_wide(rows: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
     """Inverse of ``to_long``. One conditional aggregate, no distinct-key pass."""
-    names = {**COUNTER_KEYS, **(keys or {})}
+    names = {**{r: r for r in RANGES}, **(keys or {})}
     return rows.groupBy("post_id").agg(*[
         F.max(F.when(F.col("meta_key") == names[r], F.col("meta_value").cast("bigint"))).alias(r) for r in RANGES])

@@ -161,13 +161,18 @@ def _walk(fold, batches, emit):
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, chunks, values, times = (
-            batch.column(c).to_numpy(zero_copy_only=False) for c in ("__key", "__chunk", "__value", "__t"))
+        for name in ("__chunk", "__t"):
+            if batch.column(name).null_count:
+                raise ValueError("an ordered fold needs a time on every row")
+        # Codes, not values: a NULL key is a key like any other, and 64-bit ids stay exact.
+        key = batch.column("__key")
+        codes = key.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        chunks, values, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__chunk", "__value", "__t"))
         seeds = batch.column("__seed").to_numpy(zero_copy_only=False)
-        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1).tolist(), len(keys)]
+        starts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (chunks[1:] != chunks[:-1])) + 1).tolist(), len(codes)]
         values, times, results = values.tolist(), times.tolist(), []
         for lo, hi in zip(starts, starts[1:]):
-            run = (keys[lo], chunks[lo])
+            run = (key[lo].as_py(), int(chunks[lo]))
             if run != current:
                 if current is not None:
                     emit.done(current, fold.snapshot(state))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from viewtide.config import RANGES
 from viewtide.functions.text import count_text
 
-DEFAULT_THUMBNAIL = "assets/img/thumbnail.svg"
+DEFAULT_THUMBNAIL = "/thumbnail"  # for posts that have none
 
 
 def counter_of(rng: str, allowed=RANGES) -> str:
@@ -95,8 +95,9 @@ def describe(page: DataFrame, posts: DataFrame, post_terms: DataFrame | None, fi
 
 
 def overlay_trending(page: DataFrame, trending: DataFrame) -> DataFrame:
-    """Mark ranked posts that are in the stored trending list, with its stored order."""
-    marks = trending.select("post_id", F.lit(True).alias("trending"),
+    """Mark ranked posts that are in the stored trending list, with its stored order. Rows
+    of a run that are not on the list (no position) mark nothing."""
+    marks = trending.filter(F.col("position").isNotNull()).select("post_id", F.lit(True).alias("trending"),
                             F.col("position").alias("trending_position"),
                             F.col("score").alias("trending_score"),
                             F.col("views_day").alias("trending_views"))

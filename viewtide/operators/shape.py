@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.config import ShapeConfig
@@ -10,12 +10,17 @@ from viewtide.functions.calendar import at, period
 from viewtide.functions.formulas import clip, num
 
 
+def in_bins(cfg: ShapeConfig = ShapeConfig()) -> Column:
+    """Views that hour bins hold, in batch and stream: those after the day's reset."""
+    return F.expr(f"hour(ts) * 60 + minute(ts) >= {cfg.skip_minutes}") & F.lit(cfg.collect)
+
+
 def hour_bins(views: DataFrame, cfg: ShapeConfig = ShapeConfig(), site_cols=()) -> DataFrame:
     """Views per site day and hour as a 24-array, with the day's total.
 
     One aggregation with 24 conditional counts: each task ships one row per day.
     """
-    log = views.filter(F.expr(f"hour(ts) * 60 + minute(ts) >= {cfg.skip_minutes}") & F.lit(cfg.collect))
+    log = views.filter(in_bins(cfg))
     log = log.selectExpr(*site_cols, "to_date(ts) AS site_day", "hour(ts) AS __h")
     bins = ", ".join(f"count_if(__h = {h})" for h in range(24))
     return log.groupBy(*site_cols, "site_day").agg(F.expr(f"array({bins})").alias("hour_bins"),

@@ -67,6 +67,20 @@ def write_views(views: DataFrame, path: str, offset: int = 1, mode: str = "appen
     views.withColumn("site_day", day).write.mode(mode).partitionBy("site_day").parquet(path)
 
 
+def read_views(spark: SparkSession, path: str, first=None, until=None, offset: int = 1) -> DataFrame:
+    """The view log between two instants (``first`` included, ``until`` not; None is open).
+
+    Limits on ``ts`` come with the limits they imply on ``site_day``, so only the folders of
+    those days are listed and opened."""
+    log = spark.read.parquet(path)
+    day = f"to_date({{}} - INTERVAL {offset} MINUTE)"
+    if first is not None:
+        log = log.filter(f"ts >= {at(first)} AND site_day >= {day.format(at(first))}")
+    if until is not None:
+        log = log.filter(f"ts < {at(until)} AND site_day <= {day.format(at(until))}")
+    return log.drop("site_day")
+
+
 def write_version(df: DataFrame, path: str, as_of: str) -> str:
     """Write one run of a table under its ``as_of`` version; a rerun replaces it."""
     target = f"{path}/as_of={as_of.replace(' ', 'T').replace(':', '-')}"

@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from viewtide.config import CountingConfig
+from viewtide.config import CountingConfig, ShapeConfig
 from viewtide.functions.calendar import period
+from viewtide.functions.transport import ddl
 from viewtide.operators.ordered import RecentFold
 from viewtide.operators.qualify import eligibility, request_views
+from viewtide.operators.shape import in_bins
 
 LATE = "2 hours"
 
@@ -58,13 +60,22 @@ def live_totals(views: DataFrame) -> DataFrame:
     return views.groupBy("post_id").agg(F.count("*").alias("views"))
 
 
-def live_hours(views: DataFrame, late: str = LATE) -> DataFrame:
-    """Views per site hour, the raw material of the hour bins."""
-    counted = views.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(
+def live_hours(views: DataFrame, late: str = LATE, cfg: ShapeConfig | None = None) -> DataFrame:
+    """Views per site hour: all of them or, given the shape's settings, those that
+    ``hour_bins`` holds, from which ``bins_of_hours`` makes the same bins."""
+    kept = views.filter(in_bins(cfg)) if cfg else views
+    counted = kept.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.count("*").alias("views"))
     return counted.select(F.col("w.start").alias("hour_start"), "views")
 
 
+def bins_of_hours(hours: DataFrame) -> DataFrame:
+    """The last values of ``live_hours`` as ``daily_bins``, ready for ``learn_shape``."""
+    bins = [F.coalesce(F.sum(F.when(F.hour("hour_start") == h, F.col("views"))), F.lit(0)) for h in range(24)]
+    return hours.groupBy(F.to_date("hour_start").alias("site_day")).agg(
+        F.array(*bins).alias("hour_bins"), F.sum("views").alias("total"))
+
+
 def dedup_viewer_stream(views: DataFrame, cfg: CountingConfig = CountingConfig(), late: str = "1 day") -> DataFrame:
     """One view per session and post while the session's keys are held, or one per client
     and post for good."""
@@ -74,7 +85,8 @@ def dedup_viewer_stream(views: DataFrame, cfg: CountingConfig = CountingConfig()
 
 
 def dedup_ip_stream(views: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
-    """Recent-visitor check with per-post state of at most ``ip_slots`` hashes.
+    """Recent-visitor check with per-post state of at most ``ip_slots`` hashes. Every column
+    of ``views`` is kept.
 
     Rows of a micro-batch are taken in time order; across micro-batches the order is that
     of arrival. Bound the micro-batch at the source (files or offsets per trigger): the
@@ -84,23 +96,39 @@ def dedup_ip_stream(views: DataFrame, cfg: CountingConfig = CountingConfig()) ->
 
     def step(key, parts, state: GroupState):
         items, at = state.get if state.exists else ((), None)
-        rows = pd.concat(list(parts)).sort_values(["t", "event_id"], kind="stable")
+        rows = pd.concat(list(parts)).sort_values(["__t", "event_id"], kind="stable")
         held = fold.start(items, at)
-        rows["ip_duplicate"] = fold.run(held, rows["ip_hash"].tolist(), rows["t"].tolist())
+        rows["ip_duplicate"] = fold.run(held, [None if v is None or v != v else v for v in rows["ip_hash"]],
+                                        rows["__t"].tolist())
         state.update(fold.snapshot(held))
-        yield rows[["event_id", "post_id", "t", "ip_hash", "ip_duplicate"]]
+        yield rows[[*names, "ip_duplicate"]]
 
-    tagged = views.select("event_id", "post_id", F.unix_micros("ts").alias("t"), "ip_hash") \
-        .groupBy("post_id").applyInPandasWithState(
-            step, "event_id bigint, post_id bigint, t bigint, ip_hash string, ip_duplicate boolean",
-            "items array<string>, at bigint", "append", GroupStateTimeout.NoTimeout)
-    return tagged.select("event_id", "post_id", F.timestamp_micros("t").alias("ts"), "ip_hash", "ip_duplicate")
+    packed = views.withColumn("__t", F.unix_micros("ts")).drop("ts")
+    names = packed.columns
+    tagged = packed.groupBy("post_id").applyInPandasWithState(
+        step, f"{ddl(packed)}, ip_duplicate boolean", "items array<string>, at bigint", "append",
+        GroupStateTimeout.NoTimeout)
+    return tagged.withColumn("ts", F.timestamp_micros("__t")).select(*views.columns, "ip_duplicate")
 
 
-def ingest_stream(requests: DataFrame, posts: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
-    """Accepted views of a request feed (stream-static join with the post dimension)."""
-    rows = eligibility(request_views(requests, cfg), posts, cfg)
-    return rows.filter(F.col("reason").isNull()).drop("reason", "ip")
+def ingest_stream(requests: DataFrame, posts: DataFrame, cfg: CountingConfig = CountingConfig(),
+                  should_count: Column | None = None) -> DataFrame:
+    """Accepted views of a request feed (stream-static join with the post dimension).
+
+    Gates in the order of the batch job: cap, published, allowed type, then with
+    ``cfg.strict_ip`` the recent-address check, then the site's own rule, whose refusals
+    have already taken a slot in the address list. Requests need a ``bigint event_id``
+    when the address check is on.
+    """
+    rows = eligibility(request_views(requests, cfg), posts, cfg).filter(F.col("reason").isNull()).drop("reason")
+    if cfg.strict_ip:
+        seq = (F.col("request_no") * F.lit(max(1, cfg.batch)) + F.col("slot")).cast("bigint")
+        numbered = rows.withColumnRenamed("event_id", "request_no").withColumn("event_id", seq)
+        fresh = dedup_ip_stream(numbered, cfg).filter(~F.col("ip_duplicate")).drop("ip_duplicate", "event_id")
+        rows = fresh.withColumnRenamed("request_no", "event_id")
+    if should_count is not None:
+        rows = rows.filter(F.coalesce(should_count, F.lit(False)))
+    return rows.drop("ip")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "update",
