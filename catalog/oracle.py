@@ -493,6 +493,13 @@ SELECT o_orderkey, n, {short('n', 'K M B T')} AS short, {short('n', 'N Tr T TT')
     "merged_bins": q(EV, bins(min_daily=0, before="2025-01-01"), body=hour_rows()),
     "hour_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
                     body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),
+    "shape_resumed": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
+                       body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),
+    "shape_skipping": q(
+        EV, "fl AS (SELECT floor(avg(n)) AS m FROM (SELECT count(*) AS n FROM ev WHERE hour(ts) * 60 + minute(ts) >= 1 GROUP BY CAST(ts AS DATE)))",
+        bins(min_daily="(SELECT m FROM fl)"), SHAPE_FOLD, LEARNED, recursive=True,
+        body=f"""SELECT CAST((SELECT count(*) FROM bins) AS INTEGER) AS days_learned, CAST(i AS BIGINT) AS slot,
+                        {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"""),
     "wday_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
                     body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('w[i + 1]')} AS multiplier FROM learned, range(7) t(i)"),
     "shape_factors": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,

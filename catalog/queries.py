@@ -219,6 +219,24 @@ def _shape(name):
     return query
 
 
+def shape_resumed(spark, d):
+    """The hour shape learned in two runs: half of the days, stored, then the others."""
+    bins = shape.hour_bins(a.event_views(spark, d), SHAPE)
+    stored = cut(shape.learn_shape(bins, SHAPE, "2024-01-15 00:01:00"))
+    later = shape.learn_shape(bins.filter("site_day >= DATE '2024-01-15'"), SHAPE, NOW, start=stored)
+    return later.select(F.posexplode("hour").alias("slot", "m")).select(
+        F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
+
+
+def shape_skipping(spark, d):
+    """The hour shape with the log's mean day as traffic floor, so quiet days are skipped."""
+    bins = shape.hour_bins(a.event_views(spark, d), SHAPE)
+    floor = bins.agg(F.floor(F.avg("total")).cast("int")).first()[0]
+    cfg = ShapeConfig(min_daily=floor)
+    return shape.learn_shape(bins, cfg, NOW).select("days_learned", F.posexplode("hour").alias("slot", "m")).select(
+        "days_learned", F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
+
+
 def shape_factors(spark, d):
     f = shape.factors(_learned(spark, d), NOW)
     return f.select(*[fixed(F.col(n)).alias(n) for n in f.columns])
@@ -554,6 +572,8 @@ QUERIES = {
     "merged_bins": merged_bins,
     "hour_shape": _shape("hour"),
     "wday_shape": _shape("wday"),
+    "shape_resumed": shape_resumed,
+    "shape_skipping": shape_skipping,
     "shape_factors": shape_factors,
     "term_sets": term_sets,
     "engagement_metrics": engagement_metrics,

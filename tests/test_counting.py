@@ -87,3 +87,11 @@ def test_view_log_is_partitioned_by_counting_day(spark, tmp_path):
     tables.write_views(views, str(tmp_path / "log"))
     days = {str(r.site_day): r["count"] for r in spark.read.parquet(str(tmp_path / "log")).groupBy("site_day").count().collect()}
     assert days == {"2023-12-31": 1, "2024-01-01": 1, "2024-01-02": 1}
+
+
+def test_a_request_without_ids_is_answered(spark):
+    from viewtide.operators.qualify import request_views
+
+    for kind in ("bigint", "string"):
+        df = spark.createDataFrame([(1, None, {"REMOTE_ADDR": "1.2.3.4"})], f"event_id bigint, post_ids array<{kind}>, headers map<string,string>")
+        assert [(r.slot, r.post_id) for r in request_views(df).collect()] == [(0, 0)]

@@ -164,3 +164,19 @@ def test_a_row_without_time_is_refused(spark):
     rows = [(1, 1, at(minutes=1), "h"), (2, 1, None, "h")]
     with pytest.raises(Exception, match="needs a time"):
         ipdedup.dedup_recent_ip(views_df(spark, rows)).collect()
+
+
+def test_rounds_are_bounded_when_no_chunk_settles(spark, monkeypatch):
+    """A few more recurring visitors than slots: every chunk depends on the one before."""
+    from viewtide.operators import ordered
+
+    rows = [(i, 1, at(minutes=i), f"h{i % 12}" if i % 7 else f"x{i}") for i in range(400)]
+    passes, once = [], ordered._end_states
+    monkeypatch.setattr(ordered, "_end_states", lambda *a: passes.append(1) or once(*a))
+    fold = ordered.RecentFold(slots=9)
+    out = ordered.ordered_fold(views_df(spark, rows), "post_id", "ts", "event_id", "ip_hash", fold, "dup",
+                               chunk_rows=20, max_rounds=2)
+    state = fold.start((), None)
+    want = fold.run(state, [r[3] for r in rows], [int(r[2].timestamp() * 1e6) for r in rows])
+    assert [r.dup for r in out.orderBy("event_id").collect()] == want
+    assert len(passes) <= 3

@@ -1,6 +1,6 @@
 import pytest
 
-from tests.util import at, dicts, views_df
+from tests.util import at, counters_df, dicts, posts_df, views_df
 from viewtide.config import ShapeConfig
 from viewtide.operators.shape import factors, hour_bins, learn_shape, merge_bins
 from viewtide.sources.tables import neutral_shape
@@ -93,3 +93,17 @@ def test_factors(spark):
     assert (f.hour_factor, f.wday_factor) == (1.0, 1.0)
     f = factors(neutral_shape(spark), "2024-01-02 00:30:00").first()
     assert (f.hour_factor, f.wday_factor) == (1.0, 1.0)
+
+
+def test_daily_job_resumes_from_the_stored_shape(spark):
+    from viewtide.plans.daily import daily_reset
+
+    rows = [(i, 1, at(hours=5 * i, minutes=2)) for i in range(30)]
+    views, cfg = views_df(spark, rows), ShapeConfig(min_daily=1)
+    posts, counters = posts_df(spark, [{"post_id": 1}]), counters_df(spark, [(1, 5, 5, 5, 5)])
+    stored = neutral_shape(spark)
+    for day in range(2, 6):
+        stored = daily_reset(views, counters, posts, f"2024-01-{day:02d} 00:01:00", shape_cfg=cfg, stored_shape=stored).shape
+    whole = daily_reset(views, counters, posts, "2024-01-05 00:01:00", shape_cfg=cfg).shape
+    assert stored.first().hour == pytest.approx(whole.first().hour) and stored.first().wday == pytest.approx(whole.first().wday)
+    assert stored.first().days_learned == 1 and whole.first().days_learned == 4

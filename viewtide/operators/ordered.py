@@ -286,7 +286,7 @@ def _chunked(rows: DataFrame, chunk_rows: int, max_chunks: int) -> tuple[DataFra
 
 
 def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fold, out: str,
-                 chunk_rows: int = 1_000_000, max_chunks: int = 2000) -> DataFrame:
+                 chunk_rows: int = 1_000_000, max_chunks: int = 2000, max_rounds: int = 8) -> DataFrame:
     """Run ``fold`` along each key's rows in (time, tiebreak) order; add its result as ``out``.
     Rows whose ``value`` is NULL pass through untouched, with a NULL result.
 
@@ -294,9 +294,10 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     chunk is first run from an empty state; then every chunk whose predecessor ended in a
     state other than the one the chunk started from is run again from that state, until
     none differs. At that point each chunk has started from its predecessor's true end, so
-    the result equals the sequential run. A list of recent items usually settles in two or
-    three rounds because a chunk's end depends little on its start; a fold that never
-    settles takes one round per chunk and is still exact.
+    the result equals the sequential run. A list of many distinct recent items settles in
+    two or three rounds because a chunk's end depends little on its start. Keys that have
+    not settled after ``max_rounds`` are run whole, each in one pass along its sorted rows
+    with one Arrow batch and one state in memory, so the number of passes is bounded.
     """
     key_type = "bigint" if dict(df.dtypes)[key] == "bigint" else "string"
     rows = pack_times(df).select(
@@ -314,8 +315,10 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     if hot is None:
         return _tags(rows, fold, df, out)
 
+    # The rounds reread the slim hot rows, not the input's scan and joins.
+    hot = cut(hot.select("__key", "__chunk", "__value", "__t", "__tie", "__items", "__at", "__seed"))
     ends = cut(_end_states(hot, fold, key_type))
-    starts = None
+    starts, rounds = None, 0
     while True:
         order = W.partitionBy("__key").orderBy("__chunk")
         state = F.lag(F.struct("__items", "__at")).over(order)
@@ -334,6 +337,13 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
         if changed.isEmpty():
             break
         todo = cut(changed)
+        if (rounds := rounds + 1) > max_rounds:
+            late = todo.select("__key").distinct()
+            flags = rows.join(late.withColumn("__whole", F.lit(True)), "__key", "left")
+            rows = flags.withColumn("__chunk", F.when(F.col("__whole"), F.lit(0).cast("bigint")).otherwise(
+                F.col("__chunk"))).select(*rows.columns)
+            starts = starts.join(late, "__key", "left_anti")
+            break
         again = _with_seeds(hot.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_semi"), todo)
         redone = _end_states(again, fold, key_type)
         ends = cut(ends.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_anti").unionByName(redone))

@@ -68,9 +68,11 @@ def positive_id(raw: str, numeric: bool) -> str:
 
 
 def request_views(requests: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
-    """One row per requested id: capped first, then made absolute; garbage becomes 0."""
+    """One row per requested id: capped first, then made absolute; garbage becomes 0, and
+    so does a request without ids."""
     numeric = requests.schema["post_ids"].dataType.elementType.typeName() != "string"
-    ids = F.expr(f"transform(slice(post_ids, 1, {max(1, cfg.batch)}), x -> {positive_id('x', numeric)})")
+    given = f"coalesce(post_ids, array(CAST(NULL AS {'BIGINT' if numeric else 'STRING'})))"
+    ids = F.expr(f"transform(slice({given}, 1, {max(1, cfg.batch)}), x -> {positive_id('x', numeric)})")
     rest = [c for c in requests.columns if c not in ("post_ids", "headers")]
     # The address is worked out once per request, before its ids are spread over rows.
     rows = requests.select(*rest, client_ip("headers").alias("ip"), ids.alias("__ids"))

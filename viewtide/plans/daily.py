@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from viewtide.config import CountingConfig, ShapeConfig
+from viewtide.functions.calendar import period_start
 from viewtide.operators import counters as c
 from viewtide.operators.shape import hour_bins, learn_shape
 
@@ -23,10 +24,17 @@ class DailyReset:
 def daily_reset(views: DataFrame, counters: DataFrame, posts: DataFrame, as_of,
                 cfg: CountingConfig = CountingConfig(), shape_cfg: ShapeConfig = ShapeConfig(),
                 before: Callable | None = None, after: Callable | None = None,
-                trending: Callable[[DataFrame], DataFrame] | None = None) -> DailyReset:
+                trending: Callable[[DataFrame], DataFrame] | None = None,
+                stored_shape: DataFrame | None = None) -> DailyReset:
     """Learn the traffic shape first, then roll the counters over, then (optionally) run
-    trending on the rolled counters."""
-    shape = learn_shape(hour_bins(views, shape_cfg), shape_cfg, as_of)
+    trending on the rolled counters.
+
+    With ``stored_shape``, the shape that the last run left, only the day that has just
+    closed is read from the log and folded in; without it, all of the log's days are."""
+    if stored_shape is not None:
+        first, until = (period_start(as_of, "day", shape_cfg.skip_minutes, back=b) for b in (1, 0))
+        views = views.filter(f"ts >= {first} AND ts < {until}")
+    shape = learn_shape(hour_bins(views, shape_cfg), shape_cfg, as_of, start=stored_shape)
     rolled = c.rollover(counters, posts, as_of, cfg, before=before, after=after)
     summary = c.rollover_summary(posts, as_of, cfg)
     return DailyReset(rolled, summary, shape, trending(rolled) if trending else None)
