@@ -181,13 +181,14 @@ def train(labelled: DataFrame, cfg: Training = Training(), id: str = "doc_id", t
     rows = labelled.select(F.col(id).cast("string").alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"),
                            F.xxhash64(text).alias("__tkey")).filter(
         F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}"))
-    langs = rows.groupBy("__lang").agg(F.count("*").alias("n"))
+    # One row per language: as many as the softmax layer, itself a broadcast, has outputs.
+    langs = keep(rows.groupBy("__lang").agg(F.count("*").alias("n")), "langs")
     each = max(1, cfg.sample_rows // max(1, langs.count()))
     by_digest = W.partitionBy("__lang").orderBy(F.md5(F.coalesce("__id", F.lit(""))), "__tkey")
     # Only digests small enough to be among the least of their language reach the window:
     # about the sample size, however many rows and tasks a language has.
     spot = F.conv(F.substring(F.md5(F.coalesce("__id", F.lit(""))), 1, 12), 16, 10).cast("double") / 2.0**48
-    low = rows.join(langs, "__lang").filter(spot * F.col("n") < each + 6 * each**0.5 + 20)
+    low = rows.join(F.broadcast(langs), "__lang").filter(spot * F.col("n") < each + 6 * each**0.5 + 20)
     chosen = low.select("__id", "__lang", "__tkey").distinct().withColumn("r", F.row_number().over(by_digest)).filter(F.col("r") <= each).select(
         F.col("__id").alias("i"), F.col("__tkey").alias("t"), F.col("__lang").alias("l"))
     # At most sample_rows rows, whatever the size of the table.
