@@ -95,11 +95,11 @@ def base_secrets(text):
     return len(spans), len(access), len(runs), hashlib.sha256(line.encode()).hexdigest(), line
 
 
-def covered(words, n):
+def covered(words, n, first=True):
     at = defaultdict(list)
     for k in range(len(words) - n + 1):
         at[tuple(words[k:k + n])].append(k)
-    return {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(n)}
+    return {k + j for ks in at.values() if len(ks) > 1 for k in ks[not first:] for j in range(n)}
 
 
 def repetition(text):
@@ -117,7 +117,7 @@ def repetition(text):
     symbols = sum(c in "#*$%&|<>" for c in text)
     failed = len(words) < 10 or 100 * repeat > 20 * len(words)
     limits = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-    shares = {n: sum(len(words[k]) for k in covered(words, n)) for n in limits}
+    shares = {n: sum(len(words[k]) for k in covered(words, n, False)) for n in limits}
     good = not failed and all(100 * shares[n] <= limits[n] * chars for n in limits) and 100 * dup_chars <= 20 * chars \
         and 100 * symbols <= 10 * chars
     return len(words), chars, symbols, dup, repeat, failed, good

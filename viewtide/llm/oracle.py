@@ -57,11 +57,13 @@ FROM fill
 
 _GRAMS = "".join(rf""",
 g{n} AS (
-  SELECT doc_id, i, len(x) AS c, count(*) OVER (PARTITION BY doc_id, g) > 1 AND g IS NOT NULL AS rep FROM (
+  SELECT doc_id, i, len(x) AS c, count(*) OVER (PARTITION BY doc_id, g) > 1 AND g IS NOT NULL AS rep,
+    row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1 AND g IS NOT NULL AS later FROM (
     SELECT doc_id, i, x, CASE WHEN i + {n - 1} <= n THEN array_to_string(ws[i:i + {n - 1}], ' ') END AS g FROM u)),
 c{n} AS (
-  SELECT doc_id, count(*) FILTER (hit) AS words, coalesce(sum(c) FILTER (hit), 0) AS chars FROM (
-    SELECT doc_id, c, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit FROM g{n})
+  SELECT doc_id, count(*) FILTER (hit) AS words, coalesce(sum(c) FILTER (again), 0) AS chars FROM (
+    SELECT doc_id, c, max(rep) OVER near AS hit, max(later) OVER near AS again
+    FROM g{n} WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))
   GROUP BY doc_id)""" for n in range(5, 11))
 _LIMITS = " AND ".join(f"100 * coalesce(c{n}.chars, 0) <= {most} * word_chars" for n, most in
                        ((5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)))

@@ -1,9 +1,9 @@
 """Repetition coverage: how much of a text lies in duplicated n-grams and lines.
 
 Word hashes of the whole text are rolled into n-grams of several lengths in numpy. For the
-short lengths the characters of the most frequent n-gram count, for the long ones the
-characters of all words inside any n-gram found more than once, and for lines those of
-lines equal to an earlier one.
+base rule all words inside a repeated window count. For the method's verdict the characters
+of what is said again count: of words inside n-grams, and of lines, that stand earlier in
+the text too. So a sentence quoted once in a short text weighs its own length, not twice.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 class RepetitionRules:
     """Limits in percent. Base: a text fails with fewer than ``min_words`` words or with
     more than ``repeat`` percent of its words inside repeated 5-word windows. The method's
-    verdict uses shares of word characters: inside duplicated n-grams (``duplicated``),
-    in duplicate lines (``lines``), and symbols per word character (``symbols``)."""
+    verdict uses shares of word characters: inside repeats of n-grams (``duplicated``), in
+    duplicate lines (``lines``), and symbols per word character (``symbols``)."""
 
     min_words: int = 10
     repeat: int = 20
@@ -38,18 +38,18 @@ class RepetitionRules:
     symbols: int = 10
 
 
-def covered_words(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Which words of one document lie in an n-gram found twice or more."""
+def covered_words(hashes: np.ndarray, n: int, first: bool = True) -> np.ndarray:
+    """Which words of one document lie in an n-gram found twice or more; without ``first``,
+    in one that stands earlier in the document too."""
     inside = np.zeros(len(hashes) + 1, np.int64)
     every = words.grams(hashes, n)
-    if len(every) > 1:
-        order = np.sort(every)
-        repeated = np.unique(order[1:][order[1:] == order[:-1]])
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, every), len(repeated) - 1)
-            starts = np.flatnonzero(repeated[at] == every)
-            np.add.at(inside, starts, 1)
-            np.add.at(inside, starts + n, -1)
+    order = np.argsort(every, kind="stable")
+    again = every[order[1:]] == every[order[:-1]]
+    starts = order[1:][again]
+    if first:
+        starts = np.unique(np.concatenate([starts, order[:-1][again]]))
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + n, -1)
     return np.cumsum(inside[:-1]) > 0
 
 
@@ -59,7 +59,7 @@ def _measure(data: np.ndarray, hashes: np.ndarray, chars: np.ndarray, starts: np
     total = int(chars.sum())
     symbols = int(_SYMBOL[data].sum())
     repeated = int(covered_words(hashes, rules.window).sum())
-    shares = [int(chars[covered_words(hashes, n)].sum()) for n, _ in rules.duplicated]
+    shares = [int(chars[covered_words(hashes, n, False)].sum()) for n, _ in rules.duplicated]
     seen, dup_lines, dup_chars, raw = set(), 0, 0, data.tobytes()
     if len(starts):
         place = np.searchsorted(starts, np.flatnonzero(data == 10)).tolist()
