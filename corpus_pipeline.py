@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from viewtide.llm import decontaminate, dedup, language, mixture, secretscan
 from viewtide.llm.scratch import folder
 
-#: A text whose language is less certain than this is rejected.
-LEAST_SCORE = 0.5
+#: A text whose language is less certain than this is rejected: no better than a guess
+#: among few languages. Short and mixed texts that are otherwise clean stay.
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
