@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import words
 from viewtide.llm.graph import connected_components
-from viewtide.llm.scratch import keep
+from viewtide.llm.scratch import keep, map_text
 
 U64 = words.U64
 
@@ -161,8 +161,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, percent: tuple[int, int] =
     sketch = Sketch(need / of)
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__tkey"))
     id_type = rows.schema["__id"].dataType.simpleString()
-    prints = keep(rows.mapInArrow(_fingerprints(sketch, ngram),
-                                 f"__id {id_type}, __tkey bigint, n_shingles bigint, cls binary, registers binary"))
+    prints = keep(map_text(rows, _fingerprints(sketch, ngram),
+                          f"__id {id_type}, __tkey bigint, n_shingles bigint, cls binary, registers binary"))
     classes = prints.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
         F.min(F.struct("__id", "__tkey")).alias("at"), F.min("__id").alias("least_id"))
@@ -263,7 +263,7 @@ def _prefixes(data: DataFrame, ngram: int, percent: tuple[int, int]) -> DataFram
                     [batch.column("cls").take(of_set), batch.column("n").take(of_set),
                      pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "n", "bucket"])
 
-    every = data.select("cls", "n", "text").mapInArrow(explode, "cls binary, n bigint, bucket bigint")
+    every = map_text(data.select("cls", "n", "text"), explode, "cls binary, n bigint, bucket bigint")
     shared = every.groupBy("bucket").agg(F.count("*").alias("df")).filter("df > 1")
     common = every.join(shared, "bucket").withColumn("had", F.count("*").over(W.partitionBy("cls")))
     prefix = F.expr(f"n - cast(ceil(n * {need} / {of}) as bigint) + 1 - (n - had)")
@@ -294,8 +294,8 @@ class _Compare:
                                                  & self.fits)
         pairs = pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
         full = pairs.join(self.sides[0], "a").join(self.sides[1], "b")
-        return keep(full.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb").mapInArrow(
-            self.verified, "a binary, b binary"))
+        return keep(map_text(full.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb"), self.verified,
+                             "a binary, b binary"))
 
     def merged(self, comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
         """The components after adding links."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewtide.llm import words
-from viewtide.llm.scratch import keep
+from viewtide.llm.scratch import keep, map_text
 
 SYMBOLS = 64
 _SYMBOL = np.zeros(256, np.uint8)
@@ -195,7 +195,7 @@ def train(labelled: DataFrame, cfg: Training = Training(), id: str = "doc_id", t
     picked = rows.dropna(subset=["__lang"]).join(
         F.broadcast(keep(chosen, "sample")), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__tkey") == F.col("t"))
         & (F.col("__lang") == F.col("l"))).dropDuplicates(["__id", "__tkey", "__lang"])
-    sample = picked.select("__text", "__lang").mapInArrow(_samples(cfg), "lang string, x binary").toArrow()
+    sample = map_text(picked.select("__text", "__lang"), _samples(cfg), "lang string, x binary").toArrow()
     pairs = sorted(zip(sample.column("lang").to_pylist(), sample.column("x").to_pylist()))
     if not pairs:
         return None
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", car
                 [*[batch.column(c) for c in columns], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*passed).mapInArrow(run, schema)
+    return map_text(docs.select(*passed), run, schema)
 
 
 def held_out(id: str = "doc_id"):

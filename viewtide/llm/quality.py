@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewtide.llm import words
-from viewtide.llm.scratch import keep
+from viewtide.llm.scratch import keep, map_text
 
 
 @dataclass(frozen=True)
@@ -118,8 +118,8 @@ def resample(docs: DataFrame, labels: DataFrame, cfg: Resampling = Resampling(),
     ids = keep(marks.filter("good = 1").select("i").orderBy(F.md5(F.col("i").cast("string")), "i").limit(cfg.target_rows), "target")
     flagged = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(
         F.broadcast(ids.withColumn("t", F.lit(True))), F.col("__id") == F.col("i"), "left")  # target_rows ids at most
-    counted = flagged.select("__text", F.coalesce("t", F.lit(False)).alias("__target")).mapInArrow(
-        _counts(cfg.buckets), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(
+    counted = map_text(flagged.select("__text", F.coalesce("t", F.lit(False)).alias("__target")), _counts(cfg.buckets),
+                       "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(
             F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(cfg.buckets, cfg.prior), np.full(cfg.buckets, cfg.prior)
     for r in counted.collect():  # cfg.buckets rows at most
@@ -132,7 +132,7 @@ def resample(docs: DataFrame, labels: DataFrame, cfg: Resampling = Resampling(),
         "n_words bigint, log_weight double, __i string, __h bigint").fields])
     rows = docs.select(*passed, F.coalesce(F.col(id).cast("string"), F.lit("")).alias("__i"), F.xxhash64(text).alias("__h"))
     plain = T.StructType([f for f in schema.fields if f.name not in ("n_words", "log_weight")] + schema.fields[len(columns):len(columns) + 2])
-    weighed = rows.mapInArrow(_weights(shared, cfg.buckets, [*columns, "__i", "__h"], text), plain)
+    weighed = map_text(rows, _weights(shared, cfg.buckets, [*columns, "__i", "__h"], text), plain)
     spot = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(cfg.seed), "__i", "__h")), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
     scored = keep(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(spot))), "weights")
     n = scored.count()

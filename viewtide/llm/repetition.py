@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from viewtide.llm import words
+from viewtide.llm.scratch import map_text
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -116,4 +117,4 @@ def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text
     schema = T.StructType([*docs.select(*columns).schema.fields, *T._parse_datatype_string(
         "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
         "base_failed boolean, dup_line_chars bigint, dup_gram_chars array<bigint>, kept boolean").fields])
-    return docs.select(*passed).mapInArrow(run, schema)
+    return map_text(docs.select(*passed), run, schema)

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewtide.llm.scratch import map_text
+
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs bigint, tokens bigint, chars bigint"
 
@@ -44,7 +46,7 @@ def count_with(docs: DataFrame, text: str, path: str, name: str = "tokens") -> D
                                              names=[*kept, name])
 
     fields = [f for f in docs.schema.fields if f.name != name]
-    return docs.select(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.LongType())]))
+    return map_text(docs.select(*[f.name for f in fields]), run, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 def counted(docs: DataFrame, versions: Sequence[str] = ("words-1",), text: str = "text") -> DataFrame:

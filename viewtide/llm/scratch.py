@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from viewtide.session import shared_dir
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 _roots: dict[str, SparkSession] = {}
 
 
@@ -33,6 +37,18 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_text(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of about ``BATCH_BYTES``, unless the session sets a size.
+
+    Spark's default of 64 MB is held several times at once: in Arrow buffers of the
+    executor, beside its heap, and in the Python worker of each running task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 @atexit.register
 def clear() -> None:
     """Remove the scratch folders of sessions that are still running."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from viewtide.llm.scratch import map_text
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -204,4 +206,4 @@ def scan_secrets(docs: DataFrame, text: str = "text", redacted: bool = False,
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, *names])
 
     schema = T.StructType([*docs.select(*columns).schema.fields, *result.fields])
-    return docs.select(*passed).mapInArrow(run, schema)
+    return map_text(docs.select(*passed), run, schema)
