@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewtide.llm import words
-from viewtide.llm.scratch import keep
+from viewtide.llm.scratch import keep, map_text
 
 U64 = words.U64
 SHINGLE = 3
@@ -76,8 +76,9 @@ def _counts(tokens):
     return run
 
 
-def _matches(shared, columns: list[str], text: str):
-    """Append each document's hits with the windows of one block."""
+def _matches(shared, columns: list[str], text: str, first: bool, carry: list[str] | None):
+    """Append each document's hits with the windows of one block. The last block gives the
+    ``carry`` columns and the digest of all hits instead, in the same pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seqs, items, all_rare, windows, offsets = shared.value
         by_length: dict[int, np.ndarray] = {}
@@ -99,39 +100,39 @@ def _matches(shared, columns: list[str], text: str):
                             if start < found.at[d] or start + len(seq) > found.at[d + 1]:
                                 continue  # no room for the window here
                             if np.array_equal(hashes[start: start + len(seq)], seq):
-                                first = int(start - found.at[d])
-                                rows[d].append({"start": first, "end": first + len(seq),
-                                                "item": items[windows[e]]})
+                                at = int(start - found.at[d])
+                                rows[d].append({"start": at, "end": at + len(seq), "item": items[windows[e]]})
                 sizes += np.diff(found.at).tolist()
                 hits += rows
-            before = batch.column("__hits").to_pylist()
-            hits = [(b or []) + h for b, h in zip(before, hits)]
-            kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(hits, _HITS), pa.array(sizes, pa.int64())], names=[*columns, "__hits", "__words"])
+            if not first:
+                hits = [(b or []) + h for b, h in zip(batch.column("__hits").to_pylist(), hits)]
+            if carry is None:
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in columns], pa.array(hits, _HITS)], names=[*columns, "__hits"])
+            else:
+                yield _digest(batch, carry, sizes, hits)
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _digest(batch: pa.RecordBatch, columns: list[str], sizes: list[int], found: list[list]) -> pa.RecordBatch:
     """Hit words, items and spans of the collected hits."""
-    for batch in batches:
-        n_hit, items, spans = [], [], []
-        for hits in batch.column("__hits").to_pylist():
-            merged: list[list[int]] = []
-            for start, end in sorted({(h["start"], h["end"]) for h in hits or ()}):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            n_hit.append(sum(e - s for s, e in merged))
-            items.append(sorted({h["item"] for h in hits or ()}))
-            spans.append([{"start": s, "end": e} for s, e in merged])
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in columns], batch.column("__words"), pa.array(n_hit, pa.int64()),
-             pa.array(items, pa.list_(pa.string())),
-             pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-            names=[*columns, "n_words", "n_hit", "items", "items_sha256", "hit_words"])
+    n_hit, items, spans = [], [], []
+    for hits in found:
+        merged: list[list[int]] = []
+        for start, end in sorted({(h["start"], h["end"]) for h in hits}):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        n_hit.append(sum(e - s for s, e in merged))
+        items.append(sorted({h["item"] for h in hits}))
+        spans.append([{"start": s, "end": e} for s, e in merged])
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(c) for c in columns], pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()),
+         pa.array(items, pa.list_(pa.string())),
+         pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
+         pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+        names=[*columns, "n_words", "n_hit", "items", "items_sha256", "hit_words"])
 
 
 RESULTS = ("n_words", "n_hit", "n_items", "items", "items_sha256", "hit_words", "contaminated")
@@ -154,24 +155,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     spark = docs.sparkSession
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("__item"),
                         F.col(item_text).alias("__text"))
-    windows = keep(rows.mapInArrow(_items(window), "item string, seq binary").distinct().withColumn(
+    windows = keep(map_text(rows, _items(window), "item string, seq binary").distinct().withColumn(
         "block", F.lit(0)), "windows")
     blocks = -(-windows.count() // block_windows)
     columns = [c for c in carry or docs.columns if c.lower() not in RESULTS]
     passed = columns if text in columns else [*columns, text]
-    schema = docs.select(*passed).schema
-    out = docs.select(*passed, F.array().cast(HITS).alias("__hits"), F.lit(0).cast("bigint").alias("__words"))
-    texts = docs.select(F.col(text).alias("__text"))
-    for b in range(max(blocks, 1)):
-        some = windows.filter(F.pmod(F.xxhash64("item", "seq"), F.lit(blocks)) == b) if blocks > 1 else windows
-        shared = spark.sparkContext.broadcast(_block(texts, some))
-        full = T.StructType([*schema.fields, T.StructField("__hits", T._parse_datatype_string(HITS)),
-                             T.StructField("__words", T.LongType())])
-        out = out.mapInArrow(_matches(shared, passed, text), full)
+    between = T.StructType([*docs.select(*passed).schema.fields, T.StructField("__hits", T._parse_datatype_string(HITS))])
     final = T.StructType([*docs.select(*columns).schema.fields, *T._parse_datatype_string(
         "n_words bigint, n_hit bigint, items array<string>, items_sha256 string, "
         "hit_words array<struct<start: int, end: int>>").fields])
-    out = out.mapInArrow(lambda batches: _digest(batches, columns), final)
+    out, texts = docs.select(*passed), docs.select(F.col(text).alias("__text"))
+    for b in range(max(blocks, 1)):
+        some = windows.filter(F.pmod(F.xxhash64("item", "seq"), F.lit(blocks)) == b) if blocks > 1 else windows
+        shared = spark.sparkContext.broadcast(_block(texts, some))
+        last = b + 1 >= blocks
+        out = map_text(out, _matches(shared, passed, text, b == 0, columns if last else None), final if last else between)
     return out.select(*columns, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
                       "items_sha256", "hit_words", (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -187,7 +185,7 @@ def _block(texts: DataFrame, windows: DataFrame) -> Block:
     if len(wanted):
         short = sorted({min(SHINGLE, len(s)) for s in seqs})
         tokens = texts.sparkSession.sparkContext.broadcast((short, wanted))
-        for r in texts.mapInArrow(_counts(tokens), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        for r in map_text(texts, _counts(tokens), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
             count[r.k] = r.n
     best = [int(np.argmin(count[np.searchsorted(wanted, p)])) for p in parts]
     rare = np.array([p[b] for p, b in zip(parts, best)], U64)
