@@ -80,6 +80,13 @@ def test_view_list(data):
     assert a == b and sorted(a) == [1, 2, 3, 6, 7]
 
 
+def test_view_list_hooks(data):
+    counters, posts, terms = data
+    out = rank.view_list(counters, posts, number=2, before=lambda d: d.filter("post_id <> 1"),
+                         item=lambda d: d.withColumn("twice", F.col("views") * 2))
+    assert ids(out) == [3, 2] and all(r.twice == 2 * r.views for r in out.collect())
+
+
 def test_tabs_and_post_count(data):
     counters, posts, _ = data
     rows = dicts(rank.ranking_tabs(counters, posts, "total, day,bogus", 2), "tab", "rank")

@@ -272,5 +272,7 @@ def test_page_is_cut_before_posts_are_filtered(spark):
     posts = posts.withColumn("post_type", F.when(F.col("post_id") == 2, "page").otherwise("post"))
     stored = spark.createDataFrame([("", p, 10.0 - p, 1, p) for p in range(1, 5)],
                                    "segment string, post_id bigint, score double, views_day bigint, position int")
+    marked = trending.top_trending(stored, counters, posts, number=2, item=lambda d: d.withColumn("mark", F.lit(1)))
+    assert "mark" in marked.columns
     got = dicts(trending.top_trending(stored, counters, posts, number=2, post_types=("post",), fields="minimal"), "rank")
     assert [r["id"] for r in got] == [1]

@@ -132,9 +132,10 @@ def top_posts(counters: DataFrame, posts: DataFrame, rng: str = "total", number:
 def view_list(counters: DataFrame, posts: DataFrame, number: int = 10, post_type: str = "post",
               orderby: str = "meta_value_num", order: str = "DESC", rng: str = "total",
               category: str = "", tag: str = "", page: int = 1, post_terms: DataFrame | None = None,
-              seed: int = 0) -> DataFrame:
+              seed: int = 0, before: Callable | None = None, item: Callable | None = None) -> DataFrame:
     """Most-viewed list with a choice of order. Only day / week / month pick their own
-    counter; every other range lists by total."""
+    counter; every other range lists by total. ``before`` sees the candidates, ``item`` the
+    page."""
     value = counter_of(rng, ("day", "week", "month"))
     keys = {"date": "published_at", "title": "title"}
     more = [keys[orderby]] if orderby in keys else []
@@ -143,13 +144,16 @@ def view_list(counters: DataFrame, posts: DataFrame, number: int = 10, post_type
         if slug:
             held = post_terms.filter((F.col("taxonomy") == taxonomy) & (F.col("slug") == slugify(slug)))
             rows = rows.join(held.select("post_id"), "post_id", "left_semi")
+    if before:
+        rows = before(rows)
     if orderby == "rand":
         by = F.xxhash64(F.lit(seed), "post_id")  # a fixed shuffle per seed
     else:
         by = F.col(keys.get(orderby, "views"))
     up = order.upper() == "ASC"
     ranked = page_of(rows, [by.asc() if up else by.desc(), F.desc("post_id")], abs(number), max(1, abs(page)))
-    return describe(ranked, posts, post_terms, "full").withColumnRenamed("post_id", "id")
+    full = describe(ranked, posts, post_terms, "full").withColumnRenamed("post_id", "id")
+    return item(full) if item else full
 
 
 def ranking_tabs(counters: DataFrame, posts: DataFrame, tabs="total,day,week,month", number: int = 5,

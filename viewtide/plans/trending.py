@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,9 +62,9 @@ def trending_rows(run: DataFrame, as_of) -> DataFrame:
 
 def top_trending(trending: DataFrame, counters: DataFrame, posts: DataFrame, number: int = 5, page: int = 1,
                  post_types=("post", "page"), post_terms: DataFrame | None = None, fields: str = "full",
-                 segment_cols=()) -> DataFrame:
+                 segment_cols=(), item: Callable | None = None) -> DataFrame:
     """A page of the stored list by score. The page is cut before posts are filtered by
-    type and status, so it can come back short."""
+    type and status, so it can come back short. ``item`` sees the page."""
     number, page = abs(number) or 5, max(1, abs(page))
     keys = ["segment"] if segment_cols else [F.lit(0)]
     by_score = W.partitionBy(*keys).orderBy(F.desc("score"), "position")
@@ -78,7 +80,9 @@ def top_trending(trending: DataFrame, counters: DataFrame, posts: DataFrame, num
         F.col("rank").alias("trending_position"), F.col("score").alias("trending_score"),
         F.col("views_day").alias("trending_views"))
     full = describe(rows, posts, post_terms, fields).withColumnRenamed("post_id", "id")
-    return full.select("id", "title", "link", "rank") if fields == "minimal" else full
+    if fields == "minimal":
+        return full.select("id", "title", "link", "rank")
+    return item(full) if item else full
 
 
 def refresh_trending(spark: SparkSession, path: str, as_of: str, counters: DataFrame, posts: DataFrame,
