@@ -246,6 +246,24 @@ def test_url_components_spread_blocks(spark):
     assert urlfilter.url_filter(df.limit(0), rules).count() == 0 and urlfilter.url_filter(df, rules.limit(0)).filter("verdict = 'block'").count() == 0
 
 
+def test_url_ends_that_are_no_pages_are_judged(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [(1, "http://one.org/a", link.format("http://bad.net/es/x")), (2, "http://two.org/b", ""), (3, "http://three.org/c", ""),
+             (4, "http://four.org/d", '<meta http-equiv="refresh" content="0; url=http://bad.net/fr/">'),
+             (5, "http://bad.net/es", link.format("http://bad.net/es/")), (6, "http://six.org/e", link.format("http://free.org/e")),
+             (7, None, link.format("http://bad.net/es/x")), (8, "http://eight.org/", ""), (9, "http://bad.net/es/own", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rules = spark.createDataFrame(brute.RULES, "rule_host string, rule_path string, rule_verdict string")
+    edges = [("http://bad.net/es/from", "http://two.org/b"), ("http://three.org/c", "http://mid.org/"),
+             ("http://mid.org/", "http://bad.net/fr/z"), ("http://bad.net/es/y", "http://four.org/d"),
+             ("http://www.example.com/en/ok", "http://four.org/d"), (None, "http://eight.org/"), ("http://bad.net/es/x", None)]
+    moves = spark.createDataFrame(edges, "a string, b string")
+    got = {r.page_id: r.verdict for r in urlfilter.url_filter(df, rules, moves).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
+    alone = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_filter(df, rules).collect()}
+    assert alone[1] == (None, "block") and alone[4] == (None, "block") and alone[2] == (None, "allow")
+
+
 PAGE = """<html><body><div class="top"><p>Our site</p></div><div id="c{n}" class="x"></div><div class="body"><h2>Title {n}</h2>
 <p>Text&nbsp;number <i>{n}</i> &amp; more.<br>Next<p>Second {w}</div><div class="comments"><p>nice</p></div><div class="foot">Same end</div></body></html>"""
 

@@ -52,7 +52,8 @@ def _resolved(base: Column, link: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a, b``: canonical forms of pages and of their canonical links and meta refreshes."""
+    """``a, b, host, path``: canonical forms of pages and of their canonical links and meta
+    refreshes, and the link's own host and path."""
     text = F.coalesce(F.col(html), F.lit(""))
     tags = F.regexp_extract_all(text, F.lit(r"(?i)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
     links = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\srel\s*=\s*["']?canonical\b""")),
@@ -60,7 +61,14 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     moves = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\shttp-equiv\s*=\s*["']?refresh\b""")),
                         lambda t: F.regexp_extract(t, r"""(?i)url\s*=\s*["']?([^"'\s>]*)""", 1))
     found = pages.select(F.col(url).alias("u"), F.explode(F.concat(links, moves)).alias("link"))
-    return found.select(canonical(F.col("u")).alias("a"), canonical(_resolved(F.col("u"), F.col("link"))).alias("b"))
+    return _pairs(found.select("u", _resolved(F.col("u"), F.col("link")).alias("v")), "u", "v")
+
+
+def _pairs(urls: DataFrame, a: str, b: str) -> DataFrame:
+    """``a, b, host, path``: canonical forms of two URLs, host and path of the second."""
+    to = F.col(b)
+    return urls.select(canonical(F.col(a)).alias("a"), canonical(to).alias("b"), host_of(to).alias("host"),
+                       path_of(to).alias("path"))
 
 
 def rule_hits(parts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -85,10 +93,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     """The ``carry`` columns of ``pages`` (all by default) plus ``host, path, rule, verdict``.
 
     ``rules`` has ``rule_host, rule_path, rule_verdict``. ``edges`` may add known redirects
-    as URLs ``a, b``. A page that no rule fits is blocked if its component holds a page
-    that a rule blocks and none that a rule allows; otherwise it gets ``default``. Pages of
-    one canonical form are one node, so a URL repeated on any share of the rows costs one
-    row per task in the shuffle.
+    as URLs ``a, b``. A page that no rule fits is blocked if its component holds a URL
+    that a rule blocks and none that a rule allows; otherwise it gets ``default``. Rules
+    judge every URL of a component: targets of links and both ends of ``edges`` too, whether
+    they are pages or not. Pages of one canonical form are one node, so a URL repeated on
+    any share of the rows costs one row per task in the shuffle.
 
     A null url, or one without ``://``, has empty host and path, no rule and no equivalents.
     Null html has no links. One row in, one row out; repeated rows get equal answers.
@@ -99,13 +108,17 @@ def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     address = F.col(url)
     rows = pages.select(*columns, host_of(address).alias("host"), path_of(address).alias("path"),
                         canonical(address).alias("__node"))
-    hits = keep(rule_hits(rows.select("host", "path").distinct(), rules), "rules")
     links = page_links(pages, url, html)
     if edges is not None:
-        links = links.unionByName(edges.select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b")))
-    links = keep(links.filter("a <> b").distinct(), "links")
+        links = links.unionByName(_pairs(edges, "a", "b")).unionByName(_pairs(edges, "b", "a"))
+    # Both ends are judged: a page is a row, the other end need not be one.
+    links = keep(links.filter("b IS NOT NULL").distinct(), "links")
+    ends = links.select(F.col("b").alias("__node"), "host", "path")
+    nodes = rows.filter("__node IS NOT NULL").select("__node", "host", "path").unionByName(ends).distinct()
+    parts = rows.select("host", "path").unionByName(ends.select("host", "path")).distinct()
+    hits = keep(rule_hits(parts, rules), "rules")
+    links = links.filter("a <> b").select("a", "b").distinct()
 
-    nodes = rows.filter("__node IS NOT NULL").select("__node", "host", "path").distinct()
     decided = nodes.join(hits, ["host", "path"]).groupBy("__node").agg(
         F.max((F.col("verdict") == "allow")).alias("allows"), F.max((F.col("verdict") == "block")).alias("blocks"))
     if not links.isEmpty():
