@@ -154,6 +154,38 @@ def test_secrets_confirmed_by_structure(spark):
     assert got[5].redacted == "x [SECRET] y" and got[4].redacted == "[SECRET]"
 
 
+def test_secrets_in_wrapped_and_escaped_base64(spark):
+    rsa = der(0x30, der(2, b"\0"), *[der(2, bytes([k]) + b"\x11" * 59) for k in range(1, 9)])
+    pbe = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(4, b"saltsalt")))
+    locked, digest = der(0x30, pbe, der(4, b"\x77" * 320)), der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201"))), der(4, b"h" * 64))
+    assert secretscan.is_private_key(locked) and not secretscan.is_private_key(digest)
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda x, n=64, end="\n": end.join(x[i:i + n] for i in range(0, len(x), n))
+    pem = lambda x, name="": f"-----BEGIN {name}PRIVATE KEY-----\n{x}\n-----END {name}PRIVATE KEY-----\n"
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b64(b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(b"k" * 40) + string(b"s" * 80))
+    token = f"{part('{ \"alg\": \"HS256\"}')}.{part('{\"sub\": 1}')}.c2ln"
+    lines = f"{part('{\n  \"alg\": \"RS256\"}')}.{part('{\"sub\": 1}')}.c2ln"
+    random = b"".join(hashlib.sha512(bytes([k])).digest() for k in range(9))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    whole = {  # text before, secret, text after, kind
+        1: ('{"private_key": "', json.dumps(pem(wrap(b64(rsa))).strip())[1:-1], '\\n", "id": 1}', "pem"),
+        2: ("KEY='", wrap(b64(rsa), 76, "\\n"), "\\nend'", "der"), 3: ("words before\n", wrap(b64(rsa), 76, "\r\n"), "\r\nand after", "der"),
+        4: ("see /keys/", b64(rsa), " x", "der"), 5: ("id-", b64(rsa), "", "der"), 6: ("", pem(wrap(b64(locked)), "ENCRYPTED ").strip(), "\n", "pem"),
+        7: ("", pem(headers + wrap(b64(random)), "RSA ").strip(), "\n", "pem"), 8: ("a ", wrap(b64(locked), 40, "\n  "), " b", "der"),
+        9: ("bearer ", token, " x", "token"), 10: ("host.name_", lines, "", "token"), 11: ('"', wrap(ssh, 70, "\\n"), '"', "openssh"),
+        12: ("a.", token, " x", "token"), 13: ('"\\n', token, '"', "token"), 14: ("php ", b64(rsa).replace("/", "\\/"), " x", "der")}
+    texts = [(i, a + b + c) for i, (a, b, c, _) in whole.items()]
+    texts += [(30, wrap(b64(digest))), (31, wrap(b64(random))), (32, pem(wrap(b64(random)))), (33, "MII" + "MIIEpAIBAAKC" * 400), (34, "www.example-domains.com " * 9),
+              (35, pem(headers + "not a key: at all", "RSA ")), (36, wrap(b64(rsa[:-1])) + "\nM"), (37, b64(rsa)[:-9] + "\r\n" * 400)]
+    got = {r.doc_id: r for r in secretscan.scan_secrets(frame(spark, texts), redacted=True).collect()}
+    for i, (before, secret, after, kind) in whole.items():
+        assert f"{kind}:{len(before)}:{len(before) + len(secret)}" in got[i].spans.split(","), (i, got[i].spans)
+        assert got[i].redacted == f"{before}[SECRET]{after}"
+    assert all(got[i].n_confirmed == 0 for i, _ in texts if i >= 30)
+
+
 def test_base_secrets_edges(spark):
     texts = [(1, None), (2, ""), (3, "Token: 'abcdefgh' PASSWD=\"x\" api_key = ABCDEFGHI"), (4, "AKIA" + "A" * 11), (5, "AKIA" + "A" * 12),
              (6, "0" * 31 + " " + "a" * 33 + "G" + "f" * 32), (7, "toKen=abcdefgh ſecret=abcdefgh passwordpassword:12345678"), (8, LONG)]

@@ -3,7 +3,9 @@
 Base patterns report assignments, access keys and long hex runs. Structural confirmation
 looks at base64 and hex candidates: they are decoded and reported only when the bytes are a
 private key in DER (every nested length must fit exactly), an OpenSSH key file, or when the
-text is a signed token whose header and payload parse as JSON with an algorithm.
+text is a signed token whose header and payload parse as JSON with an algorithm. Base64 may
+start anywhere in a run and be wrapped by real or escaped line ends: the key's own lengths
+tell where it stops.
 """
 
 from __future__ import annotations
@@ -29,10 +31,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(rf"[0-9a-f]{{{HEX_MIN},}}")  # maximal runs, as with [0-9a-f]+ and a length test
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
 
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+# What may stand between two characters of one base64 value: line ends, written out or as
+# an escape of a string literal, with blanks; the backslash of an escaped slash.
+GAP = r"(?>(?:[\x20\t]*+(?:\\*+(?:\r\n?|\n)|\\++(?:[nrt]|u000[9aAdD])))++[\x20\t]*+|\\++(?=/))"
+_PIECE = re.compile(rf"([A-Za-z0-9+/_-]+)|{GAP}")
+_PAD = re.compile(rf"(?:{GAP})?=(?:(?:{GAP})?=)?")
+# The first bytes of a DER sequence (0x30 and a length of at most four bytes), or of a key file.
+DER_START = re.compile(r"M(?=[A-I])")
+SSH_START = re.compile(r"b3BlbnNzaC1rZXktdjEA")
+_HEAD, _LEAST = 16, 40  # characters that tell whether a key may start; least of a candidate
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END \1PRIVATE KEY-----")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
+_OBJECT = re.compile(rb"[\x20\t\r\n]*\{[\x20\t\r\n]*(?:\"|$)|[\x20\t\r\n]+$")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:(?!-----)[\s\S])*+)-----END \1PRIVATE KEY-----")
+_LINE_END = re.compile(r"\\++(?:[nrt]|u000[9aAdD]|(?=[\r\n]))")
+_HEADER = re.compile(r"([A-Za-z0-9-]+):(.*)")
+# Password-based encryption of PKCS#5 and PKCS#12.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _OPENSSH = b"openssh-key-v1\0"
 _MAX_DEPTH = 32
 
@@ -71,11 +86,15 @@ def _children(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int,
 
 
 def is_private_key(data: bytes) -> bool:
-    """A DER sequence shaped like a private key: PKCS#8, PKCS#1, DSA or SEC1."""
+    """A DER sequence shaped like a private key: PKCS#8 (encrypted too), PKCS#1, DSA or SEC1."""
     outer = _tlv(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
     inside = _children(data, outer[1], outer[2])
+    if inside and [t for t, _, _ in inside] == [0x30, 0x04]:  # encrypted PKCS#8: algorithm, octets
+        named = _children(data, inside[0][1], inside[0][2])
+        return bool(named) and named[0][0] == 0x06 and data[named[0][1]: named[0][2]].startswith(_PBE) \
+            and inside[1][2] > inside[1][1]
     if not inside or inside[0][0] != 0x02 or inside[0][2] - inside[0][1] != 1:
         return False
     version, tags = data[inside[0][1]], [t for t, _, _ in inside]
@@ -106,6 +125,106 @@ def is_openssh_key(data: bytes) -> bool:
     return fields >= 6 and at == len(data)
 
 
+def _openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key file that ``data`` starts with; None if it does not fit."""
+    at, fields, count = len(_OPENSSH), 0, 0
+    while fields < 4 or fields < 5 + count:
+        if at + 4 > len(data):
+            return None
+        size = int.from_bytes(data[at: at + 4], "big")
+        at += 4
+        fields += 1
+        if fields == 4:
+            count = size
+            if not 0 < count < 100:
+                return None
+            continue
+        at += size
+    return at if at <= len(data) else None
+
+
+def _der_size(head: bytes) -> int | None:
+    """Bytes of the private key that may start with ``head``: a sequence that begins with
+    a version or with the sequence of an algorithm."""
+    if len(head) < 12 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return None
+    size = int.from_bytes(head[2: 2 + n], "big") if n else head[1]
+    inner = head[2 + n:]
+    return 2 + n + size if inner[:2] == b"\x02\x01" and inner[2] < 2 or inner[0] == 0x30 else None
+
+
+def _gathered(text: str, at: int, most: int | None = None) -> tuple[str, int]:
+    """Up to ``most`` base64 characters from ``at`` on, gaps left out, and where they end."""
+    parts, have, end = [], 0, at
+    while most is None or have < most:
+        m = _PIECE.match(text, at)
+        if m is None:
+            break
+        at = m.end()
+        if m[1]:
+            piece = m[1] if most is None else m[1][: most - have]
+            parts.append(piece)
+            have += len(piece)
+            end = m.start() + len(piece)
+    return "".join(parts), end
+
+
+def _base64_keys(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Keys whose base64 starts anywhere outside ``taken``."""
+    out, done = [], 0
+    starts = sorted([m.start() for m in DER_START.finditer(text)] + [m.start() for m in SSH_START.finditer(text)])
+    for at in starts:
+        if at < done or any(s <= at < e for s, e in taken):
+            continue
+        if text[at] == "M":
+            size = _der_size(_decoded(_gathered(text, at, _HEAD)[0]))
+        else:
+            size = _openssh_size(_decoded(_gathered(text, at)[0]))
+        if size is None:
+            continue
+        need = (8 * size + 5) // 6
+        if not _LEAST <= need <= len(text) - at:
+            continue
+        chars, end = _gathered(text, at, need)
+        if len(chars) == need and (kind := _kind(_decoded(chars))):
+            pad = _PAD.match(text, end) if need % 4 else None
+            done = pad.end() if pad else end
+            out.append((kind, at, done))
+    return out
+
+
+def _is_pem(body: str) -> bool:
+    """A key by its structure, or one whose headers say that it is encrypted."""
+    lines = [x.strip() for x in _LINE_END.sub("\n", body).replace("\\", "").splitlines()]
+    headers = {m[1].lower(): m[2] for m in map(_HEADER.fullmatch, lines) if m}
+    data = _decoded("".join("".join(x.split()) for x in lines if not _HEADER.fullmatch(x)))
+    if "ENCRYPTED" in headers.get("proc-type", "") and "dek-info" in headers:
+        return len(data) >= 16 and len(data) % 8 == 0  # cipher blocks
+    return _kind(data) is not None
+
+
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens: a header may follow a separator or an escape inside its run."""
+    out = []
+    for m in TOKEN.finditer(text):
+        run, at = m[1], m.start()
+        starts = [0, *[i + 1 for i, c in enumerate(run) if c in "-_"]]
+        if at and text[at - 1] == "\\" and run[0] in "nrt":
+            starts.insert(1, 1)
+        for i in starts:
+            # A JSON object starts with a brace, maybe after white space.
+            if len(run) - i < 14 or run[i] not in "eICD" or not _OBJECT.match(_decoded(run[i: i + 12])):
+                continue
+            header = _json(run[i:])
+            if isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(_json(m[2]), dict):
+                out.append(("token", at + i, m.end(3)))
+                break
+    return out
+
+
 def _decoded(text: str) -> bytes:
     text = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -138,24 +257,12 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded structure is that of a key or a signed token."""
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if _kind(_decoded("".join(m[2].split()))):
-                out.append(("pem", *m.span()))
-    covered = [(s, e) for _, s, e in out]
-    for m in BASE64.finditer(text):
-        if any(s <= m.start() < e for s, e in covered):
-            continue
-        if m[0][0] in "Mb" and (kind := _kind(_decoded(m[0]))):  # 0x30.. or "openssh" in base64
-            out.append((kind, *m.span()))
+        out += [("pem", *m.span()) for m in PEM.finditer(text) if _is_pem(m[2])]
+    out += _base64_keys(text, [(s, e) for _, s, e in out])
     for m in ANY_HEX.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and (kind := _kind(bytes.fromhex(m[0]))):
             out.append((kind, *m.span()))
-    if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            header = _json(m[1])
-            if isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(_json(m[2]), dict):
-                out.append(("token", *m.span()))
-    return out
+    return out + _tokens(text)
 
 
 def _line(spans: list[tuple[str, int, int]]) -> str:
