@@ -315,6 +315,18 @@ def test_wrapper_finds_the_varying_slot(spark):
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
+def test_class_words_of_containers_hide_nothing():
+    side, end = '<div class="sidebar"><p>menu</p></div>', '<div class="comments"><article class="comment"><p>nice</p></article></div>'
+    text = "<p>The story.</p>"
+    for page in ('<body class="single has-sidebar"><article>{t}</article>{s}{e}', '<html class="no-cookie"><body><main>{t}</main>{s}{e}',
+                 '<html class="cookie"><body class="ad"><main class="widget">{t}</main>{s}{e}', '<div id="page" class="content with-sidebar">{t}{s}</div>',
+                 '<div class="content-sidebar-wrap"><article>{t}</article>{s}{e}</div>', '<article class="post related">{t}{s}</article>',
+                 '<main><div class="story widget">{t}</div></main>{s}{e}', '<div class="story widget">{t}{s}</div>',
+                 '<main class="related">{t}</main>{s}{e}', '<article>{t}{s}</article><div class="related"><article>other</article></div>'):
+        html = page.format(t=text, s=side, e=end)
+        assert htmltext.extract(htmltext.parse(html), None, 0, []) == "The story.", html
+
+
 def test_tree_match_counts_pairs():
     a = htmltext.parse("<div><p>1</p><ul><li>a<li>b</ul><p>2</p></div>")
     b = htmltext.parse("<div><ul><li>a<li>b<li>c</ul><p>2</p></div>")
