@@ -315,6 +315,24 @@ def test_wrapper_finds_the_varying_slot(spark):
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
+def test_wrapper_decides_inside_articles(spark):
+    page = ("<html><body><div class='top'>Site</div><article><h1>Title {n}</h1>{p}<p>Share this story</p>"
+            "<div class='box'><b>Subscribe</b> today</div></article><p>End</p></body></html>")
+    text = lambda n: [f"Part {n} {k} " + f"word{n} " * 9 for k in range(1 + n % 4)]
+    html = lambda n, more="": page.format(n=n, p="".join(f"<p>{t}</p>" for t in text(n))) + more
+    want = lambda n: "\n".join([f"Title {n}", *(t.strip() for t in text(n))])
+    pages = [(n, "http://h.org/a", html(n)) for n in range(12)]
+    pages += [(100 + n, "http://h.org/b", html(3, f"<!-- {n} -->")) for n in range(30)]  # copies of an article
+    pages += [(200 + n, "http://c.org/", html(5, f"<!-- {n} -->")) for n in range(9)]  # a host of copies
+    pages += [(300 + n, "http://d.org/", html(6 + n % 2, f"<!-- {n} -->")) for n in range(40)]  # of two
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.extract_text(df).collect()}
+    share = "\nShare this story\nSubscribe today"
+    assert all(got[n] == want(n) for n in range(12)) and all(got[100 + n] == want(3) for n in range(30))
+    assert all(got[200 + n] == want(5) + share for n in range(9))  # copies say nothing
+    assert all(got[300 + n] == want(6 + n % 2) + share for n in range(40))
+
+
 def test_class_words_of_containers_hide_nothing():
     side, end = '<div class="sidebar"><p>menu</p></div>', '<div class="comments"><article class="comment"><p>nice</p></article></div>'
     text = "<p>The story.</p>"
