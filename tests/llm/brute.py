@@ -123,6 +123,26 @@ def repetition(text):
     return len(words), chars, symbols, dup, repeat, failed, good
 
 
+def removed_repeats(texts, length=400):
+    """(bytes, removed, spans, SHA-256 of what is left) of each text."""
+    data, count = [(t or "").encode() for t in texts], Counter()
+    for d in data:
+        count.update(hash(d[i:i + length]) for i in range(len(d) - length + 1))
+    seen = Counter()  # exact strings, only for those whose hash is not alone
+    for d in data:
+        seen.update(s for s in (d[i:i + length] for i in range(len(d) - length + 1)) if count[hash(s)] > 1)
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if count[hash(d[i:i + length])] > 1 and seen[d[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        kept = bytes(c for c, g in zip(d, gone) if not g)
+        out.append((len(d), sum(gone), len(spans), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def held_out(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1
 

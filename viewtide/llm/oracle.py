@@ -104,4 +104,62 @@ SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS
 FROM c WHERE doc_id NOT IN (SELECT doc_id FROM toxic WHERE doc_id IS NOT NULL) GROUP BY 1, 2, 3
 """
 
-ORACLE = {"op1_near_dedup": OP1, "op3_source_mixing": OP3, "op6_quality_rules": OP6, "op7_token_counts": OP7}
+_LETTERS = "unnest(['A', 'B', 'C', 'D', 'E'])"
+
+OP11 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+    regexp_extract_all(coalesce(text, ''), {SPACE}) AS ws FROM documents),
+f AS (
+  SELECT doc_id, part, [CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * len(x) THEN 'C' END,
+    CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' END] AS failed FROM t),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, list_filter(failed, lambda c: c IS NOT NULL) AS failed, count(*) AS docs,
+    count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+letters AS (SELECT {_LETTERS} AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM letters a, letters b, letters d, letters e, letters g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+s AS (
+  SELECT part, filter_order, step, filter_order[step] AS c,
+    list_has_any(failed, string_split(filter_order[1:step - 1], '')) AS gone, list_contains(failed, filter_order[step]) AS fails,
+    len(failed) AS n, docs, good, toxic FROM m, steps),
+r AS (
+  SELECT part, filter_order, step, c, CAST(coalesce(sum(docs) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(docs) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(docs) FILTER (gone AND fails), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(docs) FILTER (fails AND n = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS u
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.u, b.u) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY rank <= 10
+"""
+
+ORACLE = {"op1_near_dedup": OP1, "op3_source_mixing": OP3, "op6_quality_rules": OP6, "op7_token_counts": OP7,
+          "op11_filter_audit": OP11, "op13_hard_negatives": OP13}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide.llm import (
-    decontaminate, dedup, htmltext, language, mixture, quality, repetition, rollup, secretscan, urlfilter)
+    decontaminate, dedup, htmltext, interaction, language, mixture, negatives, quality, repetition, rollup,
+    secretscan, suffixes, urlfilter)
 from viewtide.llm.scratch import folder, keep
 
 #: The rules of op9, as host, path, verdict.
@@ -83,6 +84,24 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = interaction.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.audit(cells)
+
+
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(table(spark, sf_dir, "embeddings"), label)
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_near_dedup": near_dedup,
     "op2_quality_resampling": quality_resampling,
@@ -94,4 +113,7 @@ QUERIES = {
     "op8_language_id": language_id,
     "op9_url_filter": url_filter,
     "op10_html_text": html_text,
+    "op11_filter_audit": filter_audit,
+    "op12_suffix_dedup": suffix_dedup,
+    "op13_hard_negatives": hard_negatives,
 }
