@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from viewtide.session import shared_dir
 
+FREE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 _roots: dict[str, SparkSession] = {}
@@ -30,10 +31,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of ``df``, computed once and stored."""
+def keep(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
+    """The rows of ``df``, computed once and stored. With ``free`` the shuffle files that it
+    took are deleted as soon as it is stored, not when the driver next collects garbage."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SETTING, "false")
+    try:
+        if free:
+            spark.conf.set(FREE_SETTING, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewtide.llm.scratch import keep
+
 U64 = np.uint64
 STEP = 1 << 20  # bytes of text whose prefix sums are held at once
 _rng = np.random.default_rng(20250131)
@@ -140,6 +142,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         self.data, self.length = data, length
         self.v, cover = difference_cover(length)
+        self.flag = np.uint8 if len(cover) < 32 else np.uint16
         block = length - self.v + 1
         sizes = np.diff(offsets)
         long = np.flatnonzero(sizes >= length)
@@ -170,12 +173,12 @@ class Chunk:
         """Key, one of its surroundings and flags of each distinct block: found twice,
         several surroundings, several residues, and above these three bits its residue."""
         if not len(self.keys):
-            return self.keys, self.keys, np.zeros(0, np.uint16)
+            return self.keys, self.keys, np.zeros(0, self.flag)
         around, residue = self.around[self.order], self.residue[self.order]
         low, high = np.minimum.reduceat(around, self.first), np.maximum.reduceat(around, self.first)
         least, most = np.minimum.reduceat(residue, self.first), np.maximum.reduceat(residue, self.first)
         flags = (self.counts > 1) | (low != high).astype(np.uint16) << 1 | (least != most).astype(np.uint16) << 2 | least << 3
-        return self.keys, low, flags.astype(np.uint16)
+        return self.keys, low, flags.astype(self.flag)
 
     def judged(self, status: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``at`` of the blocks whose every window is repeated, and of those whose
@@ -208,7 +211,7 @@ class Chunk:
         place = np.empty(len(a), np.int64)
         place[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        twice = (np.diff(np.append(first, len(a))) > 1).astype(np.uint16)
+        twice = (np.diff(np.append(first, len(a))) > 1).astype(np.uint8)
         return starts, (a[first], b[first], twice), place
 
 
@@ -227,8 +230,10 @@ def _packed(chunk: int, payload: tuple, buckets: int) -> pa.Table:
 def _ranked(table: pa.Table, kind: int) -> pa.Table:
     """Sort one bucket and answer every chunk that sent keys to it."""
     parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-             for c, t in (("first", U64), ("second", U64 if kind == BLOCKS else np.uint32), ("flags", np.uint16))]
+             for c, t in (("first", U64), ("second", U64 if kind == BLOCKS else np.uint32), ("flags", np.uint8))]
     sizes = np.array([len(x) for x in parts[0]])
+    if sizes.sum() < sum(map(len, parts[2])):
+        parts[2] = [x.view(np.uint16) for x in parts[2]]
     key, second, flags = (np.concatenate(p) for p in parts)
     status = np.zeros(len(key), np.uint8)
     order = np.argsort(key, kind="stable") if kind == BLOCKS else np.lexsort((second, key))
@@ -311,8 +316,8 @@ def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text"
     ``cfg.length`` stays whole. Copies and repeated rows are repeats of each other. What is
     kept may end inside a character. Columns of ``docs`` named like a result are replaced.
 
-    Texts are shuffled once, dealt to chunks by a digest of their row; keys go from chunks
-    to buckets and answers back. A document is never cut: one text is in one task.
+    Texts are dealt to chunks by a digest of their row, once to rank the sample and once for
+    the rest; keys go from chunks to buckets and answers back. A document is never cut: one text is in one task.
     """
     spark = docs.sparkSession
     names = ["n_bytes", "spans", "kept_bytes"]
@@ -321,8 +326,8 @@ def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(-(-size // cfg.chunk_bytes), least)
     v, cover = difference_cover(cfg.length)
-    buckets = {BLOCKS: max(-(-size * len(cover) * 18 // (v * cfg.bucket_bytes)), least),
-               WINDOWS: max(-(-size * 14 // (4 * cfg.bucket_bytes)), least)}
+    buckets = {BLOCKS: max(-(-size * len(cover) * 17 // (v * cfg.bucket_bytes)), least),
+               WINDOWS: max(-(-size * 13 // (4 * cfg.bucket_bytes)), least)}
     digest = F.xxhash64(*[F.col(c).cast("string") if c == text else F.col(c) for c in docs.columns if c == text or c in columns],
                         F.spark_partition_id())
     parts = docs.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(columns)], F.col(text).cast("binary").alias("__bytes"),
@@ -341,7 +346,7 @@ def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text"
 
     def ends(key, table, answers):
         if not table.num_rows or not answers.num_rows:
-            return _packed(0, (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)), 1)
+            return _packed(0, (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)), 1)
         chunk = read(table)[2]
         return _packed(key[0].as_py(), chunk.windows(chunk.judged(_status(answers, BLOCKS, len(chunk.keys)))[1])[1], buckets[WINDOWS])
 
@@ -354,7 +359,8 @@ def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text"
         return _cut(table, held, data, offsets, gone)
 
     ranks = parts.groupBy("__chunk").applyInArrow(sample, _PAYLOAD).groupBy("bucket").applyInArrow(rank, _ANSWER)
-    ranks = ranks.repartition(chunks, "chunk")  # answers that both of the following read
+    # The keys' shuffle is the largest: it goes before the windows' begins. Both steps below read the answers.
+    ranks = keep(ranks, "ranks", free=True).repartition(chunks, "chunk")
     windows = parts.groupBy("__chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(ends, _PAYLOAD)
     sorted_ = windows.groupBy("bucket").applyInArrow(sort, _ANSWER).repartition(chunks, "chunk")
     schema = T.StructType([T.StructField(h, docs.schema[c].dataType) for h, c in zip(held, columns)] + T._parse_datatype_string(
