@@ -63,6 +63,39 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         capped.update({s: most * sizes[s] for s in over})
 
 
+def mixed(rows, weights=(5, 2, 1), most=3):
+    """[(id, size, source size, target, taken)]: whole passes, then the last one filled in levels."""
+    sized = [(i, s, len(SPACE.findall(t or "")), hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()) for i, t, s in rows]
+    total, taken = Counter(), Counter()
+    for _, s, n, _ in sized:
+        total[s] += n
+    want = targets(total, weights, most)
+    for s in total:
+        mine = sorted((k for k, r in enumerate(sized) if r[1] == s and r[2]), key=lambda k: (sized[k][3], sized[k][0]))
+        passes = int(want[s] // total[s]) if total[s] else 0
+        part = want[s] - passes * total[s]
+        left, used = list(mine), []
+        gap = part
+        while gap >= 1:
+            level, sofar, hit = 1 << (int(gap).bit_length() - 1), 0, []
+            for k in [k for k in left if sized[k][2] <= level]:
+                sofar += sized[k][2]
+                if sofar > gap:
+                    break
+                hit.append(k)
+            if not hit:
+                break
+            used += hit
+            left = [k for k in left if k not in set(hit)]
+            gap = part - sum(sized[k][2] for k in used)
+        near = min(left, key=lambda k: (abs(gap - sized[k][2]), sized[k][3], sized[k][0]), default=None)
+        if near is not None and part > 0 and abs(gap - sized[near][2]) < gap:
+            used.append(near)
+        for k in mine:
+            taken[k] = (passes + (k in set(used))) * sized[k][2]
+    return [(i, n, total[s], want[s], taken[k]) for k, (i, s, n, _) in enumerate(sized)]
+
+
 def contamination(docs, items, window=10):
     by = defaultdict(set)
     for item, text in items:
@@ -95,11 +128,11 @@ def base_secrets(text):
     return len(spans), len(access), len(runs), hashlib.sha256(line.encode()).hexdigest(), line
 
 
-def covered(words, n, first=True):
+def covered(words, n):
     at = defaultdict(list)
     for k in range(len(words) - n + 1):
         at[tuple(words[k:k + n])].append(k)
-    return {k + j for ks in at.values() if len(ks) > 1 for k in ks[not first:] for j in range(n)}
+    return {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(n)}
 
 
 def repetition(text):
@@ -117,8 +150,8 @@ def repetition(text):
     symbols = sum(c in "#*$%&|<>" for c in text)
     failed = len(words) < 10 or 100 * repeat > 20 * len(words)
     limits = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-    shares = {n: sum(len(words[k]) for k in covered(words, n, False)) for n in limits}
-    good = not failed and all(100 * shares[n] <= limits[n] * chars for n in limits) and 100 * dup_chars <= 20 * chars \
+    shares = {n: sum(len(words[k]) for k in covered(words, n)) for n in limits}
+    good = not failed and (len(words) < 200 or all(100 * shares[n] <= limits[n] * chars for n in limits)) and 100 * dup_chars <= 20 * chars \
         and 100 * symbols <= 10 * chars
     return len(words), chars, symbols, dup, repeat, failed, good
 

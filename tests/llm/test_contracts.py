@@ -42,6 +42,9 @@ def test_near_dedup(spark, sf, docs):
 
 
 def test_mixing(spark, sf, docs):
+    want = {r[0]: r for r in brute.mixed([(i, t, s) for i, t, _, s in docs])}
+    assert {r[0]: r[4] for r in rows(spark, sf, "op3_source_mixing", "doc_id", "size", "source_size", "target", "taken")} == {
+        i: r[4] for i, r in want.items()}
     sizes, source, taken, longest = Counter(), {}, Counter(), Counter()
     for i, text, _, name in docs:
         n = len(brute.SPACE.findall(text or ""))

@@ -96,6 +96,43 @@ def test_mix_edges(spark):
     assert slim == got  # slices change nothing
 
 
+def test_mix_fills_the_last_pass_around_long_documents(spark):
+    """Word counts in the order of the digests; a giant among short documents, and ever longer ones."""
+    ids = sorted(range(1000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    for sizes in ([100_000 if k == 10 else 100 for k in range(1000)], [1 + k % 7 + (k % 13 == 0) * 9_000 for k in range(1000)],
+                  [2 ** (k % 15) for k in range(1000)]):
+        text = {i: "w " * n for i, n in zip(ids, sizes)}
+        rows = [(i, text[i], "a") for i in range(1000)] + [(2000 + k, "v " * 90, s) for k, s in enumerate("bbc")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+        got = {r["__id"]: r for r in mixture.mix(df).collect()}
+        assert [(i, got[i]["size"], got[i].source_size, got[i].taken) for i, *_ in rows] == [
+            (i, n, total, taken) for i, n, total, _, taken in brute.mixed(rows)]
+        mine = [got[i] for i in range(1000)]
+        target, taken = mine[0].target, sum(r.taken for r in mine)
+        rest = target - (target // sum(sizes)) * sum(sizes)
+        assert abs(target - taken) <= max(s for s in sizes if s <= rest) / 2
+        again = {r["__id"]: r.taken for r in mixture.mix(df.repartition(5), mixture.Curriculum(slice_docs=50)).collect()}
+        assert again == {i: r.taken for i, r in got.items()}
+
+
+def test_mix_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(500)), "w " * int(rng.integers(1, 2000) if rng.random() < 0.05 else rng.integers(0, 60)),
+             [None, "a", "b", "c", "é"][int(rng.integers(5))]) for _ in range(700)]
+    rows = list({i: (i, t, s) for i, t, s in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(((r["__id"], r["size"], r.source_size, r.taken) for r in mixture.mix(df, mixture.Curriculum(slice_docs=20)).collect()))
+    assert got == sorted((i, n, total, taken) for i, n, total, _, taken in brute.mixed(rows))
+
+
+def test_curriculum_keeps_clashing_columns(spark):
+    names = ["copy", "size", "place", "target", "last", "__id", "__i", "supply", "USE_NO"]
+    df = frame(spark).drop("SIZE").withColumns({c: F.lit(c) for c in names})
+    out = mixture.curriculum(df)
+    assert out.columns == [*[c for c in df.columns if c != "USE_NO"], "use_no", "train_position"]
+    assert all(r.copy == "copy" and r["__id"] == "__id" and 0 <= r.train_position <= 1 for r in out.collect())
+
+
 def test_targets_reach_every_limit(spark):
     for sizes in ({"a": 10, "b": 500, "c": 3, None: 40}, {"a": 0, "b": 7}, {"a": 1000, "b": 1, "c": 1, "d": 1}, {"a": 0}):
         df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size bigint, docs bigint")
@@ -186,6 +223,21 @@ def test_secrets_in_wrapped_and_escaped_base64(spark):
     assert all(got[i].n_confirmed == 0 for i, _ in texts if i >= 30)
 
 
+def test_secret_scan_takes_time_by_length():
+    """Texts of 2 MB that are full of places where a key or token could start."""
+    import time
+
+    cases = ["b3BlbnNzaC1rZXktdjEA" * 100_000, "MIIEpAIBAAKC" * 170_000, "-eyJhbGciOiJI" * 160_000 + ".e30.x", "eyJh" + "-eyJhYWFh" * 220_000 + ".e30.x",
+             "b3BlbnNzaC1rZXktdjEA\n" * 95_000, "-----BEGIN PRIVATE KEY-----MII" * 66_000]
+    for text in cases:
+        start = time.process_time()
+        assert secretscan.confirmed_spans(text) == []
+        assert time.process_time() - start < 15
+    rsa = der(0x30, der(2, b"\0"), *[der(2, b"\x11" * 60)] * 8)
+    late = "MIIEpAIBAAKC" * 1000 + " " + base64.b64encode(rsa).decode()  # found behind many false starts
+    assert [s[0] for s in secretscan.confirmed_spans(late)] == ["der"]
+
+
 def test_base_secrets_edges(spark):
     texts = [(1, None), (2, ""), (3, "Token: 'abcdefgh' PASSWD=\"x\" api_key = ABCDEFGHI"), (4, "AKIA" + "A" * 11), (5, "AKIA" + "A" * 12),
              (6, "0" * 31 + " " + "a" * 33 + "G" + "f" * 32), (7, "toKen=abcdefgh ſecret=abcdefgh passwordpassword:12345678"), (8, LONG)]
@@ -196,6 +248,12 @@ def test_base_secrets_edges(spark):
 
 def test_repetition_edges(spark):
     texts = TEXTS + [(20, "same line here\n" * 9), (21, "x y z\n\n\nx y z\n x y z"), (22, "a b c d e " * 30), (23, "#*$%&|<> " * 5 + "w " * 6)]
+    passage = "p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15 p16 p17 p18 "
+    alone = lambda n, tag: " ".join(f"{tag}{k}" for k in range(n))
+    said_twice = f"{alone(80, 'a')} {passage}{alone(84, 'b')} {passage}"  # 200 words, 36 of them in a passage said twice
+    texts += [(30, said_twice), (31, said_twice.replace("a0 ", "")), (32, f"{alone(300, 'a')} {passage}{alone(84, 'b')} {passage}")]
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in repetition.repetition(frame(spark, texts)).filter("doc_id >= 30").collect()}
+    assert kept == {30: (False, False), 31: (False, True), 32: (False, True)}  # rejected; too short to tell; little of the text
     got = sorted_rows(repetition.repetition(frame(spark, texts)), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept")
     assert got == sorted(((i, *brute.repetition(t)) for i, t in texts), key=repr)
@@ -258,6 +316,16 @@ def test_language_edges(spark):
     assert all(r.h == brute.held_out(r.doc_id) for r in flags)
 
 
+def test_unlearned_language_is_unlike(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs.filter("lang <> 'fr'"))
+    found = language.identify(docs.withColumn("UNLIKE", F.lit("x")), model, unlike=True)
+    rows = [(r.lang == "fr", r.unlike, len(r.text or "")) for r in found.collect()]
+    odd = [u for fr, u, n in rows if fr and n > 200]
+    assert sum(u > 0.15 for u in odd) >= 0.9 * len(odd) > 0 and all(u <= 0.15 for fr, u, _ in rows if not fr)
+    assert found.columns == [*docs.columns, "lang_pred", "score", "unlike"]
+
+
 def test_url_components_spread_blocks(spark):
     link = '<link rel="canonical" href="{}">'
     pages = [(1, "http://bad.net/es/x", ""), (2, "https://mirror.org/y?utm_source=f#a", link.format("http://bad.net/es/x")),

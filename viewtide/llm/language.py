@@ -4,6 +4,11 @@ Text bytes become 59 symbols (letters, one blank, folded non-ASCII bytes). Filte
 several widths slide over fixed-length windows, each filter keeps its greatest response in
 the window, and a softmax layer turns the responses into language probabilities. A
 document's probabilities are the mean over all its windows.
+
+The network always names a language that it knows. Whether a text is like that language at
+all is told by the symbol triples of the training windows: Good-Turing gives the share of
+triples that a text of the language should have new, and ``unlike`` how far beyond doubt
+the text has more.
 """
 
 from __future__ import annotations
@@ -55,11 +60,32 @@ class ByteConvNet:
     bias: np.ndarray | None = None
     out: np.ndarray | None = None
     out_bias: np.ndarray | None = None
+    triples: np.ndarray | None = None  # per language, which symbol triples occurred
+    fresh: np.ndarray | None = None  # per language, expected share of new ones
     cfg: Training = Training()
 
     def parts(self) -> tuple:
         """The trained weights as plain data."""
-        return self.langs, self.tables, self.bias, self.out, self.out_bias
+        return self.langs, self.tables, self.bias, self.out, self.out_bias, self.triples, self.fresh
+
+    def learn_triples(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Triples around a letter, and the share of those found once (Good-Turing)."""
+        codes, lettered = triple_codes(x)
+        self.triples = np.zeros((len(self.langs), SYMBOLS**3), bool)
+        self.fresh = np.ones(len(self.langs))
+        for c in range(len(self.langs)):
+            found, counts = np.unique(codes[y == c][lettered[y == c]], return_counts=True)
+            self.triples[c, found] = True
+            if len(found):
+                self.fresh[c] = (counts == 1).sum() / counts.sum()
+
+    def unlike(self, x: np.ndarray, lang: int) -> float:
+        """Lower bound (three deviations) of the share of a document's triples that its language lacks,
+        beyond the expected share of new ones; 0 for few triples."""
+        codes, lettered = triple_codes(x)
+        n = int(lettered.sum())
+        new = int((lettered & ~self.triples[lang][codes]).sum())
+        return max(0.0, (new - 3 * new**0.5) / n - float(self.fresh[lang])) if n else 0.0
 
     def responses(self, x: np.ndarray, where: bool = False):
         """Greatest response of each filter in each window row of ``x``, and its place."""
@@ -152,6 +178,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return flat.reshape(-1, length), first
 
 
+def triple_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each symbol triple of the windows, and whether its middle is a letter."""
+    wide = x.astype(np.int32)
+    return (wide[:, :-2] * SYMBOLS + wide[:, 1:-1]) * SYMBOLS + wide[:, 2:], x[:, 1:-1] > 0
+
+
 def _has_letter(raw: bytes) -> bool:
     if _LETTER[np.frombuffer(raw, np.uint8)].any():
         return True
@@ -202,20 +234,26 @@ def train(labelled: DataFrame, cfg: Training = Training(), id: str = "doc_id", t
     known = sorted({p[0] for p in pairs})
     x = np.frombuffer(b"".join(p[1] for p in pairs), np.uint8).reshape(-1, cfg.length)
     y = np.searchsorted(np.array(known, object), np.array([p[0] for p in pairs], object)).astype(int)
-    return ByteConvNet(known, cfg=cfg).fit(x, y)
+    net = ByteConvNet(known, cfg=cfg).fit(x, y)
+    net.learn_triples(x, y)
+    return net
 
 
-def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of ``docs`` (all by default) plus ``lang_pred, score``.
+def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", carry: list[str] | None = None,
+             unlike: bool = False) -> DataFrame:
+    """The ``carry`` columns of ``docs`` (all by default) plus ``lang_pred, score`` and, if asked
+    for, ``unlike``: from 0 (like the training text of ``lang_pred``) towards 1, whatever the
+    number of languages; a short text needs more to rise above 0.
 
     The whole text counts, window by window. A text that is null or has no letter is
     ``und`` with score 0, and so is every text without a model. One row in, one row out,
     no shuffle. Columns of ``docs`` named like a result (in any case) are replaced.
     """
-    columns = [c for c in carry or docs.columns if c.lower() not in ("lang_pred", "score")]
+    names = ["lang_pred", "score", *(["unlike"] if unlike else [])]
+    columns = [c for c in carry or docs.columns if c.lower() not in names]
     passed = columns if text in columns else [*columns, text]
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           *[T.StructField(c, T.DoubleType()) for c in names[1:]]])
     length = model.cfg.length if model else Training.length
     shared = docs.sparkSession.sparkContext.broadcast(model and model.parts())
 
@@ -224,7 +262,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", car
         paired = net.paired() if net else None
         for batch in batches:
             data, offsets = words.text_buffers(batch.column(text))
-            langs, scores = [], []
+            langs, scores, odd = [], [], []
             for i, j in words.chunks(offsets):
                 x, first = windows(data, offsets[i: j + 1], length)
                 mean = None
@@ -236,13 +274,14 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text: str = "text", car
                     if mean is None or not _has_letter(raw):
                         langs.append("und")
                         scores.append(0.0)
+                        odd.append(0.0)
                     else:
                         best = int(mean[d].argmax())
                         langs.append(net.langs[best])
                         scores.append(float(min(1.0, mean[d, best])))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*columns, "lang_pred", "score"])
+                        odd.append(net.unlike(x[first[d]: first[d + 1]], best) if unlike else 0.0)
+            made = [pa.array(langs, pa.string()), *[pa.array(v, pa.float64()) for v in (scores, odd)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made[: len(names)]], names=[*columns, *names])
 
     return map_text(docs.select(*passed), run, schema)
 

@@ -19,7 +19,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS least FROM
 """
 
 OP3 = rf"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
     len(regexp_extract_all(coalesce(text, ''), {SPACE})) AS size FROM documents),
 src AS (
@@ -40,29 +40,34 @@ pos AS (
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS supply
   FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
 part AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM pos),
-wholes AS (
-  SELECT *, target - passes * source_size AS part,
-    size > 0 AND supply + size <= target - passes * source_size AS whole FROM part),
+  SELECT *, target - passes * source_size AS part FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM pos)),
+fits AS (
+  SELECT doc_id, source, k, size, source_size, target, passes, part, false AS used, 40 AS level FROM part
+  UNION ALL
+  SELECT doc_id, source, k, size, source_size, target, passes, part, used OR (fit AND before + size <= gap), level - 1 FROM (
+    SELECT *, coalesce(sum(CASE WHEN fit THEN size ELSE 0 END) OVER (
+      PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+      SELECT *, NOT used AND size > 0 AND size <= 1::BIGINT << level AND gap >= 1::BIGINT << level AND gap < 2::BIGINT << level AS fit FROM (
+        SELECT *, part - sum(CASE WHEN used THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM fits WHERE level >= 0)))),
 gaps AS (
-  SELECT *, part - sum(CASE WHEN whole THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM wholes),
+  SELECT *, part - sum(CASE WHEN used THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM fits WHERE level = -1),
 fill AS (
-  SELECT *, CASE WHEN NOT whole AND size > 0 AND part > 0 AND abs(gap - size) < gap THEN
-    row_number() OVER (PARTITION BY source, NOT whole AND size > 0 AND part > 0 AND abs(gap - size) < gap
+  SELECT *, CASE WHEN NOT used AND size > 0 AND part > 0 AND abs(gap - size) < gap THEN
+    row_number() OVER (PARTITION BY source, NOT used AND size > 0 AND part > 0 AND abs(gap - size) < gap
                        ORDER BY abs(gap - size), k, doc_id) END AS f FROM gaps)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size > 0 THEN (passes + CASE WHEN whole OR f = 1 THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN size > 0 THEN (passes + CASE WHEN used OR f = 1 THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
 FROM fill
 """
 
 _GRAMS = "".join(rf""",
 g{n} AS (
-  SELECT doc_id, i, len(x) AS c, count(*) OVER (PARTITION BY doc_id, g) > 1 AND g IS NOT NULL AS rep,
-    row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1 AND g IS NOT NULL AS later FROM (
+  SELECT doc_id, i, len(x) AS c, count(*) OVER (PARTITION BY doc_id, g) > 1 AND g IS NOT NULL AS rep FROM (
     SELECT doc_id, i, x, CASE WHEN i + {n - 1} <= n THEN array_to_string(ws[i:i + {n - 1}], ' ') END AS g FROM u)),
 c{n} AS (
-  SELECT doc_id, count(*) FILTER (hit) AS words, coalesce(sum(c) FILTER (again), 0) AS chars FROM (
-    SELECT doc_id, c, max(rep) OVER near AS hit, max(later) OVER near AS again
+  SELECT doc_id, count(*) FILTER (hit) AS words, coalesce(sum(c) FILTER (hit), 0) AS chars FROM (
+    SELECT doc_id, c, max(rep) OVER near AS hit
     FROM g{n} WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))
   GROUP BY doc_id)""" for n in range(5, 11))
 _LIMITS = " AND ".join(f"100 * coalesce(c{n}.chars, 0) <= {most} * word_chars" for n, most in
@@ -86,7 +91,7 @@ m AS (
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN c5 USING (doc_id))
 SELECT m.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {_LIMITS}
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words < 200 OR {_LIMITS})
     AND 100 * dup_chars <= 20 * word_chars AND 100 * n_symbols <= 10 * word_chars AS kept
 FROM m {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in range(5, 11))}
 """

@@ -1,9 +1,8 @@
 """Repetition coverage: how much of a text lies in duplicated n-grams and lines.
 
-Word hashes of the whole text are rolled into n-grams of several lengths in numpy. For the
-base rule all words inside a repeated window count. For the method's verdict the characters
-of what is said again count: of words inside n-grams, and of lines, that stand earlier in
-the text too. So a sentence quoted once in a short text weighs its own length, not twice.
+Word hashes of the whole text are rolled into n-grams of several lengths in numpy. All words
+inside a repeated n-gram count, its first occurrence too: for the base rule as words, for
+the method's verdict as characters. Duplicate lines are those that equal an earlier one.
 """
 
 from __future__ import annotations
@@ -28,27 +27,30 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 class RepetitionRules:
     """Limits in percent. Base: a text fails with fewer than ``min_words`` words or with
     more than ``repeat`` percent of its words inside repeated 5-word windows. The method's
-    verdict uses shares of word characters: inside repeats of n-grams (``duplicated``), in
-    duplicate lines (``lines``), and symbols per word character (``symbols``)."""
+    verdict uses shares of word characters: inside n-grams found twice or more
+    (``duplicated``: length and limit), in duplicate lines (``lines``), and symbols per word
+    character (``symbols``).
+
+    The n-gram limits hold from ``gram_words`` words on: a sentence of ten words that is said
+    twice covers 20 words, a tenth of 200, so that in shorter texts one quoted sentence or
+    licence line would reach a limit by itself. Shorter texts are left to the other rules."""
 
     min_words: int = 10
     repeat: int = 20
     window: int = 5
     duplicated: tuple[tuple[int, int], ...] = ((5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10))
+    gram_words: int = 200
     lines: int = 20
     symbols: int = 10
 
 
-def covered_words(hashes: np.ndarray, n: int, first: bool = True) -> np.ndarray:
-    """Which words of one document lie in an n-gram found twice or more; without ``first``,
-    in one that stands earlier in the document too."""
+def covered_words(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which words of one document lie in an n-gram found twice or more."""
     inside = np.zeros(len(hashes) + 1, np.int64)
     every = words.grams(hashes, n)
     order = np.argsort(every, kind="stable")
     again = every[order[1:]] == every[order[:-1]]
-    starts = order[1:][again]
-    if first:
-        starts = np.unique(np.concatenate([starts, order[:-1][again]]))
+    starts = np.unique(np.concatenate([order[1:][again], order[:-1][again]]))
     np.add.at(inside, starts, 1)
     np.add.at(inside, starts + n, -1)
     return np.cumsum(inside[:-1]) > 0
@@ -60,7 +62,7 @@ def _measure(data: np.ndarray, hashes: np.ndarray, chars: np.ndarray, starts: np
     total = int(chars.sum())
     symbols = int(_SYMBOL[data].sum())
     repeated = int(covered_words(hashes, rules.window).sum())
-    shares = [int(chars[covered_words(hashes, n, False)].sum()) for n, _ in rules.duplicated]
+    shares = [int(chars[covered_words(hashes, n)].sum()) for n, _ in rules.duplicated]
     seen, dup_lines, dup_chars, raw = set(), 0, 0, data.tobytes()
     if len(starts):
         place = np.searchsorted(starts, np.flatnonzero(data == 10)).tolist()
@@ -76,7 +78,8 @@ def _measure(data: np.ndarray, hashes: np.ndarray, chars: np.ndarray, starts: np
                 seen.add(line)
     n = len(hashes)
     failed = n < rules.min_words or 100 * repeated > rules.repeat * n
-    good = not failed and all(100 * s <= most * total for s, (_, most) in zip(shares, rules.duplicated)) \
+    within = n < rules.gram_words or all(100 * s <= most * total for s, (_, most) in zip(shares, rules.duplicated))
+    good = not failed and within \
         and 100 * dup_chars <= rules.lines * total and 100 * symbols <= rules.symbols * total
     return n, total, symbols, dup_lines, repeated, failed, dup_chars, shares, good
 

@@ -15,6 +15,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +50,7 @@ _HEADER = re.compile(r"([A-Za-z0-9-]+):(.*)")
 # Password-based encryption of PKCS#5 and PKCS#12.
 _PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _OPENSSH = b"openssh-key-v1\0"
+#: Values of a key lie a few levels deep; a sequence nested deeper than this is none.
 _MAX_DEPTH = 32
 
 
@@ -125,24 +127,6 @@ def is_openssh_key(data: bytes) -> bool:
     return fields >= 6 and at == len(data)
 
 
-def _openssh_size(data: bytes) -> int | None:
-    """Bytes of the OpenSSH key file that ``data`` starts with; None if it does not fit."""
-    at, fields, count = len(_OPENSSH), 0, 0
-    while fields < 4 or fields < 5 + count:
-        if at + 4 > len(data):
-            return None
-        size = int.from_bytes(data[at: at + 4], "big")
-        at += 4
-        fields += 1
-        if fields == 4:
-            count = size
-            if not 0 < count < 100:
-                return None
-            continue
-        at += size
-    return at if at <= len(data) else None
-
-
 def _der_size(head: bytes) -> int | None:
     """Bytes of the private key that may start with ``head``: a sequence that begins with
     a version or with the sequence of an algorithm."""
@@ -156,40 +140,94 @@ def _der_size(head: bytes) -> int | None:
     return 2 + n + size if inner[:2] == b"\x02\x01" and inner[2] < 2 or inner[0] == 0x30 else None
 
 
-def _gathered(text: str, at: int, most: int | None = None) -> tuple[str, int]:
-    """Up to ``most`` base64 characters from ``at`` on, gaps left out, and where they end."""
-    parts, have, end = [], 0, at
-    while most is None or have < most:
-        m = _PIECE.match(text, at)
-        if m is None:
-            break
-        at = m.end()
-        if m[1]:
-            piece = m[1] if most is None else m[1][: most - have]
-            parts.append(piece)
-            have += len(piece)
-            end = m.start() + len(piece)
-    return "".join(parts), end
+class _Run:
+    """Base64 characters from one place of a text up to where they end, gaps left out. The
+    pieces are found once; any of the bytes they stand for is then read without the others."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.starts, self.counts = text, [], [0]
+        while m := _PIECE.match(text, at):
+            at = m.end()
+            if m[1]:
+                self.starts.append(m.start())
+                self.counts.append(self.counts[-1] + len(m[1]))
+        self.end = self.starts[-1] + self.counts[-1] - self.counts[-2]
+
+    def place(self, at: int) -> int:
+        """Characters of the run before text position ``at``, one of its own."""
+        k = bisect_right(self.starts, at) - 1
+        return self.counts[k] + at - self.starts[k]
+
+    def chars(self, lo: int, hi: int) -> tuple[str, int]:
+        """Characters ``lo..hi`` of the run, and where in the text they end."""
+        hi, parts, end = min(hi, self.counts[-1]), [], 0
+        k = bisect_right(self.counts, lo) - 1
+        while k < len(self.starts) and self.counts[k] < hi:
+            first, last = self.starts[k] + max(lo - self.counts[k], 0), self.starts[k] + min(hi, self.counts[k + 1]) - self.counts[k]
+            parts.append(self.text[first:last])
+            k, end = k + 1, last
+        return "".join(parts), end
+
+    def read(self, base: int, at: int, n: int) -> bytes:
+        """Bytes ``at..at + n`` of what starts at character ``base``; fewer if it ends."""
+        lo = at // 3 * 4
+        return _decoded(self.chars(base + lo, base + -(-(at + n) // 3) * 4)[0])[at % 3: at % 3 + n]
+
+
+def _openssh_size(run: _Run, base: int) -> int | None:
+    """Bytes of the OpenSSH key file that starts there, by its length fields alone."""
+    at, fields, count, most = len(_OPENSSH), 0, 0, (run.counts[-1] - base) * 3 // 4
+    while fields < 4 or fields < 5 + count:
+        size = run.read(base, at, 4)
+        if len(size) < 4:
+            return None
+        at, size, fields = at + 4, int.from_bytes(size, "big"), fields + 1
+        if fields == 4:
+            count = size
+            if not 0 < count < 100:
+                return None
+        elif (at := at + size) > most:
+            return None
+    return at
+
+
+def _fits(run: _Run, base: int, size: int) -> bool:
+    """Whether the outer DER sequence of ``size`` bytes is filled by a key's few values."""
+    head = run.read(base, 0, 6)
+    at, values = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0), 0
+    while at < size and values < 16:
+        head = run.read(base, at, 6)
+        n = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
+        if len(head) < 2 or n > 4 or head[1] == 0x80:
+            return False
+        at += 2 + n + (int.from_bytes(head[2: 2 + n], "big") if n else head[1])
+        values += 1
+    return at == size
 
 
 def _base64_keys(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Keys whose base64 starts anywhere outside ``taken``."""
-    out, done = [], 0
+    """Keys whose base64 starts anywhere outside ``taken`` (spans in order, apart).
+
+    Lengths are read before anything else is decoded, so a place where no key starts costs
+    a few bytes, however long the run goes on after it."""
+    out, done, run = [], 0, None
     starts = sorted([m.start() for m in DER_START.finditer(text)] + [m.start() for m in SSH_START.finditer(text)])
+    firsts = [s for s, _ in taken]
     for at in starts:
-        if at < done or any(s <= at < e for s, e in taken):
+        k = bisect_right(firsts, at) - 1
+        if at < done or k >= 0 and at < taken[k][1]:
             continue
-        if text[at] == "M":
-            size = _der_size(_decoded(_gathered(text, at, _HEAD)[0]))
-        else:
-            size = _openssh_size(_decoded(_gathered(text, at)[0]))
+        if run is None or at >= run.end:
+            run = _Run(text, at)
+        base = run.place(at)
+        size = _der_size(run.read(base, 0, _HEAD * 3 // 4)) if text[at] == "M" else _openssh_size(run, base)
         if size is None:
             continue
         need = (8 * size + 5) // 6
-        if not _LEAST <= need <= len(text) - at:
+        if not _LEAST <= need <= run.counts[-1] - base or text[at] == "M" and not _fits(run, base, size):
             continue
-        chars, end = _gathered(text, at, need)
-        if len(chars) == need and (kind := _kind(_decoded(chars))):
+        chars, end = run.chars(base, base + need)
+        if kind := _kind(_decoded(chars)):
             pad = _PAD.match(text, end) if need % 4 else None
             done = pad.end() if pad else end
             out.append((kind, at, done))
@@ -218,7 +256,7 @@ def _tokens(text: str) -> list[tuple[str, int, int]]:
             # A JSON object starts with a brace, maybe after white space.
             if len(run) - i < 14 or run[i] not in "eICD" or not _OBJECT.match(_decoded(run[i: i + 12])):
                 continue
-            header = _json(run[i:])
+            header = _header(run, i)
             if isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(_json(m[2]), dict):
                 out.append(("token", at + i, m.end(3)))
                 break
@@ -244,6 +282,30 @@ def _json(part: str):
         return None
 
 
+def _header(run: str, at: int):
+    """The JSON that fills the run from ``at`` on, read no further than it can be JSON."""
+    size = 256
+    while at + size < len(run):
+        data = _decoded(run[at: at + size])
+        try:
+            text = data.decode()
+        except UnicodeDecodeError as e:
+            if e.start < len(data) - 3:
+                return None
+            text = data[: e.start].decode()
+        try:
+            _, end = json.JSONDecoder().raw_decode(text, len(text) - len(text.lstrip()))
+            if text[end:].strip():
+                return None  # the object is closed and something follows
+        except RecursionError:
+            return None
+        except ValueError as e:
+            if not e.msg.startswith("Unterminated string") and e.pos < len(text) - 8:
+                return None
+        size *= 4
+    return _json(run[at:])
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out, low = [], text.lower()
     if any(w in low for w in ASSIGN_WORDS):
