@@ -364,6 +364,69 @@ def test_url_ends_that_are_no_pages_are_judged(spark):
     assert alone[1] == (None, "block") and alone[4] == (None, "block") and alone[2] == (None, "allow")
 
 
+def test_deep_pages_and_long_lists_of_siblings(spark):
+    import time
+
+    deep = "<html><body><div class='top'>Menu</div><article>" + "<div>" * 1000 + "deep<script>var evil=1;</script><nav>menu</nav>" \
+        + "</div>" * 1000 + "<p>last</p></article><footer>end</footer>"
+    wide = lambda c, n: "<body><div><p>Top</p></div>" + "".join(f"<p>{c} {i}</p>" for i in range(n)) + "<ul><li>End</ul>"
+    rows = "".join(f"<div><b>r{i}</b><i>k</i></div>" for i in range(3000))
+    pages = [(0, "http://d.org/", deep), (1, "http://d.org/", deep.replace("last", "end")),
+             *[(10 + k, "http://w.org/", wide("abcdefgh"[k], 300 + k)) for k in range(8)]]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumns(
+        {c: F.lit(c) for c in ("host", "seed", "slot", "constant", "__html", "key")})
+    out = htmltext.extract_text(df)
+    assert out.columns == [*df.columns, "text", "n_chars"]
+    got = {r.page_id: r for r in out.collect()}
+    assert got[0].text == "deep\nlast" and got[1].text == "deep\nend" and got[0].host == "host" and got[0].slot == "slot"
+    for k in range(8):
+        assert got[10 + k].text == "\n".join(f"{'abcdefgh'[k]} {i}" for i in range(300 + k))
+    start = time.process_time()
+    assert htmltext.tree_match(htmltext.parse(wide("a", 20_000)), htmltext.parse(wide("b", 20_007)))[0] == 20_006
+    assert htmltext.tree_match(htmltext.parse("<body>" + rows), htmltext.parse("<body><hr>" + rows + "<hr>"))[0] == 9002
+    assert time.process_time() - start < 30
+
+
+def test_long_lists_match_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(8)
+    page = lambda: "<body>" + "".join(f"<{t}>{rng.integers(9)}</{t}>" for t in rng.choice(["p", "h2", "ul"], 40))
+    for _ in range(20):
+        a, b = page(), page()
+        want = htmltext.tree_match(htmltext.parse(a), htmltext.parse(b))[0]
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, "CELLS", 30)
+            size, pairs = htmltext.tree_match(htmltext.parse(a), htmltext.parse(b))
+        assert size == want == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_text_after_url_rules(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rules = spark.createDataFrame(brute.RULES, "rule_host string, rule_path string, rule_verdict string")
+    judged = urlfilter.url_filter(pages, rules)  # its result has a column ``host``
+    got = {r.page_id: (r.host, r.text) for r in htmltext.extract_text(judged).collect()}
+    assert got == {r.page_id: (brute.url_rule(r.url)[0], brute.article(r.html)) for r in pages.collect()}
+
+
+def test_generated_hosts_without_article_elements(spark):
+    """Hosts of one random template each, plain ``div`` pages with host text inside the story too."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], {}
+    for h in range(6):
+        top, links, foot, box = line(4), [line(2) for _ in range(5)], line(6), line(3)
+        for k in range(14):
+            paras = [line(int(rng.integers(8, 40))) for _ in range(int(rng.integers(2, 7)))]
+            title = line(5)
+            inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + (f"<p>{box}</p>" if h % 2 else "")
+            story = f"<article>{inner}</article>" if h >= 4 else f"<div id='c'>{inner}</div>"
+            pages.append((len(pages), f"http://h{h}.org/{k}", f"<html><body><div id='t'><p>{top}</p></div><div id='l'>" + "".join(
+                f"<p>{x}</p>" for x in links) + f"</div>{story}<div id='f'><p>{foot}</p></div></body></html>"))
+            want[len(pages) - 1] = "\n".join([title, *paras])
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in htmltext.extract_text(df).collect()} == want
+
+
 PAGE = """<html><body><div class="top"><p>Our site</p></div><div id="c{n}" class="x"></div><div class="body"><h2>Title {n}</h2>
 <p>Text&nbsp;number <i>{n}</i> &amp; more.<br>Next<p>Second {w}</div><div class="comments"><p>nice</p></div><div class="foot">Same end</div></body></html>"""
 
