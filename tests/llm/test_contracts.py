@@ -127,3 +127,23 @@ def test_pipeline(spark, sf, con, docs):
     assert {i for i in unique & clean if source[i] in full and brute.SPACE.search(texts[i])} <= used
     position = [r.train_position for r in out.select("train_position").collect()]
     assert all(0 <= p <= 1 for p in position)
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (None, ""), (None, "the and of that with from this"), (-1, "\n"), (-2, "q"), (-2, "q")],
+                                "doc_id bigint, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    names = ["score", "lang_pred", "unlike", "kept", "size", "n_words", "items", "redacted", "spans", "copy", "__i", "__id"]
+    some = docs.filter("doc_id < 60").unionByName(odd, allowMissingColumns=True).withColumns({c: F.concat(F.lit(c), F.coalesce(
+        F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    for name, df in (("odd", some), ("empty", some.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert out.columns == [*some.columns, "use_no", "train_position"]
+    got = out.collect()
+    assert {r.doc_id for r in got} > {None} and all(r[c] == c + ("" if r.doc_id is None else str(r.doc_id)) for r in got for c in names)
+    assert all(r.text for r in got) and -1 not in {r.doc_id for r in got}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -190,8 +190,10 @@ def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
     chosen = grouped.select("m.i", "m.__tkey").unionByName(
         found.filter("group IS NULL").select(name(id).alias("i"), "__tkey").distinct())
     chosen = keep(chosen.withColumnsRenamed({"i": "__i", "__tkey": "__t"}), "chosen")
-    rows = docs.withColumns({"__i": name(id), "__t": F.xxhash64(text)})
-    return rows.join(chosen, ["__i", "__t"]).dropDuplicates(["__i", "__t"]).select(*docs.columns)
+    held = {f"__c{k}": c for k, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(h) for h, c in held.items()], name(id).alias("__i"), F.xxhash64(text).alias("__t"))
+    return rows.join(chosen, ["__i", "__t"]).dropDuplicates(["__i", "__t"]).select(
+        *[F.col(h).alias(c) for h, c in held.items()])
 
 
 def _components(classes: DataFrame, rows: DataFrame, sketch: Sketch, ngram: int, percent: tuple[int, int],
