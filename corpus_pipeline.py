@@ -14,13 +14,20 @@ from viewtide.llm.scratch import folder
 MOST_UNLIKE = 0.15
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """The documents with columns named by their place, so that no result of an operator
+    replaces one of them, and the expressions that give them their names back."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    return docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("text").alias("__body")), [
+        F.col(n).alias(c) for c, n in zip(docs.columns, names)]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letter, or are unlike every learned language."""
     model = language.train(docs)
-    columns = [F.col(c).alias(f"__c{k}") for k, c in enumerate(docs.columns)]  # none is replaced by a result
-    found = language.identify(docs.select(*columns, F.col("text").alias("__body")), model, text="__body", unlike=True)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("unlike") <= MOST_UNLIKE))
-    return kept.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    rows, columns = _apart(docs)
+    found = language.identify(rows, model, text="__body", unlike=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("unlike") <= MOST_UNLIKE)).select(*columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +38,17 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a ten-word window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, items).filter(~F.col("contaminated")).select(*docs.columns)
+    rows, columns = _apart(docs)
+    return decontaminate.decontaminate(rows, items, text="__body").filter(~F.col("contaminated")).select(*columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the text; ``n_chars`` follows."""
-    found = secretscan.scan_secrets(docs, redacted=True)
-    columns = [F.col("redacted").alias(c) if c == "text" else F.length("redacted").cast("bigint").alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    rows, columns = _apart(docs)
+    found = secretscan.scan_secrets(rows, text="__body", redacted=True)
+    size = F.length("redacted").cast("bigint").alias("n_chars")
+    return found.select(*[F.col("redacted").alias(c) if c == "text" else size if c == "n_chars" else known
+                          for c, known in zip(docs.columns, columns)])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
