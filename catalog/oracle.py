@@ -577,6 +577,10 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
        post_id, count(*) AS views FROM ev GROUP BY ALL""") for u in ("week", "month")},
     "stream_totals": q(EV, body="SELECT post_id, count(*) AS views FROM ev GROUP BY 1"),
     "stream_bins": q(EV, bins(min_daily=0, before="2025-01-01"), body=hour_rows()),
+    "counters_advanced": q(*E_COUNTS, body="SELECT * FROM cnt"),
+    "daily_chain": q(EV, POSTS, counts("2024-01-30 00:01:00"), body="SELECT * FROM cnt"),
+    "daily_chain_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
+                           body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),
     "pruned_counters": q(*E_COUNTS, body="SELECT post_id, day, yesterday FROM cnt"),
     "stream_ingest_strict": q(
         EV, POSTS, ADDRESS, requested(2), gated("'post', 'page'"),

@@ -19,7 +19,7 @@ from viewtide.functions.net import client_ip, ip_hash
 from viewtide.functions.text import fixed
 from viewtide.operators import counters as c
 from viewtide.operators import ipdedup, qualify, rank, rerank, shape, trend
-from viewtide.plans import counting, trending
+from viewtide.plans import counting, daily, trending
 from viewtide.session import cut, shared_dir
 from viewtide.sources import adapters as a
 from viewtide.sources import tables
@@ -106,6 +106,37 @@ def counters_wide(spark, d):
     return c.to_wide(c.to_long(_event_counters(spark, d)))
 
 
+def advanced(spark, d):
+    """Counters stored on a Sunday at noon, from a log that lacks a tenth of its rows so far, and
+    one batch over two resets that brings the rest: late views of closed days and new ones."""
+    since, views = "2024-01-28 12:00:00", a.event_views(spark, d)
+    posts, known = a.document_posts(spark, d), (F.col("ts") <= instant(since)) & (F.col("event_id") % 10 != 3)
+    path = f"{shared_dir(spark)}/viewtide-counters-{uuid.uuid4().hex}"
+    tables.write_version(c.counters_as_of(views.filter(known), since, posts), path, since)
+    return c.advance(tables.read_version(spark, path, since), views.filter(~known), since, NOW, posts)
+
+
+def _chain(spark, d):
+    """A daily job that ran on 27 January, then not for two nights, then again on the 30th."""
+    base = f"{shared_dir(spark)}/viewtide-daily-{uuid.uuid4().hex}"
+    tables.write_views(a.event_views(spark, d).select("event_id", "post_id", "ts"), f"{base}/log")
+    for until in ("2024-01-27", "2024-01-30", "2024-01-30"):
+        daily.run_days(spark, base, f"{base}/log", a.document_posts(spark, d), until, shape_cfg=SHAPE)
+    return base
+
+
+def daily_chain(spark, d):
+    """Counters after a chain of daily runs with a gap."""
+    return tables.read_version(spark, f"{_chain(spark, d)}/counters", "2024-01-30 00:01:00")
+
+
+def daily_chain_shape(spark, d):
+    """The hour shape after the same chain."""
+    shape_ = tables.read_version(spark, f"{_chain(spark, d)}/shape", "2024-01-30 00:01:00")
+    return shape_.select(F.posexplode("hour").alias("slot", "m")).select(
+        F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
+
+
 def running(spark, d):
     views = a.event_views(spark, d).select("event_id", "post_id", "ts")
     return c.running_counts(views).select("event_id", "post_id", "total", "day", "week", "month")
@@ -612,4 +643,7 @@ QUERIES = {
     "stream_ingest_strict": stream_ingest_strict,
     "stream_bins": stream_bins,
     "pruned_counters": pruned_counters,
+    "counters_advanced": advanced,
+    "daily_chain": daily_chain,
+    "daily_chain_shape": daily_chain_shape,
 }

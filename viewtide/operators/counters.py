@@ -45,8 +45,11 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
         return f"nullif(count_if({inside}), 0L) AS {rng}"
 
     counts = log.groupBy("post_id").agg(*[F.expr(counter(r)) for r in wanted])
-    if posts is None:
-        return counts
+    return counts if posts is None else _shown(counts, posts, wanted, lims, cfg)
+
+
+def _shown(counts: DataFrame, posts: DataFrame, ranges, lims: dict, cfg: CountingConfig) -> DataFrame:
+    """Counters of every post; an archive is 0 where its rollover found the post out."""
     types = ", ".join(f"'{t}'" for t in cfg.public_types)
     dim = posts.selectExpr(
         "post_id", f"CASE WHEN status = 'publish' AND post_type IN ({types}) THEN published_at END AS __out")
@@ -56,11 +59,12 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
             return rng
         return f"CASE WHEN __out <= {lims[rng][1]} THEN coalesce({rng}, 0L) END AS {rng}"
 
-    return dim.join(counts, "post_id", "left").selectExpr("post_id", *[shown(r) for r in wanted])
+    return dim.join(counts, "post_id", "left").selectExpr("post_id", *[shown(r) for r in ranges])
 
 
 def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = CountingConfig()) -> DataFrame:
-    """Add a batch of accepted views of the current day to stored counters."""
+    """Add a batch of accepted views of the current day to stored counters. For a batch that
+    may hold views of other days there is ``advance``."""
     fresh = views.groupBy("post_id").agg(F.count("*").alias("__n"))
     live = [r for r in LIVE_RANGES if cfg.enabled(r)]
     joined = counters.join(fresh, "post_id", "full")
@@ -74,6 +78,45 @@ def apply_views(counters: DataFrame, views: DataFrame, cfg: CountingConfig = Cou
     return joined.select(*[added(c) for c in counters.columns])
 
 
+def advance(counters: DataFrame, views: DataFrame, since, as_of, posts: DataFrame | None = None,
+            cfg: CountingConfig = CountingConfig()) -> DataFrame:
+    """Counters stored at ``since``, brought to ``as_of`` by a batch of views that they do not
+    hold yet: the same rows as ``counters_as_of`` over all views, without the log.
+
+    The batch may lie across any number of rollovers, and may hold late views of days that
+    are closed already. Every view is counted by its own time: into the live counter of a
+    period that is open at ``as_of``, into the archive of the one before, else into the
+    total alone. A stored live counter stays if its period is still open, becomes the archive
+    if it is the one before, and is dropped if it is older. Views after ``as_of`` wait.
+
+    One conditional aggregation over the batch and one join by post.
+    """
+    offset, held = cfg.rollover_minutes, [r for r in RANGES if cfg.enabled(r) and r in counters.columns]
+    limits = {r: _limits(r, as_of, offset) for r in held}
+
+    def fresh(rng: str) -> str:
+        lo, hi = limits[rng]
+        inside = " AND ".join([f"ts >= {lo}"] * bool(lo) + [f"ts < {hi}"] * bool(hi)) or "true"
+        return f"count_if({inside}) AS __{rng}"
+
+    def moved(rng: str) -> str:
+        if rng == "total":
+            return "total"
+        unit = ARCHIVE_OF.get(rng, rng)
+        now, before, then = (period_start(x, unit, offset, back=b) for x, b in ((as_of, 0), (as_of, 1), (since, 0)))
+        if rng == unit:
+            return f"CASE WHEN {now} = {then} THEN {rng} END"
+        return f"CASE WHEN {now} = {then} THEN {rng} WHEN {before} = {then} THEN {unit} END"
+
+    live = {unit for r, unit in ARCHIVE_OF.items() if r in held}
+    if missing := live - set(counters.columns):
+        raise ValueError(f"archives need the live counters {sorted(missing)}")
+    batch = views.filter(f"ts <= {at(as_of)}").groupBy("post_id").agg(*[F.expr(fresh(r)) for r in held])
+    sums = counters.join(batch, "post_id", "full").selectExpr(
+        "post_id", *[f"nullif(coalesce({moved(r)}, 0L) + coalesce(__{r}, 0L), 0L) AS {r}" for r in held])
+    return sums if posts is None else _shown(sums, posts, held, limits, cfg)
+
+
 def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), tiebreak: str = "event_id",
                    counted: str = "true", **options) -> DataFrame:
     """Each row with its post's counters right after it was counted (NULL when ``counted``

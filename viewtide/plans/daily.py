@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from viewtide.config import CountingConfig, ShapeConfig
-from viewtide.functions.calendar import period_start
+from viewtide.functions.calendar import at, period_start
 from viewtide.operators import counters as c
 from viewtide.operators.shape import hour_bins, learn_shape
+from viewtide.sources.tables import read_pointer, read_version, read_views, write_pointer, write_version
 
 
 @dataclass(frozen=True)
@@ -38,3 +40,51 @@ def daily_reset(views: DataFrame, counters: DataFrame, posts: DataFrame, as_of,
     rolled = c.rollover(counters, posts, as_of, cfg, before=before, after=after)
     summary = c.rollover_summary(posts, as_of, cfg)
     return DailyReset(rolled, summary, shape, trending(rolled) if trending else None)
+
+
+def missed_days(position: str | None, until: str) -> list[str]:
+    """The days whose reset is due: those after ``position`` up to ``until``, in order; without
+    a position ``until`` alone, whose run then covers the whole log."""
+    last = date.fromisoformat(until)
+    if position is None:
+        return [until]
+    first = date.fromisoformat(position) + timedelta(days=1)
+    return [(first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1)]
+
+
+def run_days(spark: SparkSession, path: str, log: str, posts: DataFrame, until: str,
+             cfg: CountingConfig = CountingConfig(), shape_cfg: ShapeConfig = ShapeConfig(),
+             each: Callable[[DataFrame, DataFrame, str], None] | None = None) -> list[str]:
+    """The daily resets that are due up to the day ``until`` (a date), each once and in order.
+
+    ``path`` holds the run's position, and counters and traffic shape by version. A day goes
+    on from the day before it: its views are read from the stored log at ``log`` (only the
+    folders of that day), counters are advanced, the day that has closed is folded into the
+    shape, ``each(counters, shape, as_of)`` runs what follows (such as trending), and the position
+    is written last. A run that fails or is lost leaves the position where it was; the next
+    one does that day again, over its own half-written versions, and then all that were
+    missed meanwhile. Returns the days worked; none if nothing is due.
+    """
+    position = (read_pointer(spark, f"{path}/position") or {}).get("day")
+    worked = []
+    for day in missed_days(position, until):
+        as_of = str(datetime.fromisoformat(day) + timedelta(minutes=cfg.rollover_minutes))
+        if position is None:
+            views = read_views(spark, log).filter(f"ts <= {at(as_of)}")
+            counters = c.counters_as_of(views, as_of, posts, cfg=cfg)
+            shape = learn_shape(hour_bins(views, shape_cfg), shape_cfg, as_of)
+        else:
+            since = str(datetime.fromisoformat(position) + timedelta(minutes=cfg.rollover_minutes))
+            views = read_views(spark, log, since).filter(f"ts > {at(since)} AND ts <= {at(as_of)}")
+            counters = c.advance(read_version(spark, f"{path}/counters", since), views, since, as_of, posts, cfg)
+            first, end = (period_start(as_of, "day", shape_cfg.skip_minutes, back=b) for b in (1, 0))
+            closed = read_views(spark, log, position).filter(f"ts >= {first} AND ts < {end}")
+            shape = learn_shape(hour_bins(closed, shape_cfg), shape_cfg, as_of, start=read_version(spark, f"{path}/shape", since))
+        write_version(counters, f"{path}/counters", as_of)
+        write_version(shape, f"{path}/shape", as_of)
+        if each:
+            each(read_version(spark, f"{path}/counters", as_of), read_version(spark, f"{path}/shape", as_of), as_of)
+        write_pointer(spark, f"{path}/position", {"day": day})
+        position = day
+        worked.append(day)
+    return worked

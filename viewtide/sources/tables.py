@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide import schema
+from viewtide.config import CountingConfig
 from viewtide.functions.calendar import at
 
 
@@ -57,22 +61,78 @@ def engagement_metrics(df: DataFrame, comments="comments", likes="likes", shares
     return df.select("post_id", pick(comments, "comments"), pick(likes, "likes"), pick(shares, "shares"))
 
 
-def write_views(views: DataFrame, path: str, offset: int = 1, mode: str = "append") -> None:
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path, whatever store it is in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path), hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark._jsc.hadoopConfiguration()) \
+        if "://" in path else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+
+
+def read_pointer(spark: SparkSession, path: str) -> dict | None:
+    """What ``write_pointer`` last put there; None before the first time."""
+    at, files = _files(spark, path)
+    if not files.util().exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
+
+
+def write_pointer(spark: SparkSession, path: str, value: dict) -> None:
+    """Replace a small file as a whole: readers see the old content or the new one."""
+    at, files = _files(spark, path)
+    hadoop, jvm = spark._jvm.org.apache.hadoop.fs, spark._jvm
+    new = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE)
+    options = spark._sc._gateway.new_array(hadoop.Options.CreateOpts, 1)
+    options[0] = hadoop.Options.CreateOpts.createParent()
+    stream = files.create(new, flags, options)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+    rename = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    rename[0] = hadoop.Options.Rename.OVERWRITE
+    files.rename(new, at, rename)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def _log_offset(spark: SparkSession, path: str, offset: int | None) -> int | None:
+    """The rollover minutes that a log is laid out by; another one is refused."""
+    stored = (read_pointer(spark, f"{path.rstrip('/')}.layout") or {}).get("offset")
+    if None not in (stored, offset) and stored != offset:
+        raise ValueError(f"the view log {path} has days that start {stored} minutes past midnight, not {offset}")
+    return offset if stored is None else stored
+
+
+def write_views(views: DataFrame, path: str, offset: int | None = None, mode: str = "append") -> None:
     """Append to the view log, partitioned by counting day so period scans prune.
 
-    Rows keep their input partitioning: a day that holds most of the rows is written by
+    ``offset`` is the rollover minute (``CountingConfig.rollover_minutes``, 1 by default). It
+    is stored beside the log with its first rows; later writes and reads take it from there,
+    and one that names another is refused. Rows keep their input partitioning: a day that holds most of the rows is written by
     every task that has some of it, not by one task.
     """
-    day = F.to_date(F.col("ts") - F.expr(f"INTERVAL {offset} MINUTE"))
+    spark = views.sparkSession
+    known = _log_offset(spark, path, offset)
+    if known is None:
+        known = CountingConfig.rollover_minutes
+    write_pointer(spark, f"{path.rstrip('/')}.layout", {"offset": known})
+    day = F.to_date(F.col("ts") - F.expr(f"INTERVAL {known} MINUTE"))
     views.withColumn("site_day", day).write.mode(mode).partitionBy("site_day").parquet(path)
 
 
-def read_views(spark: SparkSession, path: str, first=None, until=None, offset: int = 1) -> DataFrame:
+def read_views(spark: SparkSession, path: str, first=None, until=None, offset: int | None = None) -> DataFrame:
     """The view log between two instants (``first`` included, ``until`` not; None is open).
 
     Limits on ``ts`` come with the limits they imply on ``site_day``, so only the folders of
-    those days are listed and opened."""
-    log = spark.read.parquet(path)
+    those days are listed and opened. The log's own ``offset`` decides which these are."""
+    log, offset = spark.read.parquet(path), _log_offset(spark, path, offset)
+    offset = CountingConfig.rollover_minutes if offset is None else offset
     day = f"to_date({{}} - INTERVAL {offset} MINUTE)"
     if first is not None:
         log = log.filter(f"ts >= {at(first)} AND site_day >= {day.format(at(first))}")
