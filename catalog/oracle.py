@@ -593,6 +593,9 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
     "stream_viewer_dedup_client": q(EV, body="SELECT DISTINCT client_id, post_id FROM ev"),
     "stream_ip_dedup": q(EV, "src AS (SELECT *, event_id AS seq, client_id AS ip FROM ev)", recent_list("src"), recursive=True,
                          body="SELECT seq AS event_id, post_id, dup AS ip_duplicate FROM fold"),
+    "stream_snapshot": q(EV, body="SELECT post_id, count(*) AS views FROM ev GROUP BY 1"),
+    "stream_ip_in_order": q(EV, "src AS (SELECT *, event_id AS seq, client_id AS ip FROM ev)", recent_list("src"), recursive=True,
+                            body="SELECT seq AS event_id, post_id, dup AS ip_duplicate FROM fold"),
     "stream_ingest": q(EV, POSTS, ADDRESS, CRC, HASHED, requested(2), gated("'post'"),
                        body="SELECT g.event_id, g.slot, g.post_id, h.ip_hash FROM gate g JOIN addr USING (event_id) JOIN hashed h USING (ip) WHERE g.reason IS NULL"),
 }

@@ -20,7 +20,7 @@ from viewtide.functions.text import fixed
 from viewtide.operators import counters as c
 from viewtide.operators import ipdedup, qualify, rank, rerank, shape, trend
 from viewtide.plans import counting, daily, trending
-from viewtide.session import cut, shared_dir
+from viewtide.session import STREAM_DEFAULTS, cut, shared_dir
 from viewtide.sources import adapters as a
 from viewtide.sources import tables
 from viewtide.streaming import live
@@ -549,6 +549,47 @@ def stream_ip(spark, d):
     return _finish(spark, live.dedup_ip_stream(views), None, "append").select("event_id", "post_id", "ip_duplicate")
 
 
+def _arrivals(spark, d, columns: list[str], late_rows: bool = False) -> DataFrame:
+    """The event views as four files in time order, read one per micro-batch; with
+    ``late_rows`` every fiftieth row comes up to four hours behind, and a last file with a
+    row a year on closes the stream."""
+    path, views = f"{shared_dir(spark)}/viewtide-arrivals-{uuid.uuid4().hex}", a.event_views(spark, d)
+    seen = F.unix_micros("ts") + F.when(F.lit(late_rows) & (F.col("event_id") % 50 == 7), 4 * 3_600_000_000).otherwise(0)
+    cuts = [F.expr(f"unix_micros(TIMESTAMP '2024-01-{day}')") for day in ("08", "16", "24")]
+    part = sum((F.when(seen >= c_, 1).otherwise(0) for c_ in cuts), F.lit(0))
+    rows = views.select(*columns, part.alias("__part"))
+    for k in range(4):
+        rows.filter(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    if late_rows:
+        end = spark.range(1).select(*[F.expr("TIMESTAMP '2025-01-30 00:00:00'").alias(c_) if c_ == "ts" else
+                                      F.lit(None).cast(rows.schema[c_].dataType).alias(c_) for c_ in columns])
+        end.withColumn("post_id", F.lit(-1).cast("bigint")).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_ip_in_order(spark, d):
+    """The recent-address check in event order over several micro-batches, some rows late."""
+    before = {k: spark.conf.get(k) for k in STREAM_DEFAULTS}
+    views = _arrivals(spark, d, ["event_id", "post_id", "ts", "client_id"], late_rows=True)
+    tagged = live.dedup_ip_in_order(views.withColumn("ip_hash", ip_hash(F.col("client_id"))).drop("client_id"), "6 hours")
+    try:
+        for k, v in STREAM_DEFAULTS.items():
+            spark.conf.set(k, v)
+        rows = _finish(spark, tagged, None, "append")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return rows.filter("post_id <> -1").select("event_id", "post_id", "ip_duplicate")
+
+
+def stream_snapshot(spark, d):
+    """Totals kept as a keyed snapshot that four micro-batches were merged into."""
+    out, checkpoint = _paths(spark)
+    totals = live.live_totals(_arrivals(spark, d, ["post_id"]))
+    live.write_snapshot(totals, out, checkpoint, ["post_id"], buckets=4).awaitTermination()
+    return live.read_snapshot(spark, out, "post_id bigint, views bigint")
+
+
 def stream_ingest(spark, d):
     cfg = CountingConfig(batch=2)
     requests = a.event_requests(_event_stream(spark, d))
@@ -639,6 +680,8 @@ QUERIES = {
     "stream_viewer_dedup": _stream_dedup("session"),
     "stream_viewer_dedup_client": _stream_dedup("local"),
     "stream_ip_dedup": stream_ip,
+    "stream_ip_in_order": stream_ip_in_order,
+    "stream_snapshot": stream_snapshot,
     "stream_ingest": stream_ingest,
     "stream_ingest_strict": stream_ingest_strict,
     "stream_bins": stream_bins,

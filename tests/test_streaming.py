@@ -115,3 +115,69 @@ def test_views_of_some_days_open_only_their_folders(spark, tmp_path):
     want = [i for i, _, t in rows if at(days=4, seconds=30) <= t < at(days=6, minutes=1)]
     assert sorted(r.event_id for r in some.collect()) == want
     assert tables.read_views(spark, str(tmp_path / "log")).count() == 40
+
+
+def test_ip_check_in_event_order_with_expiry_and_late_rows(spark, tmp_path, monkeypatch):
+    """Rows of four files, some behind others: evicted visitors, a list that expires, one row too late."""
+    from viewtide.session import STREAM_DEFAULTS
+
+    rnd = random.Random(6)
+    rows = [(i, 1, at(minutes=i * 11), f"h{rnd.randrange(9)}") for i in range(200)]
+    rows += [(1000 + i, 1, at(days=40, minutes=i * 7), f"h{rnd.randrange(9)}") for i in range(60)]  # the list of post 1 expires
+    rows += [(2000 + i, 2, at(minutes=i * 90), f"h{i % 6}") for i in range(300)]  # more visitors than slots, in turn
+    behind = {r[0] for r in rows if r[0] % 9 == 4}
+    seen = sorted(rows, key=lambda r: r[2] + (at(hours=1) - at(hours=0)) * (r[0] in behind))
+    files = [seen[k * 140:(k + 1) * 140] for k in range(4)] + [[(-1, -1, at(days=900), None)]]
+    for part in files:
+        views_df(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    lost = (9999, 2, at(minutes=1), "h0")  # a year behind: dropped
+    views_df(spark, [lost, (-2, -1, at(days=901), None)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(views_df(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cfg = CountingConfig(ip_slots=5, ip_ttl_days=10)
+    before = {k: spark.conf.get(k) for k in STREAM_DEFAULTS}
+    try:
+        for k, v in STREAM_DEFAULTS.items():
+            spark.conf.set(k, v)
+        out = finish(live.dedup_ip_in_order(stream, "3 hours", cfg), tmp_path, "order", "append")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r.event_id: r.ip_duplicate for r in spark.read.parquet(out).collect() if r.event_id >= 0}
+    want = recent_model(rows, slots=5, days=10)
+    assert got == want and {True, False} == set(want.values())
+    arrival = recent_model([(e, p, at(minutes=k), h) for k, (e, p, _, h) in enumerate(seen)], slots=5, days=10)
+    assert arrival != want  # the order of arrival gives other tags
+
+
+def test_snapshot_keeps_as_many_folders_as_buckets(spark, tmp_path):
+    path, held = str(tmp_path / "snap"), {}
+    schema = "post_id bigint, views bigint"
+    assert live.read_snapshot(spark, path, schema).count() == 0
+    for version in range(7):
+        batch = {i: version * 100 + i for i in range(version * 3, version * 3 + 5)}
+        df = spark.createDataFrame(list(batch.items()), schema)
+        live.merge_snapshot(df, path, version, ["post_id"], buckets=4)
+        live.merge_snapshot(spark.createDataFrame([(0, -1)], schema), path, version, ["post_id"], buckets=4)  # tried again
+        held.update(batch)
+        now = live.read_snapshot(spark, path, schema)
+        assert {r.post_id: r.views for r in now.collect()} == held and now.count() == len(held)
+        opened = {f.rsplit("/", 1)[0] for f in now.inputFiles()}
+        assert len(opened) <= 4
+    kept = {str(p) for p in (tmp_path / "snap").glob("version=*/bucket=*")}
+    assert len(kept) <= 8 and not list((tmp_path / "snap").glob("batch=*"))  # the last version and the one before
+
+
+def test_a_log_is_read_by_the_offset_it_was_written_with(spark, tmp_path):
+    import pytest
+
+    rows = [(1, 1, at(days=4, minutes=3)), (2, 1, at(days=4, minutes=1)), (3, 1, at(days=4, minutes=7))]
+    path = str(tmp_path / "log")
+    tables.write_views(views_df(spark, rows), path, offset=5)
+    got = tables.read_views(spark, path, "2024-01-05 00:02:00", "2024-01-05 00:08:00")
+    assert sorted(r.event_id for r in got.collect()) == [1, 3]
+    with pytest.raises(ValueError, match="5 minutes past midnight, not 1"):
+        tables.read_views(spark, path, offset=1)
+    with pytest.raises(ValueError, match="not 2"):
+        tables.write_views(views_df(spark, rows), path, offset=2)
+    tables.write_views(views_df(spark, rows), path)  # takes the log's own
+    assert tables.read_views(spark, path, "2024-01-05 00:02:00").count() == 4

@@ -286,7 +286,8 @@ def _chunked(rows: DataFrame, chunk_rows: int, max_chunks: int) -> tuple[DataFra
 
 
 def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fold, out: str,
-                 chunk_rows: int = 1_000_000, max_chunks: int = 2000, max_rounds: int = 8) -> DataFrame:
+                 chunk_rows: int = 1_000_000, max_chunks: int = 2000, max_rounds: int = 8,
+                 slow: float = 0.7) -> DataFrame:
     """Run ``fold`` along each key's rows in (time, tiebreak) order; add its result as ``out``.
     Rows whose ``value`` is NULL pass through untouched, with a NULL result.
 
@@ -295,9 +296,14 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     state other than the one the chunk started from is run again from that state, until
     none differs. At that point each chunk has started from its predecessor's true end, so
     the result equals the sequential run. A list of many distinct recent items settles in
-    two or three rounds because a chunk's end depends little on its start. Keys that have
-    not settled after ``max_rounds`` are run whole, each in one pass along its sorted rows
-    with one Arrow batch and one state in memory, so the number of passes is bounded.
+    two or three rounds because a chunk's end depends little on its start.
+
+    A few more recurring visitors than slots never settle: lists that start apart stay
+    apart, and no summary of a chunk is smaller than what it does to every list. Then a
+    round puts only one more chunk of a key right. As soon as a round leaves more than
+    ``slow`` of the last one's chunks wrong, or after ``max_rounds``, the rest of such a key,
+    from its first wrong chunk on, is run in one pass along its sorted rows, with one Arrow
+    batch and one state in memory. So the number of passes is bounded, and small.
     """
     key_type = "bigint" if dict(df.dtypes)[key] == "bigint" else "string"
     rows = pack_times(df).select(
@@ -318,7 +324,7 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
     # The rounds reread the slim hot rows, not the input's scan and joins.
     hot = cut(hot.select("__key", "__chunk", "__value", "__t", "__tie", "__items", "__at", "__seed"))
     ends = cut(_end_states(hot, fold, key_type))
-    starts, rounds = None, 0
+    starts, rounds, before = None, 0, None
     while True:
         order = W.partitionBy("__key").orderBy("__chunk")
         state = F.lag(F.struct("__items", "__at")).over(order)
@@ -337,13 +343,15 @@ def ordered_fold(df: DataFrame, key: str, ts: str, tiebreak: str, value: str, fo
         if changed.isEmpty():
             break
         todo = cut(changed)
-        if (rounds := rounds + 1) > max_rounds:
-            late = todo.select("__key").distinct()
-            flags = rows.join(late.withColumn("__whole", F.lit(True)), "__key", "left")
-            rows = flags.withColumn("__chunk", F.when(F.col("__whole"), F.lit(0).cast("bigint")).otherwise(
-                F.col("__chunk"))).select(*rows.columns)
-            starts = starts.join(late, "__key", "left_anti")
+        wrong, rounds = todo.count(), rounds + 1
+        if rounds > max_rounds or before is not None and wrong > slow * before:
+            # The first wrong chunk of a key starts from a true end; it takes in all that follow.
+            late = todo.groupBy("__key").agg(F.min("__chunk").alias("__from"))
+            rows = rows.join(late, "__key", "left").withColumn("__chunk", F.when(
+                F.col("__chunk") >= F.col("__from"), F.col("__from")).otherwise(F.col("__chunk"))).select(*rows.columns)
+            starts = starts.join(late, "__key", "left").filter("__from IS NULL OR __chunk <= __from").drop("__from")
             break
+        before = wrong
         again = _with_seeds(hot.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_semi"), todo)
         redone = _end_states(again, fold, key_type)
         ends = cut(ends.join(todo.select("__key", "__chunk"), ["__key", "__chunk"], "left_anti").unionByName(redone))

@@ -18,6 +18,12 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Streams with timers or list state need the store that keeps them outside the heap.
+STREAM_DEFAULTS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", **conf) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""

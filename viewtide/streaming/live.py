@@ -11,7 +11,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from viewtide.config import CountingConfig, ShapeConfig
@@ -20,6 +21,7 @@ from viewtide.functions.transport import ddl
 from viewtide.operators.ordered import RecentFold
 from viewtide.operators.qualify import eligibility, request_views
 from viewtide.operators.shape import in_bins
+from viewtide.sources.tables import read_pointer, remove, write_pointer
 
 LATE = "2 hours"
 
@@ -111,6 +113,84 @@ def dedup_ip_stream(views: DataFrame, cfg: CountingConfig = CountingConfig()) ->
     return tagged.withColumn("ts", F.timestamp_micros("__t")).select(*views.columns, "ip_duplicate")
 
 
+class _InEventOrder(StatefulProcessor):
+    """Recent-visitor check of one post in event order, whatever order rows arrive in.
+
+    Rows wait in a list until the watermark has passed them; an event-time timer then runs
+    the fold over them in time order. A second timer drops the list of visitors when its
+    lifetime has passed without a view, so quiet posts hold no state.
+    """
+
+    def __init__(self, fold: RecentFold, given: list[str], rows: T.StructType):
+        self.fold, self.given, self.rows, self.names = fold, given, rows, rows.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.recent = handle.getValueState("recent", "items array<string>, at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        least = None
+        for part in rows:
+            part = part.set_axis(self.given, axis=1)[self.names]  # names with a leading underscore come changed
+            self.waiting.appendList([tuple(None if v is None or v != v else v for v in r) for r in part.itertuples(index=False)])
+            first = int(part["__t"].min())
+            least = first if least is None else min(least, first)
+        if least is not None:
+            self.handle.registerTimer(_after(least))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        names = self.names
+        at, order = names.index("__t"), names.index("event_id")
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in held if r[at] < now), key=lambda r: (r[at], r[order]))
+        rest = [r for r in held if r[at] >= now]
+        items, last = self.recent.get() if self.recent.exists() else ((), None)
+        if due:
+            state = self.fold.start(items, last)
+            tags = self.fold.run(state, [r[names.index("ip_hash")] for r in due], [r[at] for r in due])
+            items, last = self.fold.snapshot(state)
+            self.recent.update((items, last))
+            self.waiting.clear()
+            if rest:
+                self.waiting.appendList(rest)
+            out = pd.DataFrame(due, columns=names).astype(object)
+            out["ip_duplicate"] = pd.array(tags, dtype=object)
+            yield out
+        if rest:
+            self.handle.registerTimer(_after(min(r[at] for r in rest)))
+        elif last is not None and last + self.fold.ttl_us < now:
+            self.recent.clear()
+        elif last is not None:
+            self.handle.registerTimer(_after(last + self.fold.ttl_us))
+
+    def close(self) -> None:
+        pass
+
+
+def _after(micros: int) -> int:
+    """The first millisecond at which a row of this time is over."""
+    return micros // 1000 + 1
+
+
+def dedup_ip_in_order(views: DataFrame, late: str = LATE, cfg: CountingConfig = CountingConfig()) -> DataFrame:
+    """``dedup_ip_stream`` with the order of event time instead of that of arrival: the tags of
+    the batch job, also for rows that come up to ``late`` behind others, in whatever
+    micro-batches. Later ones are dropped. A row is tagged once the watermark has passed it.
+
+    Needs the RocksDB state store (``session.STREAM_DEFAULTS``). State of a post: the rows of
+    the last ``late``, and at most ``ip_slots`` hashes until their lifetime has passed.
+    """
+    fold = RecentFold(cfg.ip_slots, cfg.ip_ttl_days * 86_400_000_000)
+    packed = views.withColumn("__t", F.unix_micros("ts")).withWatermark("ts", late)
+    rows = packed.drop("ts").schema
+    tagged = packed.groupBy("post_id").transformWithStateInPandas(
+        _InEventOrder(fold, packed.columns, rows), T.StructType([*rows.fields, T.StructField("ip_duplicate", T.BooleanType())]), "append", "EventTime")
+    return tagged.withColumn("ts", F.timestamp_micros("__t")).select(*views.columns, "ip_duplicate")
+
+
 def ingest_stream(requests: DataFrame, posts: DataFrame, cfg: CountingConfig = CountingConfig(),
                   should_count: Column | None = None) -> DataFrame:
     """Accepted views of a request feed (stream-static join with the post dimension).
@@ -148,3 +228,58 @@ def read_latest(spark: SparkSession, path: str, keys: list[str], value: str = "v
     """Each key's last written value."""
     rows = spark.read.parquet(path)
     return rows.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+
+
+# --- keyed snapshots ------------------------------------------------------------------------
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def merge_snapshot(batch: DataFrame, path: str, version: int, keys: list[str], buckets: int = 16) -> None:
+    """Put a batch of new key values into the snapshot at ``path`` as ``version``.
+
+    The snapshot is cut into ``buckets`` by a hash of the key. Only buckets that the batch
+    touches are written anew, each with its other keys; then one small file that names the
+    version of every bucket is replaced as a whole. Readers see the old snapshot or the new
+    one. The versions that the previous one named stay until the next merge, for readers
+    that had just looked. Merging a version again (a micro-batch tried twice) changes nothing.
+    """
+    spark = batch.sparkSession
+    now = read_pointer(spark, f"{path}/current") or {"version": -1, "buckets": {}, "count": buckets, "old": []}
+    if version <= now["version"]:
+        return
+    buckets = now["count"]
+    rows = batch.withColumn("bucket", _bucket(keys, buckets))
+    target = f"{path}/version={version}"
+    batch_path = f"{path}/batch={version}"
+    rows.write.mode("overwrite").parquet(batch_path)  # read twice below
+    rows = spark.read.schema(rows.schema).parquet(batch_path)
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most ``buckets``
+    held = [f"{path}/version={v}/bucket={b}" for b, v in now["buckets"].items() if int(b) in touched]
+    merged = rows
+    if held:
+        old = spark.read.schema(batch.schema).parquet(*held).withColumn("bucket", _bucket(keys, buckets))
+        merged = rows.unionByName(old.join(rows.select(*keys), keys, "left_anti"))
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+    named = {**now["buckets"], **{str(b): version for b in touched}}
+    replaced = [f"{path}/version={v}/bucket={b}" for b, v in now["buckets"].items() if named[b] != v]
+    write_pointer(spark, f"{path}/current", {"version": version, "buckets": named, "count": buckets, "old": replaced})
+    for gone in [*now["old"], batch_path]:
+        remove(spark, gone)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current value of every key: one folder per bucket, however many batches came."""
+    now = read_pointer(spark, f"{path}/current")
+    held = [f"{path}/version={v}/bucket={b}" for b, v in (now or {"buckets": {}})["buckets"].items()]
+    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
+
+
+def write_snapshot(df: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = 16, **trigger) -> StreamingQuery:
+    """Keep a snapshot of an updating stream (see ``merge_snapshot``)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        merge_snapshot(batch, path, batch_id, keys, buckets)
+
+    return (df.writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
