@@ -85,3 +85,59 @@ def test_daily_reset_runs_shape_first_and_hooks(spark):
     assert table(out.counters)[1] == (240, None, 240, 240, 240, None, None)
     assert out.shape.first().days_learned == 1 and out.shape.first().hour[3] > 2
     assert out.summary.first().affected_posts == 1 and out.trending.count() == 1 and seen == ["before", "after"]
+
+
+def test_advance_equals_a_full_count(spark):
+    """Stored counters plus any batch: across days, a Monday, a month's end, and with late views."""
+    rnd = random.Random(12)
+    posts = posts_df(spark, [{"post_id": 1}, {"post_id": 2, "status": "draft"}, {"post_id": 3, "published_at": datetime(2024, 1, 29, 12)},
+                             {"post_id": 4, "post_type": "attachment"}, {"post_id": 5}])
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, 4, 99]), at(minutes=rnd.randrange(70 * 1440))) for i in range(900)]
+    rows += [(2000 + k, 1, t) for k, t in enumerate([at(days=31), at(days=31, minutes=1), at(days=30, minutes=1), at(days=28)])]
+    views = views_df(spark, rows).cache()
+    late = "event_id % 7 = 0"
+    for since, as_of in (("2024-01-30 12:00:00", "2024-01-30 13:00:00"), ("2024-01-28 23:50:00", "2024-01-29 00:01:00"),
+                         ("2024-01-31 23:00:00", "2024-02-01 00:00:59"), ("2024-01-31 23:00:00", "2024-02-01 00:01:00"),
+                         ("2024-01-03 09:00:00", "2024-03-02 00:01:00"), ("2024-01-29 00:01:00", "2024-02-05 08:00:00")):
+        held = f"ts <= TIMESTAMP '{since}' AND NOT {late}"
+        for dim in (posts, None):
+            old = c.counters_as_of(views.filter(held), since, dim)
+            got = c.advance(old, views.filter(f"NOT ({held})"), since, as_of, dim)
+            want = {k: v for k, v in table(c.counters_as_of(views, as_of, dim)).items()}
+            assert table(got) == want, (since, as_of)
+    some = c.advance(c.counters_as_of(views, "2024-01-30 12:00:00", ranges=("total", "day")), views.limit(0),
+                     "2024-01-30 12:00:00", "2024-01-31 12:00:00")
+    assert some.columns == ["post_id", "total", "day"] and some.filter("day IS NOT NULL").count() == 0
+
+
+def test_daily_runs_resume_after_a_failure_and_a_gap(spark, tmp_path):
+    import pytest
+
+    from viewtide.config import ShapeConfig
+    from viewtide.operators.shape import hour_bins, learn_shape
+    from viewtide.plans.daily import missed_days, run_days
+    from viewtide.sources.tables import read_version, write_views
+
+    rnd, cfg = random.Random(3), ShapeConfig(min_daily=5)
+    views = views_df(spark, [(i, rnd.randrange(1, 4), at(minutes=rnd.randrange(12 * 1440))) for i in range(600)])
+    posts = posts_df(spark, [{"post_id": k} for k in (1, 2, 3)])
+    log, state, seen = str(tmp_path / "log"), str(tmp_path / "state"), []
+    write_views(views, log)
+
+    def fails(counters, shape, as_of):
+        seen.append(as_of)
+        if as_of.startswith("2024-01-08"):
+            raise RuntimeError("lost")
+
+    run = lambda until, each=None: run_days(spark, state, log, posts, until, shape_cfg=cfg, each=each)
+    assert run("2024-01-05") == ["2024-01-05"] and run("2024-01-05") == []
+    with pytest.raises(RuntimeError):
+        run("2024-01-09", fails)
+    assert seen == [f"2024-01-0{k} 00:01:00" for k in (6, 7, 8)]
+    assert run("2024-01-10") == ["2024-01-08", "2024-01-09", "2024-01-10"]
+    as_of = "2024-01-10 00:01:00"
+    assert table(read_version(spark, f"{state}/counters", as_of)) == table(c.counters_as_of(views, as_of, posts))
+    want = learn_shape(hour_bins(views.filter(f"ts < TIMESTAMP '{as_of}'"), cfg), cfg, as_of).first()
+    got = read_version(spark, f"{state}/shape", as_of).first()
+    assert all(abs(x - y) < 1e-12 for x, y in zip([*got.hour, *got.wday], [*want.hour, *want.wday]))
+    assert missed_days(None, "2024-03-01") == ["2024-03-01"] and missed_days("2024-02-28", "2024-03-01") == ["2024-02-29", "2024-03-01"]
