@@ -233,14 +233,14 @@ LEARNED = "learned AS (SELECT h, w FROM learn ORDER BY n DESC LIMIT 1)"
 # --- trending -------------------------------------------------------------------------
 
 
-def hot(as_of: str, name: str = "heat", cnt: str = "cnt", hours: int = 24) -> str:
+def hot(as_of: str, name: str = "heat", cnt: str = "cnt", hours: int = 24, seg: str = "''") -> str:
     return f"""{name} AS (
   WITH fresh AS (
-    SELECT p.post_id, c.day FROM posts p JOIN {cnt} c USING (post_id)
+    SELECT {seg} AS segment, p.post_id, c.day FROM posts p JOIN {cnt} c USING (post_id)
     WHERE p.status = 'publish' AND p.published_at >= TIMESTAMP '{as_of}' - INTERVAL {hours} HOUR AND c.day > 0
-    ORDER BY c.day DESC, p.post_id DESC LIMIT 100),
-  sums AS (SELECT t.taxonomy, t.term_id, sum(f.day)::BIGINT AS views FROM fresh f JOIN terms t USING (post_id) GROUP BY 1, 2)
-  SELECT *, views / max(views) OVER (PARTITION BY taxonomy)::DOUBLE AS heat FROM sums)"""
+    QUALIFY row_number() OVER (PARTITION BY {seg} ORDER BY c.day DESC, p.post_id DESC) <= 100),
+  sums AS (SELECT f.segment, t.taxonomy, t.term_id, sum(f.day)::BIGINT AS views FROM fresh f JOIN terms t USING (post_id) GROUP BY 1, 2, 3)
+  SELECT *, views / max(views) OVER (PARTITION BY segment, taxonomy)::DOUBLE AS heat FROM sums)"""
 
 
 def cands(name: str = "cand", cnt: str = "cnt", limit: int = 100, min_count: int = 20, seg: str = "''") -> str:
@@ -269,15 +269,16 @@ def cands(name: str = "cand", cnt: str = "cnt", limit: int = 100, min_count: int
 
 
 TERM_ARRAYS = """tset AS (
-  SELECT post_id, list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'category')) AS categories,
-         list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'post_tag')) AS tags FROM terms GROUP BY post_id)"""
+  SELECT post_id, coalesce(list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'category')), []) AS categories,
+         coalesce(list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'post_tag')), []) AS tags FROM terms GROUP BY post_id)"""
 
 
 def momentum(name="mom", heat="heat", cand="cand") -> str:
     return f"""{name} AS (
   SELECT c.post_id, least(product(1 + coalesce(h.heat, 0) * CASE t.taxonomy WHEN 'category' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END), 1.5::DOUBLE) AS momentum,
          coalesce(max(h.heat) FILTER (t.taxonomy = 'category'), 0) AS category_heat
-  FROM {cand} c JOIN terms t USING (post_id) LEFT JOIN {heat} h ON h.taxonomy = t.taxonomy AND h.term_id = t.term_id
+  FROM {cand} c JOIN terms t USING (post_id) LEFT JOIN {heat} h
+    ON h.segment = c.segment AND h.taxonomy = t.taxonomy AND h.term_id = t.term_id
   GROUP BY c.post_id)"""
 
 
@@ -287,7 +288,8 @@ def metrics(as_of: str, name: str = "met") -> str:
          count(*) FILTER (event_type = 'purchase') AS shares FROM ev WHERE ts <= TIMESTAMP '{as_of}' GROUP BY post_id)"""
 
 
-def scored(as_of: str, x: str = "", prev: str | None = None, min_count: int = 20, shape: bool = True) -> list[str]:
+def scored(as_of: str, x: str = "", prev: str | None = None, min_count: int = 20, shape: bool = True,
+           seg: str = "''") -> list[str]:
     """CTEs ``cnt heat cand mom met score`` (suffix ``x``) of one run; ``prev`` is a run before it."""
     hour = int(as_of[11:13])
     sh = (f"(SELECT {_norm('h')}[{hour + 1}] * {_norm('w')}[dayofweek(TIMESTAMP '{as_of}') + 1] FROM learned)"
@@ -298,10 +300,11 @@ def scored(as_of: str, x: str = "", prev: str | None = None, min_count: int = 20
     prog = "least(1.0::DOUBLE, greatest(0.05::DOUBLE, age / 24))"
     a = 1.0 - 0.5 ** (1.0 / 6.0)
     wk, mo = "(week / 7::DOUBLE)", "(month / 30::DOUBLE)"
-    return [counts(as_of, f"cnt{x}"), hot(as_of, f"heat{x}", f"cnt{x}"), cands(f"cand{x}", f"cnt{x}", min_count=min_count),
+    return [counts(as_of, f"cnt{x}"), hot(as_of, f"heat{x}", f"cnt{x}", seg=seg),
+            cands(f"cand{x}", f"cnt{x}", min_count=min_count, seg=seg),
             momentum(f"mom{x}", f"heat{x}", f"cand{x}"), metrics(as_of, f"met{x}"), f"""score{x} AS (
   WITH f0 AS (
-    SELECT c.post_id, c.cand_rank, c.author_id, coalesce(c.day, 0) AS day, coalesce(c.week, 0) AS week, coalesce(c.month, 0) AS month,
+    SELECT c.segment, c.post_id, c.cand_rank, c.author_id, coalesce(c.day, 0) AS day, coalesce(c.week, 0) AS week, coalesce(c.month, 0) AS month,
            coalesce(c.total, 0) AS total, greatest(0.5::DOUBLE, epoch_us(TIMESTAMP '{as_of}') - epoch_us(c.published_at)) AS us,
            m.momentum, m.category_heat, coalesce(e.comments, 0) + coalesce(e.likes, 0) + coalesce(e.shares, 0) AS actions,
            {sh} AS shp, {pe} AS prev_ewma, {ps} AS prev_score, {streak} AS prev_streak
@@ -327,31 +330,37 @@ def scored(as_of: str, x: str = "", prev: str | None = None, min_count: int = 20
   f6 AS (SELECT *, 1 + greatest(-0.2::DOUBLE, least(0.3::DOUBLE, ln(1 + ewma_val) * 0.15::DOUBLE + acc * 0.1::DOUBLE)) AS ewma FROM f5),
   f7 AS (SELECT *, velocity * time_decay * engagement * freshness * momentum * uplift * ewma * penalty AS raw_score FROM f6),
   f8 AS (SELECT *, least(10000 * (1 - exp(-raw_score / 5000)), coalesce(prev_score * 1.8::DOUBLE + 10, 'infinity'::DOUBLE)) AS capped FROM f7),
-  f9 AS (SELECT *, row_number() OVER (ORDER BY round(capped, 4) DESC, cand_rank) AS pre_rank FROM f8),
+  f9 AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(capped, 4) DESC, cand_rank) AS pre_rank FROM f8),
   f10 AS (SELECT *, CASE WHEN pre_rank <= 20 THEN prev_streak + 1 ELSE 0 END AS streak FROM f9),
   f11 AS (SELECT *, greatest(0.8::DOUBLE, 1 - greatest(0, streak - 6) * 0.03::DOUBLE) AS fatigue FROM f10),
   f12 AS (SELECT *, round(capped, 4) * fatigue AS score FROM f11)
-  SELECT *, row_number() OVER (ORDER BY score DESC, pre_rank) AS score_rank FROM f12)"""]
+  SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, pre_rank) AS score_rank FROM f12)"""]
 
 
 ONE_RUN = [EV, POSTS, TERMS, bins(), SHAPE_FOLD, LEARNED, *scored(NOW)]
 TWO_RUNS = [EV, POSTS, TERMS, bins(), SHAPE_FOLD, LEARNED, *scored(BEFORE, "0"), *scored(NOW, "", prev="0"), TERM_ARRAYS]
 
-MMR = """pool AS (
+def mmr(ids: str = "BIGINT") -> str:
+    """The greedy pick, one recursion for all segments."""
+    return f"""pool AS (
   SELECT s.*, t.categories, t.tags, list_distinct(list_concat(t.categories, t.tags)) AS ids
   FROM score s JOIN tset t USING (post_id)),
 mmr AS (
-  SELECT 0 AS step, []::BIGINT[] AS sel, []::BIGINT[][] AS sel_ids
+  SELECT DISTINCT segment, 0 AS step, []::BIGINT[] AS sel, []::{ids}[][] AS sel_ids FROM pool
   UNION ALL
-  SELECT step + 1, list_append(sel, best.post_id), list_append(sel_ids, best.ids) FROM (
-    SELECT step, sel, sel_ids, list({'post_id': post_id, 'ids': ids} ORDER BY v DESC, score_rank)[1] AS best FROM (
-      SELECT m.step, m.sel, m.sel_ids, p.post_id, p.ids, p.score_rank,
+  SELECT segment, step + 1, list_append(sel, best.post_id), list_append(sel_ids, best.ids) FROM (
+    SELECT segment, step, sel, sel_ids, list({{'post_id': post_id, 'ids': ids}} ORDER BY v DESC, score_rank)[1] AS best FROM (
+      SELECT m.segment, m.step, m.sel, m.sel_ids, p.post_id, p.ids, p.score_rank,
              0.75::DOUBLE * p.score - 0.25::DOUBLE * p.score * coalesce(list_max(list_transform(m.sel_ids,
                lambda s: len(list_intersect(s, p.ids)) / len(list_distinct(list_concat(s, p.ids)))::DOUBLE)), 0) AS v
-      FROM mmr m JOIN pool p ON NOT list_contains(m.sel, p.post_id) WHERE m.step < 20)
-    GROUP BY step, sel, sel_ids)),
-by_mmr AS (SELECT post_id, pos FROM (
-  SELECT unnest(sel) AS post_id, generate_subscripts(sel, 1) AS pos FROM (SELECT sel FROM mmr ORDER BY step DESC LIMIT 1)))"""
+      FROM mmr m JOIN pool p ON p.segment = m.segment AND NOT list_contains(m.sel, p.post_id) WHERE m.step < 20)
+    GROUP BY segment, step, sel, sel_ids)),
+by_mmr AS (SELECT segment, post_id, pos FROM (
+  SELECT segment, unnest(sel) AS post_id, generate_subscripts(sel, 1) AS pos
+  FROM (SELECT segment, arg_max(sel, step) AS sel FROM mmr GROUP BY segment)))"""
+
+
+MMR = mmr()
 
 EXPLORE = """picks AS (
   SELECT post_id, row_number() OVER (ORDER BY round(uplift, 4) * round(ewma, 4) DESC, score_rank) AS k
@@ -364,26 +373,28 @@ explored AS (
   SELECT * FROM (SELECT post_id, row_number() OVER (ORDER BY p0) AS pos FROM first_seen) WHERE pos <= 20)"""
 
 
-def diversity(source: str) -> str:
+def diversity(source: str, cats: str = "BIGINT") -> str:
     return f"""lined AS (
-  SELECT x.post_id, x.pos, p.author_id, p.categories,
-         CASE WHEN (SELECT count(DISTINCT author_id) FROM pool JOIN {source} USING (post_id)) * 2 < 20 THEN 20 ELSE 2 END AS qa,
-         CASE WHEN (SELECT count(DISTINCT c) FROM (SELECT unnest(categories) AS c FROM pool JOIN {source} USING (post_id))) * 3 < 20
-              THEN 20 ELSE 3 END AS qc
-  FROM {source} x JOIN pool p USING (post_id)),
+  SELECT p.segment, x.post_id, x.pos, p.author_id, p.categories,
+         CASE WHEN a.authors * 2 < 20 THEN 20 ELSE 2 END AS qa, CASE WHEN coalesce(k.cats, 0) * 3 < 20 THEN 20 ELSE 3 END AS qc
+  FROM {source} x JOIN pool p USING (post_id)
+  JOIN (SELECT p.segment, count(DISTINCT p.author_id) AS authors FROM pool p JOIN {source} USING (post_id) GROUP BY 1) a ON a.segment = p.segment
+  LEFT JOIN (SELECT segment, count(DISTINCT c) AS cats FROM (
+    SELECT p.segment, unnest(p.categories) AS c FROM pool p JOIN {source} USING (post_id)) GROUP BY 1) k ON k.segment = p.segment),
 walk AS (
-  SELECT 0::BIGINT AS pos, []::BIGINT[] AS authors, []::BIGINT[] AS cats, []::BIGINT[] AS sel
+  SELECT DISTINCT segment, 0::BIGINT AS pos, []::BIGINT[] AS authors, []::{cats}[] AS cats, []::BIGINT[] AS sel FROM lined
   UNION ALL
-  SELECT pos, CASE WHEN ok THEN list_append(authors, author_id) ELSE authors END,
+  SELECT segment, pos, CASE WHEN ok THEN list_append(authors, author_id) ELSE authors END,
          CASE WHEN ok THEN list_concat(cats, categories) ELSE cats END,
          CASE WHEN ok THEN list_append(sel, post_id) ELSE sel END FROM (
-    SELECT l.pos, l.post_id, l.author_id, l.categories, w.authors, w.cats, w.sel,
+    SELECT l.segment, l.pos, l.post_id, l.author_id, l.categories, w.authors, w.cats, w.sel,
            len(list_filter(w.authors, lambda a: a = l.author_id)) < l.qa
            AND len(list_filter(l.categories, lambda c: len(list_filter(w.cats, lambda z: z = c)) >= l.qc)) = 0 AS ok
-    FROM walk w JOIN lined l ON l.pos = w.pos + 1)),
+    FROM walk w JOIN lined l ON l.segment = w.segment AND l.pos = w.pos + 1)),
 final AS (
-  SELECT l.post_id, row_number() OVER (ORDER BY CASE WHEN list_contains(w.sel, l.post_id) THEN 0 ELSE 1 END, l.pos) AS position
-  FROM lined l, (SELECT sel FROM walk ORDER BY pos DESC LIMIT 1) w)"""
+  SELECT l.segment, l.post_id, row_number() OVER (
+    PARTITION BY l.segment ORDER BY CASE WHEN list_contains(w.sel, l.post_id) THEN 0 ELSE 1 END, l.pos) AS position
+  FROM lined l JOIN (SELECT segment, arg_max(sel, pos) AS sel FROM walk GROUP BY segment) w ON w.segment = l.segment)"""
 
 
 FULL = [*TWO_RUNS, MMR, diversity("by_mmr")]
@@ -547,6 +558,13 @@ FROM x JOIN lead l USING (author_id)"""),
 SELECT CAST(f.position AS INTEGER) AS position, f.post_id, {fixed('p.score', 3)} AS score, p.day AS views_day, p.week AS views_week,
        p.month AS views_month, p.total AS views_total, p.day_used AS views_day_used, CAST(p.day = 0 AS INTEGER) AS used_day_fallback,
        p.author_id, array_to_string(p.categories, ',') AS categories, array_to_string(p.tags, ',') AS tags
+FROM final f JOIN pool p USING (post_id)"""),
+    "trending_by_segment": q(
+        "ev AS (SELECT l_partkey AS post_id, l_shipdate AS ts, 'view' AS event_type FROM lineitem)", PARTS, """terms AS (
+  SELECT DISTINCT post_id, 'post_tag' AS taxonomy, unnest(string_split(title, ' ')) AS term_id FROM posts)""",
+        *scored(PARTS_NOW, shape=False, seg="p.segment"), TERM_ARRAYS, mmr("VARCHAR"), diversity("by_mmr", "VARCHAR"),
+        recursive=True, body=f"""
+SELECT f.segment, CAST(f.position AS INTEGER) AS position, f.post_id, {fixed('p.score', 3)} AS score
 FROM final f JOIN pool p USING (post_id)"""),
     "trend_state": q(
         *TWO_RUNS,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,84 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
     return counts if posts is None else _shown(counts, posts, wanted, lims, cfg)
 
 
+def _binned(ts: str, points: list[int]) -> str:
+    """How many of the ascending ``points`` (microseconds) are at or before ``ts``. The span of
+    the points is divided into as many cells as there are points, so a row is compared with
+    the few points of its own cell only."""
+    first, width = points[0], (points[-1] - points[0]) // len(points) + 1
+    cells: list[list[int]] = [[] for _ in range((points[-1] - first) // width + 1)]
+    for p in points:
+        cells[(p - first) // width].append(p)
+    before = [bisect_left(points, first + k * width) for k in range(len(cells))]
+    literal = ", ".join(f"struct({n}, array({', '.join(f'{p}L' for p in c) or 'CAST(NULL AS BIGINT)'}))"
+                        for n, c in zip(before, cells))
+    micros = f"unix_micros({ts})"
+    cell = f"least(greatest(({micros} - {first}L) div {width}L, 0L), {len(cells) - 1}L)"
+    return f"""transform(array(array({literal})[{cell}]),
+        c -> c.col1 + size(filter(c.col2, p -> p <= {micros})))[0]"""
+
+
+def counters_at(views: DataFrame, instants, ranges=LIVE_RANGES, cfg: CountingConfig = CountingConfig()) -> DataFrame:
+    """``as_of, post_id`` and every counter, for many instants in one pass over the log: for
+    each instant the rows of ``counters_as_of`` that hold a view.
+
+    The limits of all ranges at all instants, sorted, divide time into bins. A view falls into
+    one bin; counts by post and bin combine before the shuffle, so a hot post ships a row per
+    task and bin. A post's bins (never more than limits) are then added up from the left, and
+    a counter is the difference of two such sums. So the log is read and shuffled once, not
+    once per instant. Without ``total`` the scan starts at the first limit.
+
+    ``instants`` is a list of texts or datetimes; repeated ones count once. Views without a
+    post or a time are in no counter. An empty list or log gives no rows.
+    """
+    spark, offset = views.sparkSession, cfg.rollover_minutes
+    wanted = [r for r in ranges if cfg.enabled(r)]
+    micros = lambda x: "CAST(NULL AS BIGINT)" if x is None else f"unix_micros({x})"
+    asked = [[f"unix_micros({at(t)})", *[micros(x) for r in wanted for x in _limits(r, t, offset)]] for t in instants]
+    shown = ", ".join(["as_of timestamp", "post_id " + views.schema["post_id"].dataType.simpleString(),
+                       *[f"{r} bigint" for r in wanted]])
+    if not asked or not wanted:
+        return spark.createDataFrame([], shown)
+    # Literals only: Spark folds this row without a job.
+    found = spark.range(1).select(F.expr(f"array({', '.join(f'array({", ".join(row)})' for row in asked)})")).first()[0]
+    found = sorted({tuple(row) for row in found})
+    # A view at the instant itself is counted, one at an upper limit is not.
+    spans = [[(lo, now + 1 if hi is None else min(hi, now + 1)) for lo, hi in zip(row[::2], row[1::2])]
+             for now, *row in found]
+    points = sorted({x for row in spans for span in row for x in span if x is not None})
+    starts = np.array([[0 if lo is None else points.index(lo) + 1 for lo, _ in row] for row in spans])
+    ends = np.array([[points.index(hi) + 1 for _, hi in row] for row in spans])
+    times = np.array([row[0] for row in found])
+
+    log = views.filter(f"post_id IS NOT NULL AND ts < timestamp_micros({points[-1]}L)")
+    if "total" not in wanted:
+        log = log.filter(f"ts >= timestamp_micros({points[0]}L)")
+    sums = log.groupBy("post_id", F.expr(_binned("ts", points)).alias("bin")).agg(F.count("*").alias("n"))
+    posts = sums.groupBy("post_id").agg(F.expr("collect_list(struct(bin, n))").alias("bins"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                lists = batch.column("bins")
+                held = lists.flatten()
+                post = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                below = np.zeros((batch.num_rows, len(points) + 2), np.int64)  # views before each point
+                below[post, held.field("bin").to_numpy() + 1] = held.field("n").to_numpy()
+                below = below.cumsum(axis=1)
+                # ``below[:, k]`` holds the bins under k: the views before point k - 1.
+                counts = below[:, ends] - np.where(starts > 0, below[:, starts], 0)
+                at_post, at_time = np.nonzero(counts.any(axis=2))
+                rows = counts[at_post, at_time]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(times[at_time]), batch.column("post_id").take(pa.array(at_post)),
+                     *[pa.array(rows[:, k], mask=rows[:, k] == 0) for k in range(len(wanted))]],
+                    names=["as_of", "post_id", *wanted])
+
+    flat = posts.mapInArrow(spread, shown.replace("as_of timestamp", "as_of bigint"))
+    return flat.withColumn("as_of", F.timestamp_micros("as_of"))
+
+
 def _shown(counts: DataFrame, posts: DataFrame, ranges, lims: dict, cfg: CountingConfig) -> DataFrame:
     """Counters of every post; an archive is 0 where its rollover found the post out."""
     types = ", ".join(f"'{t}'" for t in cfg.public_types)
