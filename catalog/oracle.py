@@ -268,6 +268,18 @@ def cands(name: str = "cand", cnt: str = "cnt", limit: int = 100, min_count: int
   FROM r3 WHERE CASE WHEN by_day THEN day_rank IS NOT NULL ELSE pos <= {max(limit, min_count)} END)"""
 
 
+HOURS = """hours AS (
+  SELECT t AS as_of, date_trunc('day', t - INTERVAL 1 MINUTE) + INTERVAL 1 MINUTE AS day0,
+         date_trunc('week', t - INTERVAL 1 MINUTE) + INTERVAL 1 MINUTE AS week0,
+         date_trunc('month', t - INTERVAL 1 MINUTE) + INTERVAL 1 MINUTE AS month0
+  FROM (SELECT TIMESTAMP '2024-01-24' + to_hours(CAST(i AS INTEGER)) AS t FROM range(168) r(i)))"""
+SWEPT = """swept AS (
+  SELECT h.as_of, v.post_id, count(*) AS total, nullif(count(*) FILTER (v.ts >= h.day0), 0) AS day,
+         nullif(count(*) FILTER (v.ts >= h.week0), 0) AS week, nullif(count(*) FILTER (v.ts >= h.month0), 0) AS month
+  FROM hours h JOIN ev v ON v.ts <= h.as_of GROUP BY 1, 2)"""
+SWEEP = (BEFORE, NOW, DAWN, "2024-01-30 00:01:00", "2024-01-29 00:00:59")
+
+
 TERM_ARRAYS = """tset AS (
   SELECT post_id, coalesce(list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'category')), []) AS categories,
          coalesce(list_sort(list(DISTINCT term_id) FILTER (taxonomy = 'post_tag')), []) AS tags FROM terms GROUP BY post_id)"""
@@ -522,6 +534,16 @@ SELECT o_orderkey, n, {short('n', 'K M B T')} AS short, {short('n', 'N Tr T TT')
     "category_momentum": q(*E_COUNTS, TERMS, hot(NOW), cands(), momentum(), TERM_ARRAYS, body=f"""
 SELECT post_id, array_to_string(categories, ',') AS categories, array_to_string(tags, ',') AS tags,
        {fixed('momentum')} AS momentum, {fixed('category_heat')} AS category_heat FROM mom JOIN tset USING (post_id)"""),
+    "counters_sweep": q(EV, HOURS, SWEPT, body="SELECT * FROM swept"),
+    "counters_sweep_archives": q(
+        EV, "posts AS (SELECT DISTINCT post_id, 'publish' AS status, TIMESTAMP '2000-01-01' AS published_at FROM ev)",
+        *[counts(t, f"at{i}") for i, t in enumerate(SWEEP)], body=" UNION ALL ".join(
+            f"""SELECT TIMESTAMP '{t}' AS as_of, post_id, total, day, week, month, {', '.join(
+                f'nullif({r}, 0) AS {r}' for r in ('yesterday', 'last_week', 'last_month'))}
+            FROM at{i} WHERE total > 0""" for i, t in enumerate(SWEEP))),
+    "hourly_candidates": q(EV, POSTS, HOURS, SWEPT, cands(
+        cnt="swept", limit=30, min_count=25, seg="strftime(c.as_of, '%Y-%m-%d %H:%M:%S')"), body=f"""
+SELECT segment, post_id, cand_rank, day_rank, week_rank, month_rank, total_rank, {fixed('fusion_score')} AS fusion_score FROM cand"""),
     "candidates": q(*E_COUNTS, cands(), body="SELECT post_id, cand_rank, day_rank, week_rank, month_rank, total_rank FROM cand"),
     "rank_fusion": q(EV, POSTS, counts(DAWN), cands(limit=50, min_count=60), body=f"""
 SELECT post_id, cand_rank, day_rank, week_rank, month_rank, total_rank, {fixed('fusion_score')} AS fusion_score FROM cand"""),

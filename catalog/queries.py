@@ -286,26 +286,32 @@ def merged_bins(spark, d):
 
 def _tables(spark, d, as_of):
     """Inputs of a trending run. Counters are a stored table in that job, read many times."""
-    counters = cut(_event_counters(spark, d, as_of, ranges=("total", "day", "week", "month")))
+    counters = cut(c.counters_at(a.event_views(spark, d), [as_of]).drop("as_of"))
     return counters, a.document_posts(spark, d), a.document_terms(spark, d), a.event_engagement(spark, d, as_of)
 
 
-def _factors(spark, d, as_of):
-    bins = shape.hour_bins(a.event_views(spark, d), SHAPE)
-    return shape.factors(shape.learn_shape(bins, SHAPE, as_of), as_of)
+def _scored(spark, d, as_of=NOW, cfg=TrendingConfig()):
+    factors = shape.factors(_learned(spark, d), as_of)
+    return trending.score_run(*_tables(spark, d, as_of), as_of, cfg, factors)
 
 
-def _scored(spark, d, as_of=NOW, cfg=TrendingConfig(), state=None):
-    return trending.score_run(*_tables(spark, d, as_of), as_of, cfg, _factors(spark, d, as_of), state)
+def _two_runs(spark, d, cfg=TrendingConfig()):
+    """The state left by the run one hour earlier, a stored table, and the run from it. Both
+    see counters of one pass over the log, and the shape learned up to the day before."""
+    counters = cut(c.counters_at(a.event_views(spark, d), [BEFORE, NOW]))
+    learned, posts, terms = cut(_learned(spark, d)), a.document_posts(spark, d), a.document_terms(spark, d)
 
+    def run(as_of, state):
+        at_run = counters.filter(F.col("as_of") == instant(as_of)).drop("as_of")
+        return trending.score_run(at_run, posts, terms, a.event_engagement(spark, d, as_of), as_of, cfg,
+                                  shape.factors(learned, as_of), state)
 
-def _state(spark, d, cfg=TrendingConfig()):
-    """State left by the run one hour earlier, a stored table."""
-    return cut(trend.next_state(_scored(spark, d, BEFORE, cfg), None, BEFORE, cfg))
+    state = cut(trend.next_state(run(BEFORE, None), None, BEFORE, cfg))
+    return state, run(NOW, state)
 
 
 def _second(spark, d, cfg=TrendingConfig()):
-    return _scored(spark, d, NOW, cfg, _state(spark, d, cfg))
+    return _two_runs(spark, d, cfg)[1]
 
 
 def _run(spark, d, cfg=TrendingConfig()):
@@ -360,6 +366,27 @@ def candidates_by_segment(spark, d):
     return cands.select("segment", *CANDIDATE_COLUMNS, fixed(F.col("fusion_score")).alias("fusion_score"))
 
 
+def _week_hours() -> list[str]:
+    return [f"2024-01-{day:02d} {hour:02d}:00:00" for day in range(24, 31) for hour in range(24)]
+
+
+def counters_sweep(spark, d):
+    """Live counters at every hour of a week, in one pass over the log."""
+    return c.counters_at(a.event_views(spark, d), _week_hours())
+
+
+def counters_sweep_archives(spark, d):
+    """All ranges with a view, at instants just before and after resets and far apart."""
+    return c.counters_at(a.event_views(spark, d), [BEFORE, NOW, DAWN, "2024-01-30 00:01:00", "2024-01-29 00:00:59"], c.RANGES)
+
+
+def hourly_candidates(spark, d):
+    """Candidate lists of every hour of a week in one job."""
+    counters = c.counters_at(a.event_views(spark, d), _week_hours())
+    cands = trend.candidates(counters, a.document_posts(spark, d), TrendingConfig(limit=30, min_count=25), run_cols=["as_of"])
+    return cands.select("segment", *CANDIDATE_COLUMNS, fixed(F.col("fusion_score")).alias("fusion_score"))
+
+
 def _parts(*names, make=_scored):
     def query(spark, d):
         return make(spark, d).select("post_id", *[fixed(F.col(n)).alias(n) for n in names])
@@ -452,7 +479,8 @@ def trending_by_segment(spark, d):
 
 
 def trend_state(spark, d):
-    state = trend.next_state(_second(spark, d), _state(spark, d), NOW)
+    before, run = _two_runs(spark, d)
+    state = trend.next_state(run, before, NOW)
     return state.select("post_id", fixed(F.col("ewma")).alias("ewma"), "ewma_at",
                         fixed(F.col("last_score")).alias("last_score"), "streak")
 
@@ -654,6 +682,9 @@ QUERIES = {
     "candidates": candidates,
     "rank_fusion": rank_fusion,
     "candidates_by_segment": candidates_by_segment,
+    "counters_sweep": counters_sweep,
+    "counters_sweep_archives": counters_sweep_archives,
+    "hourly_candidates": hourly_candidates,
     "velocity": _parts("velocity", "time_decay", "engagement", "freshness", "age"),
     "day_fallback": dawn_fallback,
     "uplift": _parts("expected", "uplift_raw", "uplift"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from viewtide.config import LIVE_RANGES, TrendingConfig
 from viewtide.functions import formulas as fx
 from viewtide.functions.calendar import at, hours_between
+from viewtide.session import cut
 from viewtide.sources.tables import live_state
 
 TAXONOMIES = ("category", "post_tag")
@@ -44,23 +45,63 @@ def hot_topics(counters: DataFrame, posts: DataFrame, post_terms: DataFrame, as_
     return views.selectExpr("*", "views / max(views) OVER (PARTITION BY segment, taxonomy) AS heat")
 
 
+def _leading(counters: DataFrame, dim: DataFrame, carried, limit: int) -> DataFrame:
+    """``post_id, list, value``, the carried columns: at least the first ``limit`` posts of ``dim`` in
+    each list, or all of them, without joining the others.
+
+    Of each list the first ``2 * limit`` counters are taken from a heap a task, whatever posts
+    they are of. If too few of those posts may be listed, the list goes on four times as deep.
+    A list ends when it is long enough or its counters are used up, so the rounds are as many
+    as the logarithm of the deepest place looked at.
+    """
+    order, depth, left, rounds, sizes = [F.desc("value"), F.desc("post_id")], 2 * max(1, limit), list(LISTS), [], None
+    while left:
+        heads = None
+        for r in left:
+            head = counters.filter(F.col(r).isNotNull()).select(
+                "post_id", *LIVE_RANGES, F.lit(LISTS.index(r)).alias("list"), F.col(r).alias("value"))
+            head = head.orderBy(*order).limit(depth)
+            heads = head if heads is None else heads.unionByName(head)
+        found = cut(dim.join(bounded(heads, len(left) * depth, ()), "post_id"))
+        rows = {LISTS[n]: k for n, k in found.groupBy("list").count().collect()}  # one row a list
+        more = [r for r in left if rows.get(r, 0) < limit]
+        if more and sizes is None:
+            sizes = counters.agg(*[F.count(r).alias(r) for r in LISTS]).first().asDict()
+        more = [r for r in more if sizes[r] > depth]
+        rounds.append(found.filter(F.col("list").isin([LISTS.index(r) for r in left if r not in more])))
+        left, depth = more, depth * 4
+    whole = rounds[0]
+    for other in rounds[1:]:
+        whole = whole.unionByName(other)
+    return whole.select("segment", "post_id", *carried, "list", "value")
+
+
 def candidates(counters: DataFrame, posts: DataFrame, cfg: TrendingConfig = TrendingConfig(),
-               segment_cols=()) -> DataFrame:
+               segment_cols=(), run_cols=()) -> DataFrame:
     """Posts to score, in order. The day list alone when it is long enough, otherwise a
     rank fusion of the day, week, month and total lists.
 
-    Each list is cut to ``limit`` rows per segment by a group limit in every task before
-    anything is shuffled; all later steps see at most four lists per segment. The counters
-    and post columns the score needs ride along, so they are not joined again.
+    A single run looks at sorted prefixes of the counters and joins only the posts found there
+    (``_leading``). With segments, which are known by post, each list is cut to ``limit`` rows
+    per segment by a group limit in every task before anything is shuffled. All later steps
+    see at most four lists per segment. The counters and post columns the score needs ride
+    along, so they are not joined again.
+
+    ``run_cols`` are columns of ``counters`` that tell runs apart, such as the ``as_of`` of
+    ``counters_at``: they come first in ``segment``, and each run has lists of its own.
     """
     carried = ["author_id", "published_at", *LIVE_RANGES]
     dim = posts.filter((F.col("status") == "publish") & F.col("post_type").isin(list(cfg.types()))) \
         .select("post_id", segment(segment_cols).alias("segment"), "author_id", "published_at")
-    base = counters.select("post_id", *LIVE_RANGES).join(dim, "post_id")
-    long = base.selectExpr(
-        "segment", "post_id", *carried,
-        f"stack({len(LISTS)}, {', '.join(f'{i}, {r}' for i, r in enumerate(LISTS))}) AS (list, value)",
-    ).filter("value IS NOT NULL")
+    if segment_cols or run_cols:
+        runs = counters.select("post_id", *LIVE_RANGES, segment(run_cols).alias("__run"))
+        name = F.concat_ws("|", *["__run"] * bool(run_cols), *["segment"] * bool(segment_cols))
+        long = runs.join(dim, "post_id").withColumn("segment", name).selectExpr(
+            "segment", "post_id", *carried,
+            f"stack({len(LISTS)}, {', '.join(f'{i}, {r}' for i, r in enumerate(LISTS))}) AS (list, value)",
+        ).filter("value IS NOT NULL")
+    else:
+        long = _leading(counters.select("post_id", *LIVE_RANGES), dim, carried, cfg.limit)
     kept = long.selectExpr(
         "*", "row_number() OVER (PARTITION BY segment, list ORDER BY value DESC, post_id DESC) AS __rank",
     ).filter(f"__rank <= {cfg.limit}")
