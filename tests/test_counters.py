@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from tests.util import at, counters_df, dicts, posts_df, views_df
 from viewtide.config import RANGES, CountingConfig
 from viewtide.operators import counters as c
@@ -30,6 +32,41 @@ def test_range_subset_limits_the_scan(spark, sf):
     assert df.columns == ["post_id", "day", "yesterday"]
 
 
+@pytest.mark.parametrize("offset", [1, 30])
+def test_many_instants_equal_single_runs(spark, offset):
+    """Random views, some on the limits themselves, one post with a third of them, and rows
+    without a post or a time."""
+    rnd, cfg = random.Random(offset), CountingConfig(rollover_minutes=offset)
+    edges = [at(days=d, minutes=m) + timedelta(microseconds=u) for d in (0, 14, 30, 31, 45) for m in (0, offset) for u in (-1, 0, 1)]
+    rows = [(i, 1 if i % 3 == 0 else rnd.randrange(2, 9), rnd.choice(edges) if i % 4 == 0 else at(minutes=rnd.randrange(80_000)))
+            for i in range(600)]
+    views = views_df(spark, [*rows, (601, None, at(days=3)), (602, 5, None)])
+    instants = ["2024-01-31 00:01:00", "2024-02-01 00:00:59.999999", "2024-02-01 00:30:00", "2024-01-02 12:00:00",
+                "2024-03-04 00:01:00", "2024-02-15 10:00:00", "2024-02-15 10:00:00", "2023-12-31 00:00:00"]
+    for ranges in (RANGES, ("day", "yesterday")):
+        got = {(r["as_of"], r["post_id"], *[r[x] for x in ranges]) for r in dicts(c.counters_at(views, instants, ranges, cfg))}
+        want = set()
+        for t in set(instants):
+            for r in dicts(c.counters_as_of(views.filter("post_id IS NOT NULL"), t, ranges=ranges, cfg=cfg)):
+                if any(r[x] for x in ranges):
+                    want.add((datetime.fromisoformat(t), r["post_id"], *[r[x] for x in ranges]))
+        assert got == want and got
+
+
+def test_many_instants_of_nothing(spark):
+    views = views_df(spark, [(1, 1, at(days=1))])
+    assert c.counters_at(views, []).collect() == []
+    assert c.counters_at(views.limit(0), ["2024-01-05 00:00:00"]).collect() == []
+    assert c.counters_at(views, ["2024-01-05 00:00:00"], ("day",)).collect() == []
+
+
+def test_many_instants_read_the_log_once(spark, sf):
+    from viewtide.sources import adapters as a
+    hours = [f"2024-01-30 {h:02d}:00:00" for h in range(24)]
+    plan = c.counters_at(a.event_views(spark, sf), hours, ("day",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "GreaterThanOrEqual(ts,2024-01-29T00:01)" in plan
+
+
 def test_daily_fold_equals_log(spark):
     """Rolling stored counters over day by day gives the counters of the log at the end."""
     rnd = random.Random(3)

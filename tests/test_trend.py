@@ -51,6 +51,27 @@ def test_candidates_equal_model(spark, limit, min_count):
     assert [r["post_id"] for r in dicts(got, "cand_rank")] == fuse_model(counters, limit, min_count)
 
 
+def test_prefixes_go_deeper_past_posts_that_may_not_be_listed(spark):
+    """The first 300 posts of the lists are drafts: the prefixes grow until the lists are full,
+    and one list with few counters ends where they do."""
+    posts = posts_df(spark, [{"post_id": i, "status": "draft" if i > 100 else "publish"} for i in range(1, 401)])
+    counters = counters_df(spark, [(i, i, i if i % 50 == 0 else None, i // 7, None) for i in range(1, 401)])
+    cfg = TrendingConfig(limit=10, min_count=5)
+    single = trend.candidates(counters, posts, cfg)
+    runs = trend.candidates(counters.withColumn("run", F.lit("a")).unionByName(counters.withColumn("run", F.lit("b"))),
+                            posts, cfg, run_cols=["run"])
+    want = {tuple(r) for r in single.drop("segment").collect()}
+    assert len(want) == 10 and {r[0] for r in want} >= {50, 100}
+    for name in "ab":
+        assert {tuple(r) for r in runs.filter(F.col("segment") == name).drop("segment").collect()} == want
+
+
+def test_no_candidates_of_empty_tables(spark):
+    posts, counters = posts_df(spark, [{"post_id": 1}]), counters_df(spark, [(1, 5, 5, 5, 5)])
+    assert trend.candidates(counters.limit(0), posts).count() == 0
+    assert trend.candidates(counters, posts.limit(0)).count() == 0
+
+
 def test_fusion_value_and_group_limit(spark):
     df = counters_df(spark, [(1, 1, 9, 1, None), (2, 9, None, 9, None), (3, 8, None, 8, None), (4, 7), (5, 6), (6, 5)])
     got = trend.candidates(df, simple_posts(spark, 6), TrendingConfig(min_count=20))
