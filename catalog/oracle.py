@@ -26,6 +26,18 @@ LIMITS = {
         "last_week": ("2024-01-15 00:01", "2024-01-22 00:01"),
         "last_month": ("2023-12-01 00:01", "2024-01-01 00:01"),
     },
+    "2024-01-10 13:00:00": {
+        "day": "2024-01-10 00:01", "week": "2024-01-08 00:01", "month": "2024-01-01 00:01",
+        "yesterday": ("2024-01-09 00:01", "2024-01-10 00:01"),
+        "last_week": ("2024-01-01 00:01", "2024-01-08 00:01"),
+        "last_month": ("2023-12-01 00:01", "2024-01-01 00:01"),
+    },
+    "2024-01-17 00:00:30": {
+        "day": "2024-01-16 00:01", "week": "2024-01-15 00:01", "month": "2024-01-01 00:01",
+        "yesterday": ("2024-01-15 00:01", "2024-01-16 00:01"),
+        "last_week": ("2024-01-08 00:01", "2024-01-15 00:01"),
+        "last_month": ("2023-12-01 00:01", "2024-01-01 00:01"),
+    },
     PARTS_NOW: {
         "day": "2001-07-15 00:01", "week": "2001-07-09 00:01", "month": "2001-07-01 00:01",
         "yesterday": ("2001-07-14 00:01", "2001-07-15 00:01"),
@@ -33,6 +45,7 @@ LIMITS = {
         "last_month": ("2001-06-01 00:01", "2001-07-01 00:01"),
     },
 }
+PAST = ("2024-01-10 13:00:00", "2024-01-17 00:00:30", NOW)
 RANGES = ("total", "day", "week", "month", "yesterday", "last_week", "last_month")
 
 
@@ -618,6 +631,8 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
     "stream_totals": q(EV, body="SELECT post_id, count(*) AS views FROM ev GROUP BY 1"),
     "stream_bins": q(EV, bins(min_daily=0, before="2025-01-01"), body=hour_rows()),
     "counters_advanced": q(*E_COUNTS, body="SELECT * FROM cnt"),
+    "counters_partials": q(EV, POSTS, *[counts(t, f"at{i}") for i, t in enumerate(PAST)], body=" UNION ALL ".join(
+        f"SELECT *, TIMESTAMP '{t}' AS as_of FROM at{i}" for i, t in enumerate(PAST))),
     "daily_chain": q(EV, POSTS, counts("2024-01-30 00:01:00"), body="SELECT * FROM cnt"),
     "daily_chain_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
                            body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),

@@ -6,6 +6,7 @@ Doubles are shown through ``fixed`` so two engines agree on the last digit.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +20,7 @@ from viewtide.functions.net import client_ip, ip_hash
 from viewtide.functions.text import fixed
 from viewtide.operators import counters as c
 from viewtide.operators import ipdedup, qualify, rank, rerank, shape, trend
-from viewtide.plans import counting, daily, trending
+from viewtide.plans import counting, daily, partials, trending
 from viewtide.session import STREAM_DEFAULTS, cut, shared_dir
 from viewtide.sources import adapters as a
 from viewtide.sources import tables
@@ -30,6 +31,7 @@ SHAPE = ShapeConfig(min_daily=20)
 BEFORE = "2024-01-30 22:00:00"
 NOW = a.EVENTS_AS_OF
 DAWN = "2024-01-30 00:40:00"
+PAST = ("2024-01-10 13:00:00", "2024-01-17 00:00:30", NOW)
 
 
 def _event_counters(spark, d, as_of=NOW, **kw) -> DataFrame:
@@ -137,6 +139,22 @@ def daily_chain_shape(spark, d):
         F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
 
 
+def counters_partials(spark, d):
+    """Counters at past instants and now from dyadic day partials: stored in two runs from a log
+    that lacks a tenth of its rows before 20 January, which come late, in a batch given twice."""
+    base, views = f"{shared_dir(spark)}/viewtide-partials-{uuid.uuid4().hex}", a.event_views(spark, d).select("event_id", "post_id", "ts")
+    late = (F.col("event_id") % 10 == 3) & (F.col("ts") < instant("2024-01-20 00:00:00"))
+    tables.write_views(views.filter(~late), f"{base}/log")
+    for until in ("2024-01-15 06:00:00", "2024-01-29 12:00:00"):
+        partials.extend_partials(spark, f"{base}/partials", f"{base}/log", until)
+    tables.write_views(views.filter(late), f"{base}/log")
+    for _ in range(2):
+        partials.add_late(spark, f"{base}/partials", views.filter(late), "late-rows")
+    found = [partials.counters_from_partials(spark, f"{base}/partials", f"{base}/log", t, a.document_posts(spark, d))
+             .withColumn("as_of", instant(t)) for t in PAST]
+    return reduce(DataFrame.unionByName, found)
+
+
 def running(spark, d):
     views = a.event_views(spark, d).select("event_id", "post_id", "ts")
     return c.running_counts(views).select("event_id", "post_id", "total", "day", "week", "month")
@@ -718,6 +736,7 @@ QUERIES = {
     "stream_bins": stream_bins,
     "pruned_counters": pruned_counters,
     "counters_advanced": advanced,
+    "counters_partials": counters_partials,
     "daily_chain": daily_chain,
     "daily_chain_shape": daily_chain_shape,
 }

@@ -15,7 +15,7 @@ from viewtide.functions.calendar import at, instant, period, period_start
 from viewtide.operators.ordered import running_positions
 
 
-def _limits(rng: str, as_of, offset: int) -> tuple[str | None, str | None]:
+def limits_of(rng: str, as_of, offset: int) -> tuple[str | None, str | None]:
     """(first instant, first instant after) of a range; None means open."""
     if rng == "total":
         return None, None
@@ -36,7 +36,7 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
     post that was already out at its rollover, else NULL; that needs ``posts``.
     """
     wanted = [r for r in ranges if cfg.enabled(r)]
-    lims = {r: _limits(r, as_of, cfg.rollover_minutes) for r in wanted}
+    lims = {r: limits_of(r, as_of, cfg.rollover_minutes) for r in wanted}
     log = views.filter(f"ts <= {at(as_of)}")
     if "total" not in wanted:
         first = [lo for lo, _ in lims.values()]
@@ -48,7 +48,7 @@ def counters_as_of(views: DataFrame, as_of, posts: DataFrame | None = None, rang
         return f"nullif(count_if({inside}), 0L) AS {rng}"
 
     counts = log.groupBy("post_id").agg(*[F.expr(counter(r)) for r in wanted])
-    return counts if posts is None else _shown(counts, posts, wanted, lims, cfg)
+    return counts if posts is None else shown_counters(counts, posts, wanted, lims, cfg)
 
 
 def _binned(ts: str, points: list[int]) -> str:
@@ -84,7 +84,7 @@ def counters_at(views: DataFrame, instants, ranges=LIVE_RANGES, cfg: CountingCon
     spark, offset = views.sparkSession, cfg.rollover_minutes
     wanted = [r for r in ranges if cfg.enabled(r)]
     micros = lambda x: "CAST(NULL AS BIGINT)" if x is None else f"unix_micros({x})"
-    asked = [[f"unix_micros({at(t)})", *[micros(x) for r in wanted for x in _limits(r, t, offset)]] for t in instants]
+    asked = [[f"unix_micros({at(t)})", *[micros(x) for r in wanted for x in limits_of(r, t, offset)]] for t in instants]
     shown = ", ".join(["as_of timestamp", "post_id " + views.schema["post_id"].dataType.simpleString(),
                        *[f"{r} bigint" for r in wanted]])
     if not asked or not wanted:
@@ -129,7 +129,7 @@ def counters_at(views: DataFrame, instants, ranges=LIVE_RANGES, cfg: CountingCon
     return flat.withColumn("as_of", F.timestamp_micros("as_of"))
 
 
-def _shown(counts: DataFrame, posts: DataFrame, ranges, lims: dict, cfg: CountingConfig) -> DataFrame:
+def shown_counters(counts: DataFrame, posts: DataFrame, ranges, lims: dict, cfg: CountingConfig) -> DataFrame:
     """Counters of every post; an archive is 0 where its rollover found the post out."""
     types = ", ".join(f"'{t}'" for t in cfg.public_types)
     dim = posts.selectExpr(
@@ -173,7 +173,7 @@ def advance(counters: DataFrame, views: DataFrame, since, as_of, posts: DataFram
     One conditional aggregation over the batch and one join by post.
     """
     offset, held = cfg.rollover_minutes, [r for r in RANGES if cfg.enabled(r) and r in counters.columns]
-    limits = {r: _limits(r, as_of, offset) for r in held}
+    limits = {r: limits_of(r, as_of, offset) for r in held}
 
     def fresh(rng: str) -> str:
         lo, hi = limits[rng]
@@ -195,7 +195,7 @@ def advance(counters: DataFrame, views: DataFrame, since, as_of, posts: DataFram
     batch = views.filter(f"ts <= {at(as_of)}").groupBy("post_id").agg(*[F.expr(fresh(r)) for r in held])
     sums = counters.join(batch, "post_id", "full").selectExpr(
         "post_id", *[f"nullif(coalesce({moved(r)}, 0L) + coalesce(__{r}, 0L), 0L) AS {r}" for r in held])
-    return sums if posts is None else _shown(sums, posts, held, limits, cfg)
+    return sums if posts is None else shown_counters(sums, posts, held, limits, cfg)
 
 
 def running_counts(views: DataFrame, cfg: CountingConfig = CountingConfig(), tiebreak: str = "event_id",

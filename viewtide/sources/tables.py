@@ -96,6 +96,12 @@ def write_pointer(spark: SparkSession, path: str, value: dict) -> None:
     files.rename(new, at, rename)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if there is no such folder."""
+    at, files = _files(spark, path)
+    return [s.getPath().getName() for s in files.util().listStatus(at)] if files.util().exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, files = _files(spark, path)
     files.delete(at, True)
