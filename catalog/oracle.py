@@ -644,6 +644,7 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
         body="""SELECT p.event_id, p.slot, p.post_id FROM passing p JOIN fold f USING (post_id, seq)
                 WHERE NOT f.dup AND NOT starts_with(p.ip, '198.')"""),
     "stream_hours": q(EV, body="SELECT date_trunc('hour', ts) AS hour_start, count(*) AS views FROM ev GROUP BY 1"),
+    "stream_viewer_index": q(EV, body="SELECT event_id, client_id, session_id, post_id FROM (" + FIRST.format(scope="client_id") + ")"),
     "stream_viewer_dedup": q(EV, body="SELECT DISTINCT session_id, post_id FROM ev"),
     "stream_viewer_dedup_client": q(EV, body="SELECT DISTINCT client_id, post_id FROM ev"),
     "stream_ip_dedup": q(EV, "src AS (SELECT *, event_id AS seq, client_id AS ip FROM ev)", recent_list("src"), recursive=True,

@@ -24,7 +24,7 @@ from viewtide.plans import counting, daily, partials, trending
 from viewtide.session import STREAM_DEFAULTS, cut, shared_dir
 from viewtide.sources import adapters as a
 from viewtide.sources import tables
-from viewtide.streaming import live
+from viewtide.streaming import firstviews, live
 
 # The event log starts with the month; sf0.001 has too few views a day for the default floor.
 SHAPE = ShapeConfig(min_daily=20)
@@ -636,6 +636,14 @@ def stream_snapshot(spark, d):
     return live.read_snapshot(spark, out, "post_id bigint, views bigint")
 
 
+def stream_viewer_index(spark, d):
+    """First views by client over four micro-batches, held against a stored index of keys."""
+    out, checkpoint = _paths(spark)
+    views = _arrivals(spark, d, ["event_id", "client_id", "session_id", "post_id", "ts"])
+    firstviews.dedup_viewer_indexed(views, f"{out}-index", out, checkpoint, buckets=4).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "client_id", "session_id", "post_id")
+
+
 def stream_ingest(spark, d):
     cfg = CountingConfig(batch=2)
     requests = a.event_requests(_event_stream(spark, d))
@@ -731,6 +739,7 @@ QUERIES = {
     "stream_ip_dedup": stream_ip,
     "stream_ip_in_order": stream_ip_in_order,
     "stream_snapshot": stream_snapshot,
+    "stream_viewer_index": stream_viewer_index,
     "stream_ingest": stream_ingest,
     "stream_ingest_strict": stream_ingest_strict,
     "stream_bins": stream_bins,
