@@ -38,6 +38,9 @@ LIMITS = {
         "last_week": ("2024-01-08 00:01", "2024-01-15 00:01"),
         "last_month": ("2023-12-01 00:01", "2024-01-01 00:01"),
     },
+    "2024-01-29 00:01:00": {
+        **_JAN30, "day": "2024-01-29 00:01", "yesterday": ("2024-01-28 00:01", "2024-01-29 00:01"),
+    },
     PARTS_NOW: {
         "day": "2001-07-15 00:01", "week": "2001-07-09 00:01", "month": "2001-07-01 00:01",
         "yesterday": ("2001-07-14 00:01", "2001-07-15 00:01"),
@@ -441,6 +444,7 @@ FROM (SELECT * FROM bins WHERE {where}), range(24) t(i)"""
 ORACLE = {
     "client_ip": q(EV, ADDRESS, CRC, HASHED, body="SELECT event_id, ip, ip_hash FROM addr JOIN hashed USING (ip)"),
     "request_views": q(EV, requested(3), body="SELECT event_id, slot, post_id FROM req"),
+    "request_feed": q(EV, requested(3), body="SELECT event_id, slot, post_id FROM req WHERE event_id % 3 <> 0 OR slot = 0"),
     "eligibility": q(EV, POSTS, requested(2), gated("'post'"), body="SELECT event_id, slot, post_id, reason FROM gate"),
     "count_requests": q(
         EV, POSTS, ADDRESS, requested(2), gated("'post', 'page'"),
@@ -482,6 +486,7 @@ LEFT JOIN counted c ON c.event_id = g.event_id AND c.slot = g.slot"""),
         SELECT post_id, unnest(['total', 'day', 'week', 'month', 'yesterday', 'last_week', 'last_month']) AS k,
                unnest([total, day, week, month, yesterday, last_week, last_month]) AS v FROM cnt) WHERE v IS NOT NULL"""),
     "counters_wide": q(*E_COUNTS, body="SELECT * FROM cnt WHERE coalesce(" + ", ".join(RANGES) + ") IS NOT NULL"),
+    "counters_renamed": q(*E_COUNTS, body="SELECT * FROM cnt WHERE coalesce(" + ", ".join(RANGES) + ") IS NOT NULL"),
     "counters_applied": q(EV, POSTS, counts("2024-01-30 00:01:00", "c0", "(SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-30 00:01')"),
                           "t AS (SELECT post_id, count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-30 00:01' AND ts <= TIMESTAMP '2024-01-30 23:00' GROUP BY 1)",
                           body="""SELECT post_id, CASE WHEN n IS NULL THEN total ELSE coalesce(total, 0) + n END AS total,
@@ -494,6 +499,16 @@ SELECT post_id, total, CASE WHEN t THEN NULL ELSE day END AS day, CASE WHEN t TH
        CASE WHEN t THEN coalesce(day, 0) ELSE yesterday END AS yesterday,
        CASE WHEN t THEN coalesce(week, 0) ELSE last_week END AS last_week, last_month
 FROM (SELECT c.*, p.status = 'publish' AND p.published_at <= TIMESTAMP '2024-01-29 00:01' AS t FROM cnt c JOIN posts p USING (post_id))"""),
+    "rollover_forced": q(*E_COUNTS, body="""
+SELECT post_id, total, CASE WHEN t THEN NULL ELSE day END AS day, week, CASE WHEN t THEN NULL ELSE month END AS month,
+       CASE WHEN t THEN coalesce(day, 0) ELSE yesterday END AS yesterday, last_week,
+       CASE WHEN t THEN coalesce(month, 0) ELSE last_month END AS last_month, t OR day IS NULL AS moved
+FROM (SELECT c.post_id, CASE WHEN c.total > 1 THEN c.total END AS total, CASE WHEN c.total > 1 THEN c.day END AS day,
+             CASE WHEN c.total > 1 THEN c.week END AS week, CASE WHEN c.total > 1 THEN c.month END AS month,
+             CASE WHEN c.total > 1 THEN c.yesterday END AS yesterday, CASE WHEN c.total > 1 THEN c.last_week END AS last_week,
+             CASE WHEN c.total > 1 THEN c.last_month END AS last_month, c.total > 1 AS held,
+             p.status = 'publish' AND p.published_at <= TIMESTAMP '2024-01-31 00:01' AS t
+      FROM cnt c JOIN posts p USING (post_id)) WHERE t OR held"""),
     "rollover_summary": q(POSTS, body="""SELECT count(*) AS total_posts, true AS reset_day, true AS reset_week, false AS reset_month,
        count(*) AS affected_posts FROM posts WHERE status = 'publish' AND published_at <= TIMESTAMP '2024-01-29 00:01'"""),
     "top_total": top("total"),
@@ -610,6 +625,9 @@ FROM final f JOIN pool p USING (post_id)"""),
 SELECT post_id, {fixed('ewma_val')} AS ewma, renewed AS ewma_at, {fixed('capped')} AS last_score, CAST(streak AS INTEGER) AS streak
 FROM (SELECT * FROM kept UNION ALL SELECT * FROM new)"""),
     "trending_debug": q(*TWO_RUNS, recursive=True, body=f"""
+SELECT post_id, score_rank, {fixed('age', 2)} AS age_hours, {", ".join(f"{fixed(c, n)} AS {c}" for c, n in DEBUG_DIGITS.items())},
+       streak AS fatigue_streak FROM score WHERE score_rank <= 50"""),
+    "trending_refreshed": q(*TWO_RUNS, recursive=True, body=f"""
 SELECT post_id, score_rank, {fixed('age', 2)} AS age_hours, {", ".join(f"{fixed(c, n)} AS {c}" for c, n in DEBUG_DIGITS.items())},
        streak AS fatigue_streak FROM score WHERE score_rank <= 50"""),
     "top_trending": q(*FULL, CATS, "s AS (SELECT f.*, p.score, p.day, row_number() OVER (ORDER BY p.score DESC, f.position) AS rank FROM final f JOIN pool p USING (post_id))",
@@ -633,6 +651,10 @@ UNION ALL SELECT 'month', CAST(date_trunc('month', t) AS DATE), post_id, count(*
     "counters_advanced": q(*E_COUNTS, body="SELECT * FROM cnt"),
     "counters_partials": q(EV, POSTS, *[counts(t, f"at{i}") for i, t in enumerate(PAST)], body=" UNION ALL ".join(
         f"SELECT *, TIMESTAMP '{t}' AS as_of FROM at{i}" for i, t in enumerate(PAST))),
+    "daily_late": q(EV, POSTS, counts("2024-01-29 00:01:00", "at29"), counts("2024-01-30 00:01:00", "at30"), body="""
+SELECT *, TIMESTAMP '2024-01-29 00:01' AS as_of FROM at29 UNION ALL SELECT *, TIMESTAMP '2024-01-30 00:01' FROM at30"""),
+    "daily_late_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
+                          body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),
     "daily_chain": q(EV, POSTS, counts("2024-01-30 00:01:00"), body="SELECT * FROM cnt"),
     "daily_chain_shape": q(EV, bins(), SHAPE_FOLD, LEARNED, recursive=True,
                            body=f"SELECT CAST(i AS BIGINT) AS slot, {fixed('h[i + 1]')} AS multiplier FROM learned, range(24) t(i)"),

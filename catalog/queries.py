@@ -55,6 +55,18 @@ def requested_ids(spark, d):
     return rows.select("event_id", F.col("slot").cast("bigint").alias("slot"), "post_id")
 
 
+def request_feed(spark, d):
+    """A JSON feed whose requests give one id, a list, or a list of texts, read back."""
+    path, r = f"{shared_dir(spark)}/viewtide-feed-{uuid.uuid4().hex}", a.requests(spark, d)
+    def line(ids):
+        return F.to_json(F.struct("request_id", "ts", ids.alias("post_id"), "headers"))
+    kind = F.col("event_id") % 3
+    r.select(F.when(kind == 0, line(F.element_at("post_ids", 1))).when(kind == 1, line(F.col("post_ids")))
+             .otherwise(line(F.col("post_ids").cast("array<string>")))).write.text(path)
+    rows = qualify.request_views(tables.read_view_requests(spark, path), CountingConfig(batch=3))
+    return rows.select(F.col("request_id").cast("bigint").alias("event_id"), F.col("slot").cast("bigint").alias("slot"), "post_id")
+
+
 def eligible(spark, d):
     cfg = CountingConfig(batch=2)
     rows = qualify.eligibility(qualify.request_views(a.requests(spark, d), cfg), a.document_posts(spark, d), cfg)
@@ -104,6 +116,23 @@ def counters_long(spark, d):
     return c.to_long(_event_counters(spark, d))
 
 
+KEYS = {"total": "views_all", "yesterday": "views_before"}
+
+
+def counters_renamed(spark, d):
+    """Counters through a store that has its own key names."""
+    return c.to_wide(c.to_long(_event_counters(spark, d), KEYS), KEYS)
+
+
+def rollover_forced(spark, d):
+    """A reset in the middle of a week that rolls the month but not the week, over counters that
+    one hook trims and another marks."""
+    before = c.counters_as_of(a.event_views(spark, d), NOW, a.document_posts(spark, d))
+    rows = c.rollover(before, a.document_posts(spark, d), "2024-01-31 00:01:00", reset_week=False, reset_month=True,
+                      before=lambda df: df.filter("total > 1"), after=lambda df: df.withColumn("moved", F.col("day").isNull()))
+    return rows.select("post_id", *c.RANGES, "moved")
+
+
 def counters_wide(spark, d):
     return c.to_wide(c.to_long(_event_counters(spark, d)))
 
@@ -139,6 +168,36 @@ def daily_chain_shape(spark, d):
         F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
 
 
+def _late_chain(spark, d):
+    """Daily runs up to the 29th over a log that lacks a tenth of its rows of four days, which come
+    late in a batch given twice, and then the next run."""
+    base, views = f"{shared_dir(spark)}/viewtide-daily-{uuid.uuid4().hex}", a.event_views(spark, d).select("event_id", "post_id", "ts")
+    posts, log = a.document_posts(spark, d), f"{base}/log"
+    late = (F.col("event_id") % 10 == 3) & F.col("ts").between(instant("2024-01-25 00:00:00"), instant("2024-01-28 20:00:00"))
+    tables.write_views(views.filter(~late), log)
+    for until in ("2024-01-25", "2024-01-29"):
+        daily.run_days(spark, base, log, posts, until, shape_cfg=SHAPE)
+    tables.write_views(views.filter(late), log)
+    for _ in range(2):
+        daily.add_late_views(spark, base, log, views.filter(late), posts, "late-rows", shape_cfg=SHAPE)
+    daily.run_days(spark, base, log, posts, "2024-01-30", shape_cfg=SHAPE)
+    return base
+
+
+def late_counters(spark, d):
+    """Counters of a corrected reset and of the run that goes on from it."""
+    base = _late_chain(spark, d)
+    resets = [f"2024-01-{day} 00:01:00" for day in (29, 30)]
+    return reduce(DataFrame.unionByName, [daily.read_day(spark, base, "counters", t).withColumn("as_of", instant(t)) for t in resets])
+
+
+def late_shape(spark, d):
+    """The hour shape after the same."""
+    shape_ = daily.read_day(spark, _late_chain(spark, d), "shape", "2024-01-30 00:01:00")
+    return shape_.select(F.posexplode("hour").alias("slot", "m")).select(
+        F.col("slot").cast("bigint").alias("slot"), fixed(F.col("m")).alias("multiplier"))
+
+
 def counters_partials(spark, d):
     """Counters at past instants and now from dyadic day partials: stored in two runs from a log
     that lacks a tenth of its rows before 20 January, which come late, in a batch given twice."""
@@ -507,6 +566,18 @@ def _stored_list(spark, d):
     return trending.trending_rows(_run(spark, d, NO_EXPLORE), NOW).filter("position IS NOT NULL")
 
 
+def trending_refreshed(spark, d):
+    """Two scheduled runs, the second from the state that the first one stored, as written."""
+    path, views = f"{shared_dir(spark)}/viewtide-trending-{uuid.uuid4().hex}", a.event_views(spark, d)
+    counters = cut(c.counters_at(views, [BEFORE, NOW]))
+    learned, posts, terms = cut(_learned(spark, d)), a.document_posts(spark, d), a.document_terms(spark, d)
+    for as_of, previous in ((BEFORE, None), (NOW, BEFORE)):
+        trending.refresh_trending(spark, path, as_of, counters.filter(F.col("as_of") == instant(as_of)).drop("as_of"), posts, terms,
+                                  a.event_engagement(spark, d, as_of), NO_EXPLORE, shape.factors(learned, as_of), previous)
+    rows = tables.read_version(spark, f"{path}/trending_debug", NOW)
+    return rows.select("post_id", "score_rank", "age_hours", "components.*")
+
+
 def top_trending(spark, d):
     rows = trending.top_trending(_stored_list(spark, d), _event_counters(spark, d, ranges=("total",)),
                                  a.document_posts(spark, d), number=8, page=2, post_types=("post",),
@@ -746,6 +817,12 @@ QUERIES = {
     "pruned_counters": pruned_counters,
     "counters_advanced": advanced,
     "counters_partials": counters_partials,
+    "daily_late": late_counters,
+    "daily_late_shape": late_shape,
+    "request_feed": request_feed,
+    "counters_renamed": counters_renamed,
+    "rollover_forced": rollover_forced,
+    "trending_refreshed": trending_refreshed,
     "daily_chain": daily_chain,
     "daily_chain_shape": daily_chain_shape,
 }
