@@ -12,7 +12,8 @@ SAMPLE = ["client_ip", "eligibility", "count_requests", "batch_flush_session", "
           "running_counts", "rollover_snapshot", "top_total", "top_by_terms", "ranking_tabs", "format_counts", "wday_shape",
           "hot_topics", "rank_fusion", "fatigue_history", "similarity", "trending_full", "stream_hours", "stream_bins",
           "stream_ingest_strict", "pruned_counters", "trending_by_segment", "counters_sweep",
-          "counters_sweep_archives", "hourly_candidates"]
+          "counters_sweep_archives", "hourly_candidates", "counters_partials", "stream_viewer_index", "request_feed",
+          "rollover_forced", "daily_late"]
 
 
 @pytest.fixture(scope="module")
