@@ -32,6 +32,8 @@ BEFORE = "2024-01-30 22:00:00"
 NOW = a.EVENTS_AS_OF
 DAWN = "2024-01-30 00:40:00"
 PAST = ("2024-01-10 13:00:00", "2024-01-17 00:00:30", NOW)
+#: Arrivals of a stream are files of about this many rows.
+FILE_ROWS = 250_000
 
 
 def _event_counters(spark, d, as_of=NOW, **kw) -> DataFrame:
@@ -667,21 +669,31 @@ def stream_ip(spark, d):
 
 
 def _arrivals(spark, d, columns: list[str], late_rows: bool = False) -> DataFrame:
-    """The event views as four files in time order, read one per micro-batch; with
+    """The event views as four parts in time order, read one per micro-batch; with
     ``late_rows`` every fiftieth row comes up to four hours behind, and a last file with a
-    row a year on closes the stream."""
+    row a year on closes the stream. Each part is as many files as the greatest one needs."""
     path, views = f"{shared_dir(spark)}/viewtide-arrivals-{uuid.uuid4().hex}", a.event_views(spark, d)
     seen = F.unix_micros("ts") + F.when(F.lit(late_rows) & (F.col("event_id") % 50 == 7), 4 * 3_600_000_000).otherwise(0)
     cuts = [F.expr(f"unix_micros(TIMESTAMP '2024-01-{day}')") for day in ("08", "16", "24")]
     part = sum((F.when(seen >= c_, 1).otherwise(0) for c_ in cuts), F.lit(0))
     rows = views.select(*columns, part.alias("__part"))
+    rows.write.partitionBy("__part").parquet(f"{path}-parts")
+    parts = spark.read.schema(rows.schema).parquet(f"{path}-parts")
+    most = parts.groupBy("__part").count().agg(F.max("count")).first()[0] or 0
+    files = 1 + most // FILE_ROWS
     for k in range(4):
-        rows.filter(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+        some = parts.filter(F.col("__part") == k).drop("__part")
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(path)
+        # Partitions without rows leave no file; empty ones keep the parts apart.
+        written = len(spark.read.schema(some.schema).parquet(path).inputFiles())
+        for _ in range(files * (k + 1) - written):
+            some.limit(0).coalesce(1).write.mode("append").parquet(path)
+    tables.remove(spark, f"{path}-parts")
     if late_rows:
         end = spark.range(1).select(*[F.expr("TIMESTAMP '2025-01-30 00:00:00'").alias(c_) if c_ == "ts" else
                                       F.lit(None).cast(rows.schema[c_].dataType).alias(c_) for c_ in columns])
         end.withColumn("post_id", F.lit(-1).cast("bigint")).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_ip_in_order(spark, d):

@@ -149,6 +149,86 @@ def test_ip_check_in_event_order_with_expiry_and_late_rows(spark, tmp_path, monk
     assert arrival != want  # the order of arrival gives other tags
 
 
+def test_rows_wait_in_few_entries_of_the_state(spark):
+    """25,000 rows of one post are a few entries in the store, and come out in time order."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from viewtide.operators.ordered import RecentFold
+
+    class State:
+        def __init__(self):
+            self.entries = []
+
+        def exists(self):
+            return bool(self.entries)
+
+        def get(self):
+            return iter(list(self.entries))
+
+        def appendValue(self, value):
+            self.entries.append(value)
+
+        def appendList(self, values):
+            self.entries += values
+
+        def clear(self):
+            self.entries = []
+
+    class Value(State):
+        def get(self):
+            return self.entries[-1]
+
+        update = State.appendValue
+
+    class Handle:
+        timers, lists, values = [], State(), Value()
+        getListState = lambda self, name, schema: self.lists
+        getValueState = lambda self, name, schema: self.values
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 20_000
+
+    names = ["event_id", "post_id", "ip_hash", "__t"]
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "ip_hash" else T.LongType()) for n in names])
+    check, handle = live._InEventOrder(RecentFold(5, 10**12), names, schema), Handle()
+    check.init(handle)
+    rnd = random.Random(3)
+    rows = [(i, 1, rnd.choice([None, *"abcdefghij"]), rnd.randrange(25_000) * 1000) for i in range(25_000)]
+    parts = [pd.DataFrame(rows[k:k + 10_000], columns=names) for k in range(0, len(rows), 10_000)]
+    list(check.handleInputRows((1,), iter(parts), None))
+    assert len(handle.lists.entries) <= 5
+    out = pd.concat(check.handleExpiredTimer((1,), Watermark(), None))
+    due = sorted((r for r in rows if r[3] < 20_000_000), key=lambda r: (r[3], r[0]))
+    fold = RecentFold(5, 10**12)
+    tags = fold.run(fold.start((), None), [r[2] for r in due], [r[3] for r in due])
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(*r, tag) for r, tag in zip(due, tags)]
+    assert len(handle.lists.entries) <= 3 and sum(len(c[0]) for c in handle.lists.entries) == len(rows) - len(due)
+
+
+def test_arrivals_of_many_files_are_the_same_micro_batches(spark, monkeypatch, tmp_path):
+    import os
+
+    import pandas as pd
+
+    from catalog import queries
+
+    ts = [pd.Timestamp("2024-01-02"), pd.Timestamp("2024-01-17"), pd.Timestamp("2024-01-25")]  # no row in the second part
+    rows = pd.DataFrame([(k, ts[k % 3] + pd.Timedelta(minutes=k), k % 7, "view", 1.0, f'{{"k": {k % 4}}}') for k in range(300)],
+                        columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    spark.createDataFrame(rows).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "FILE_ROWS", 20)
+    stream = queries._arrivals(spark, str(tmp_path), ["event_id", "post_id"], late_rows=False)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "check")
+    live.write_stream(stream, out, checkpoint, "append").awaitTermination()
+    got = {k: sorted(r.event_id for r in spark.read.parquet(f"{out}/batch_id={k}").collect()) if os.path.exists(
+        f"{out}/batch_id={k}") else None for k in range(5)}
+    assert got == {0: list(range(0, 300, 3)), 1: [], 2: list(range(1, 300, 3)), 3: list(range(2, 300, 3)), 4: None}
+    tagged = queries.stream_ip_in_order(spark, str(tmp_path))
+    assert sorted(r.event_id for r in tagged.collect()) == list(range(300))
+
+
 def test_snapshot_keeps_as_many_folders_as_buckets(spark, tmp_path):
     path, held = str(tmp_path / "snap"), {}
     schema = "post_id bigint, views bigint"

@@ -24,6 +24,8 @@ from viewtide.operators.shape import in_bins
 from viewtide.sources.tables import read_pointer, remove, write_pointer
 
 LATE = "2 hours"
+#: Rows that wait in one entry of a state list.
+CHUNK = 10_000
 
 
 def live_counters(views: DataFrame, unit: str, late: str = LATE, cfg: CountingConfig = CountingConfig()) -> DataFrame:
@@ -117,23 +119,30 @@ class _InEventOrder(StatefulProcessor):
     """Recent-visitor check of one post in event order, whatever order rows arrive in.
 
     Rows wait in a list until the watermark has passed them; an event-time timer then runs
-    the fold over them in time order. A second timer drops the list of visitors when its
-    lifetime has passed without a view, so quiet posts hold no state.
+    the fold over them in time order. An entry of the list holds an array for each column of
+    up to ``CHUNK`` rows, because every entry is sent to the store and back on its own. A second
+    timer drops the list of visitors when its lifetime has passed without a view, so quiet
+    posts hold no state.
     """
 
     def __init__(self, fold: RecentFold, given: list[str], rows: T.StructType):
-        self.fold, self.given, self.rows, self.names = fold, given, rows, rows.names
+        self.fold, self.given, self.names = fold, given, rows.names
+        self.chunk = T.StructType([T.StructField(f"c{k}", T.ArrayType(f.dataType)) for k, f in enumerate(rows.fields)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("waiting", self.chunk)
         self.recent = handle.getValueState("recent", "items array<string>, at bigint")
 
+    def _wait(self, columns: list[list]) -> None:
+        for k in range(0, len(columns[0]), CHUNK):
+            self.waiting.appendValue(tuple(c[k:k + CHUNK] for c in columns))
+
     def handleInputRows(self, key, rows, timerValues):
         least = None
         for part in rows:
             part = part.set_axis(self.given, axis=1)[self.names]  # names with a leading underscore come changed
-            self.waiting.appendList([tuple(None if v is None or v != v else v for v in r) for r in part.itertuples(index=False)])
+            self._wait([[None if v is None or v != v else v for v in part[c].tolist()] for c in self.names])
             first = int(part["__t"].min())
             least = first if least is None else min(least, first)
         if least is not None:
@@ -143,24 +152,27 @@ class _InEventOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         names = self.names
-        at, order = names.index("__t"), names.index("event_id")
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in held if r[at] < now), key=lambda r: (r[at], r[order]))
-        rest = [r for r in held if r[at] >= now]
+        held = [[] for _ in names]
+        for chunk in self.waiting.get() if self.waiting.exists() else ():
+            for column, values in zip(held, chunk):
+                column += values
+        at, order, hashes = (held[names.index(c)] for c in ("__t", "event_id", "ip_hash"))
+        due = sorted((k for k, t in enumerate(at) if t < now), key=lambda k: (at[k], order[k]))
+        rest = [k for k, t in enumerate(at) if t >= now]
         items, last = self.recent.get() if self.recent.exists() else ((), None)
         if due:
             state = self.fold.start(items, last)
-            tags = self.fold.run(state, [r[names.index("ip_hash")] for r in due], [r[at] for r in due])
+            tags = self.fold.run(state, [hashes[k] for k in due], [at[k] for k in due])
             items, last = self.fold.snapshot(state)
             self.recent.update((items, last))
             self.waiting.clear()
             if rest:
-                self.waiting.appendList(rest)
-            out = pd.DataFrame(due, columns=names).astype(object)
+                self._wait([[c[k] for k in rest] for c in held])
+            out = pd.DataFrame({name: pd.Series([c[k] for k in due], dtype=object) for name, c in zip(names, held)})
             out["ip_duplicate"] = pd.array(tags, dtype=object)
             yield out
         if rest:
-            self.handle.registerTimer(_after(min(r[at] for r in rest)))
+            self.handle.registerTimer(_after(min(at[k] for k in rest)))
         elif last is not None and last + self.fold.ttl_us < now:
             self.recent.clear()
         elif last is not None:
