@@ -364,6 +364,30 @@ def test_url_ends_that_are_no_pages_are_judged(spark):
     assert alone[1] == (None, "block") and alone[4] == (None, "block") and alone[2] == (None, "allow")
 
 
+def test_taken_words_are_those_of_the_training_order(spark, tmp_path, monkeypatch):
+    from viewtide.llm import queries
+
+    rows = [(k % 50 if k % 9 else None, "a b c " * (k % 7), "xyz"[k % 3] if k % 10 else None) for k in range(200)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id bigint, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted_rows(mixture.mix(df).withColumnRenamed("__id", "doc_id"), "doc_id", "size", "source_size", "taken")
+    orders, kept = [], mixture.in_order
+
+    def in_order(uses):
+        orders.append(kept(uses))
+        return orders[-1]
+
+    monkeypatch.setattr(mixture, "in_order", in_order)
+    got = sorted_rows(queries.source_mixing(spark, str(tmp_path)), "doc_id", "size", "source_size", "taken")
+    assert got == want and any(r[-1] for r in got) and len(got) == 220
+    at = [r.train_position for r in orders[0].collect()]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1 and len(orders) == 1
+    # Without the uses of the order's first half less is taken.
+    monkeypatch.setattr(mixture, "in_order", lambda uses: kept(uses).filter("train_position > 0.5"))
+    half = queries.source_mixing(spark, str(tmp_path)).agg(F.sum("taken")).first()[0]
+    assert 0 < half < sum(r[-1] for r in want)
+
+
 def test_deep_pages_and_long_lists_of_siblings(spark):
     import time
 

@@ -180,18 +180,28 @@ def position(cfg: Curriculum, demand: Column, place: Column) -> Column:
     return F.coalesce(F.try_divide(2 * y, below), F.lit(0.0))
 
 
+def uses(mixed: DataFrame, cfg: Curriculum = Curriculum()) -> DataFrame:
+    """One row per use of the rows of ``mix``: their columns plus ``use_no`` (0, 1, ..) and
+    ``train_position``. Unused documents have no row."""
+    used = mixed.filter("uses > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("uses") - 1).cast("int"))).alias("use_no"))
+    # Words of the source that are asked for before this use: the last pass holds only some documents.
+    sooner = F.when(F.col("use_no") < F.col("passes"), F.col("supply")).otherwise(F.col("last"))
+    middle = sooner + F.col("size") / 2 + F.col("use_no") * F.col("source_size")
+    return used.withColumn("train_position", position(cfg, middle / F.col("target"), F.col("place")))
+
+
+def in_order(uses: DataFrame) -> DataFrame:
+    """The uses in training order: range-sorted by position."""
+    return uses.repartitionByRange("train_position").sortWithinPartitions("train_position")
+
+
 def curriculum(docs: DataFrame, cfg: Curriculum = Curriculum(), id: str = "doc_id", text: str = "text",
                source: str = "source") -> DataFrame:
     """One row per use of a document: its columns plus ``use_no`` (0, 1, ..) and
     ``train_position``, range-sorted by position. Unused documents have no row. Columns of
     ``docs`` with these names are replaced. Repeated rows are one document used as often as
     each of them is."""
-    mixed = mix(docs, cfg, id, text, source).filter("uses > 0")
-    uses = mixed.select("*", F.explode(F.sequence(F.lit(0), (F.col("uses") - 1).cast("int"))).alias("use_no"))
-    # Words of the source that are asked for before this use: the last pass holds only some documents.
-    sooner = F.when(F.col("use_no") < F.col("passes"), F.col("supply")).otherwise(F.col("last"))
-    middle = sooner + F.col("size") / 2 + F.col("use_no") * F.col("source_size")
-    at = uses.withColumn("train_position", position(cfg, middle / F.col("target"), F.col("place")))
+    at = uses(mix(docs, cfg, id, text, source), cfg)
     # Copies of one row (same id and text) are told apart by number, so that the join
     # neither multiplies nor loses them.
     copy = W.partitionBy("__id", "__tkey", "use_no").orderBy("train_position")
@@ -203,4 +213,4 @@ def curriculum(docs: DataFrame, cfg: Curriculum = Curriculum(), id: str = "doc_i
     joined = numbered.join(wanted, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tkey"))
                            & (F.col("__copy") == F.col("__nth")))
     out = joined.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)], "use_no", "train_position")
-    return out.repartitionByRange("train_position").sortWithinPartitions("train_position")
+    return in_order(out)
