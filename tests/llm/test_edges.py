@@ -423,6 +423,49 @@ def test_long_lists_match_as_short_ones(monkeypatch):
         assert size == want == len(pairs) and all(x.label == y.label for x, y in pairs)
 
 
+def test_long_lists_of_elements_with_children_match_as_short_ones(monkeypatch):
+    """The same pairs whatever is held at a time, and as many as plain tree matching finds."""
+    rng = np.random.default_rng(9)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.2:
+            return str(rng.integers(3))
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choice(["div", "ul", "section"], int(rng.integers(0, 7))))
+
+    def plain(a, b):
+        if a.label != b.label:
+            return 0
+        xs, ys = ([c for c in n.nodes() if not c.noise] for n in (a, b))
+        table = np.zeros((len(xs) + 1, len(ys) + 1))
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + plain(x, y))
+        return 1 + int(table[-1, -1])
+
+    def matched(a, b):
+        a, b = htmltext.parse(f"<body>{a}"), htmltext.parse(f"<body>{b}")
+        htmltext.number(a), htmltext.number(b)
+        size, pairs = htmltext.tree_match(a, b)
+        assert size == len(pairs) == plain(a, b)
+        return [(x.number, y.number) for x, y in pairs]
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        want = matched(a, b)
+        for cells in (0, 1, 5, 30):
+            with monkeypatch.context() as m:
+                m.setattr(htmltext, "CELLS", cells)
+                m.setattr(htmltext, "SIZES", cells + 1, raising=False)
+                assert matched(a, b) == want
+    # Over 65,536 pairs of siblings; the like of a left one is one place on and has one child more.
+    inner = lambda k: "".join(f"<i class='c{k % 5}'></i>" for _ in range(2 + k % 7))
+    a = "".join(f"<div>{inner(k)}</div>" for k in range(280))
+    b = "<div><b></b></div>" + "".join(f"<div>{inner(k)}<b></b></div>" for k in range(279))
+    assert len(matched(a, b)) > 1000
+    some = lambda n, more: "<section>" + "".join(f"<div>{inner(k)}{more}</div>" for k in range(n)) + "</section>"
+    assert len(matched(some(18, "<b></b>") + some(20, ""), some(19, "<b></b>"))) > 60
+
+
 def test_text_after_url_rules(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rules = spark.createDataFrame(brute.RULES, "rule_host string, rule_path string, rule_verdict string")

@@ -11,6 +11,7 @@ the same statistics decide, over different articles only: what recurs in them is
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,9 +45,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _PIECES = re.compile(r"[^a-z0-9]+")
 #: A class word with one of these before it tells what a container has, not what it is.
 _STATE = re.compile(r"\b(?:has|have|with|without|no|not|show|hide)[-_]+[a-z0-9]+")
-#: Sibling lists with more pairs than this are weighed row by row, in memory of one row; pairs
-#: of elements with children are then weighed by their shape before they are matched.
+#: Of sibling lists with more pairs than this some rows of the table are held, and the others
+#: computed again; the matching is the same.
 CELLS = 1 << 16
+#: Sizes of matchings held at a time; others are computed again.
+SIZES = 1 << 18
 
 
 @dataclass(slots=True)
@@ -59,6 +62,7 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
     number: int = -1
     own: str | None = None  # own_text, once asked for
+    shape: tuple[bytes, int] | None = None  # _shape, once asked for
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -219,137 +223,157 @@ def _line(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _lcs(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the best order-preserving matching for the given weights."""
-    n, m = weights.shape
-    table = np.zeros((n + 1, m + 1))
+def _next(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The table's row after this one."""
+    out = np.zeros_like(row)
+    np.maximum(row[1:], row[:-1] + weights, out=out[1:])
+    return np.maximum.accumulate(out, out=out)
+
+
+def _lcs(n: int, m: int, row):
+    """Pairs of the best order-preserving matching of two lists, as a step; ``row(i)``, a step
+    too, gives the weights of one. All rows of the table are held or, of long lists, as many as
+    the square root of their number, from which those between two of them are computed again."""
+    apart = n if n * m <= CELLS else math.isqrt(n) + 1
+    held, last, table = {0: np.zeros(m + 1, np.int64)}, 0, []
     for i in range(n):
-        np.maximum(table[i, 1:], table[i, :-1] + weights[i], out=table[i + 1, 1:])
-        np.maximum.accumulate(table[i + 1], out=table[i + 1])
+        if i % apart == 0:
+            last, table = i, [held[i]]
+        table.append(_next(table[-1], (yield from row(i))))
+        if (i + 1) % apart == 0:
+            held[i + 1] = table[-1]
     pairs, i, j = [], n, m
     while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
+        if (i - 1) // apart * apart != last:
+            last = (i - 1) // apart * apart
+            table = [held[last]]
+            for k in range(last, i):
+                table.append(_next(table[-1], (yield from row(k))))
+        while i > last and j:
+            best = table[i - last][j]
+            if best == table[i - last - 1][j]:
+                i -= 1
+            elif best == table[i - last][j - 1]:
+                j -= 1
+            else:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
     return pairs[::-1]
 
 
-def _align(n: int, m: int, row) -> list[tuple[int, int]]:
-    """``_lcs`` of long lists: ``row(i)`` gives the weights of one, and only rows are held. The
-    lists are halved where the best matchings of both halves meet."""
-    pairs, todo = [], [(0, n, 0, m)]
-    while todo:
-        i0, i1, j0, j1 = todo.pop()
-        if i0 == i1 or j0 == j1:
-            continue
-        if (i1 - i0) * (j1 - j0) <= CELLS or i1 - i0 == 1:
-            pairs += [(i0 + i, j0 + j) for i, j in _lcs(np.array([row(i)[j0:j1] for i in range(i0, i1)]))]
+def _kept(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and not c.noise]
+
+
+def _shape(node: Node) -> tuple[bytes, int]:
+    """Digest of the labels under a node, and how many nodes there are."""
+    todo = [node]
+    while node.shape is None:
+        n = todo[-1]
+        inner = _kept(n)
+        if waiting := [c for c in inner if c.shape is None]:
+            todo += waiting
             continue
-        middle, sums = (i0 + i1) // 2, []
-        for rows, step in ((range(i0, middle), 1), (range(i1 - 1, middle - 1, -1), -1)):
-            best, more = np.zeros(j1 - j0 + 1), np.empty(j1 - j0)
-            for i in rows:
-                np.add(best[:-1], row(i)[j0:j1][::step], out=more)
-                np.maximum(best[1:], more, out=best[1:])
-                np.maximum.accumulate(best, out=best)
-            sums.append(best[::step])
-        j = j0 + int((sums[0] + sums[1]).argmax())
-        todo += [(middle, i1, j, j1), (i0, middle, j0, j)]
-    return pairs
-
-
-def _shape(node: Node) -> tuple[int, int]:
-    """Hash of the labels under a node, and how many nodes there are."""
-    labels, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        labels.append(n.label if n is not None else "")
-        if n is not None:
-            todo += [None, *[c for c in reversed(n.nodes()) if not c.noise]]
-    return hash(tuple(labels)), sum(map(bool, labels))
-
-
-def _by_rows(left: list[Node], right: list[Node], bonus: float) -> list[tuple[int, int]]:
-    names: dict = {}
-    code = lambda key: names.setdefault(key, len(names))
-    sides = []
-    for side in (left, right):
-        deep = [bool(x.nodes()) for x in side]
-        shapes = [_shape(x) if d else (0, 1) for x, d in zip(side, deep)]
-        sides.append([np.array([code(x.label) for x in side]),
-                      np.array([-1 if d or not own_text(x) else code(("t", own_text(x))) for x, d in zip(side, deep)]),
-                      np.array([code(("s", h)) if d else -1 for (h, _), d in zip(shapes, deep)]),
-                      np.array([n - 1 for _, n in shapes])])
-    (label, text, shape, size), (labels, texts, shapes, _) = sides
-    text[~np.isin(text, texts)] = -1
-    shape[~np.isin(shape, shapes)] = -1
-    rows: dict[tuple, np.ndarray] = {}  # elements without a twin weigh the same
+        todo.pop()
+        labels = b"%d:" % len(inner) + b"".join([c.shape[0] for c in inner]) + n.label.encode("utf-8", "surrogatepass")
+        n.shape = hashlib.blake2b(labels, digest_size=16).digest(), 1 + sum([c.shape[1] for c in inner])
+    return node.shape
+
+
+def _known(x: Node, y: Node, sizes: dict) -> int | None:
+    """The size of the best matching of two nodes, if it is at hand."""
+    (a, n), (b, _) = _shape(x), _shape(y)
+    return n if a == b else sizes.get((a, b))
+
+
+def _rows(left: list[Node], right: list[Node], sizes: dict, scale: int, texts: bool):
+    """The ``row`` of ``_lcs`` for two lists of siblings: the size of the best matching of two
+    nodes times ``scale``, and with ``texts`` one more for leaves with equal texts."""
+    same: dict[str, list[int]] = defaultdict(list)
+    shaped: dict[str, dict] = defaultdict(dict)
+    lines: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for j, y in enumerate(right):
+        same[y.label].append(j)
+        if y.nodes():
+            shaped[y.label].setdefault(_shape(y)[0], (y, []))[1].append(j)
+        elif texts and own_text(y):
+            lines[y.label, own_text(y)].append(j)
+    rows: dict = {}  # elements without a twin weigh the same
 
     def row(i):
-        key = label[i], text[i], shape[i]
+        x = left[i]
+        deep = bool(x.nodes())
+        line = (x.label, own_text(x)) if texts and not deep else None
+        key = _shape(x) if deep else (x.label, line if line in lines else None)
         if key not in rows:
+            weights = np.zeros(len(right), np.int64)
+            if x.label in same:
+                weights[same[x.label]] = scale
+            if deep:
+                for y, at in shaped[x.label].values() if x.label in shaped else ():
+                    weights[at] = (_known(x, y, sizes) or (yield _size(x, y, sizes))) * scale
+            elif line in lines:
+                weights[lines[line]] += 1
             if len(rows) > 64:
                 rows.clear()
-            w = (labels == label[i]).astype(float)
-            if text[i] >= 0:
-                w[(texts == text[i]) & (w > 0)] += bonus
-            if shape[i] >= 0:
-                w[(shapes == shape[i]) & (w > 0)] += size[i]
-            rows[key] = w
+            rows[key] = weights
         return rows[key]
 
-    return _align(len(left), len(right), row)
-
-
-def _match(a: Node, b: Node):
+    return row
+
+
+def _size(a: Node, b: Node, sizes: dict):
+    """The greatest number of node pairs in a matching of two nodes with equal labels, as a
+    step. It depends on their shapes alone."""
+    left, right, size = _kept(a), _kept(b), 1
+    if len(left) * len(right) > 256:
+        row, last = _rows(left, right, sizes, 1, False), np.zeros(len(right) + 1, np.int64)
+        for i in range(len(left)):
+            last = _next(last, (yield from row(i)))
+        size += int(last[-1])
+    elif left and right:  # the same without arrays
+        best, deep = [0] * (len(right) + 1), [bool(y.nodes()) for y in right]
+        for x in left:
+            corner, inner = 0, bool(x.nodes())
+            for j, y in enumerate(right):
+                n = corner
+                if x.label == y.label:
+                    n += 1 if not (inner and deep[j]) else _known(x, y, sizes) or (yield _size(x, y, sizes))
+                corner, best[j + 1] = best[j + 1], max(best[j + 1], best[j], n)
+        size += best[-1]
+    if len(sizes) >= SIZES:
+        sizes.clear()
+    sizes[_shape(a)[0], _shape(b)[0]] = size
+    return size
+
+
+def _match(a: Node, b: Node, sizes: dict):
     """``tree_match`` of two nodes with equal labels, as a step that asks for those of their
     children: however deep the pages are, no call waits for another."""
-    left, right = [c for c in a.nodes() if not c.noise], [c for c in b.nodes() if not c.noise]
+    left, right = _kept(a), _kept(b)
     size, pairs = 1, [(a, b)]
     if not left or not right:
         return size, pairs
-    found = {}
     if len(left) == len(right) and all(x.label == y.label for x, y in zip(left, right)) and len(
             {x.label for x in left}) == len(left):
         chosen = [(i, i) for i in range(len(left))]  # nothing else could match better
     else:
         # Leaves with equal texts at both ends have their best partner in each other.
-        bonus, most, head, tail = 1 / (len(left) + 1), min(len(left), len(right)), 0, 0
+        most, head, tail = min(len(left), len(right)), 0, 0
         alike = lambda x, y: x.label == y.label and not x.nodes() and not y.nodes() and own_text(x) and own_text(x) == own_text(y)
         while head < most and alike(left[head], right[head]):
             head += 1
         while tail < most - head and alike(left[-1 - tail], right[-1 - tail]):
             tail += 1
         xs, ys = left[head: len(left) - tail], right[head: len(right) - tail]
-        if len(xs) * len(ys) > CELLS:
-            inner_pairs = _by_rows(xs, ys, bonus)
-        else:
-            # Of equally large matchings the one with more equal texts.
-            weights, inner = np.zeros((len(xs), len(ys))), [bool(y.nodes()) for y in ys]
-            texts = [None if deep else own_text(y) for y, deep in zip(ys, inner)]
-            for i, x in enumerate(xs):
-                deep, label = bool(x.nodes()), x.label
-                text = None if deep else own_text(x)
-                for j, y in enumerate(ys):
-                    if label == y.label:
-                        if deep and inner[j]:
-                            found[i + head, j + head] = yield _match(x, y)
-                            weights[i, j] = found[i + head, j + head][0]
-                        else:
-                            weights[i, j] = 1 + bonus * bool(text and text == texts[j])
-            inner_pairs = _lcs(weights)
-        chosen = [*[(i, i) for i in range(head)], *[(i + head, j + head) for i, j in inner_pairs],
+        # Of equally large matchings the one with more equal texts.
+        inner = yield from _lcs(len(xs), len(ys), _rows(xs, ys, sizes, len(left) + 1, True))
+        chosen = [*[(i, i) for i in range(head)], *[(i + head, j + head) for i, j in inner],
                   *[(len(left) - k, len(right) - k) for k in range(tail, 0, -1)]]
     for i, j in chosen:
         x, y = left[i], right[j]
-        if (i, j) in found:
-            n, more = found[i, j]
-        elif x.children and y.children and x.nodes() and y.nodes():
-            n, more = yield _match(x, y)
+        if x.nodes() and y.nodes():
+            n, more = yield _match(x, y, sizes)
         else:
             n, more = 1, (x, y)
         size += n
@@ -362,7 +386,7 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     parents and order, and the pairs. Noise is left out on both sides."""
     if a.label != b.label:
         return 0, []
-    steps, value = [_match(a, b)], None
+    steps, value = [_match(a, b, {})], None
     while steps:
         try:
             steps.append(steps[-1].send(value))
