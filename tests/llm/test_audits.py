@@ -104,6 +104,32 @@ def test_removed_repeats_query(spark, sf):
     assert got == [(i, *r) for (i, _), r in zip(docs, brute.removed_repeats([t for _, t in docs]))]
 
 
+@pytest.mark.parametrize("first,then", [(1, 8), (8, 1)])
+def test_removed_repeats_when_scans_change(spark, tmp_path, monkeypatch, first, then):
+    """The scan is cut otherwise, as after executors have come or gone, when the ranks are stored."""
+    texts = [t for t in texts_for(20) if t is None or len(t) < 5_000]
+    rows = [(None if k % 5 == 0 else k, t) for k, t in enumerate(texts)] + [(None, texts[4])] * 7 + [(0, "short")] * 3
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    keep, cores = suffixes.keep, "spark.sql.files.minPartitionNum"
+
+    def kept(*args, **more):
+        found = keep(*args, **more)
+        spark.conf.set(cores, then)
+        return found
+
+    monkeypatch.setattr(suffixes, "keep", kept)
+    spark.conf.set(cores, first)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert docs.rdd.getNumPartitions() == first
+        out = suffixes.remove_repeats(docs, suffixes.Repeats(20, 2_000, 500), carry=["doc_id"]).collect()
+    finally:
+        spark.conf.unset(cores)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans),
+            hashlib.sha256(r.kept_bytes).hexdigest()) for r in out]
+    assert sorted(got) == sorted((-1 if i is None else i, *r) for (i, _), r in zip(rows, brute.removed_repeats([t for _, t in rows], 20)))
+
+
 def mined(rows, positives=5, wanted=10):
     out = []
     for a, la, va in rows:
